@@ -173,42 +173,55 @@ def _sorter(length: int, gram: int) -> Callable:
     return run
 
 
-def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(spans by d, h; copies): d, h name a document and the hash of its text; runs of covered bytes."""
-    named = df.select(F.col(key).cast("long").alias("d"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("h"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).where(F.length("t") >= length)
-    copies = keep(named.groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("least")).where("n > 1").withColumnRenamed("h", "h2"), "copies")
-    # one row of each group of copies
-    single = named.join(copies, F.col("h") == F.col("h2"), "left").where("n is null or d <=> least").select("d", "h", "t")
+def _named(df: DataFrame, text: str, key: str) -> DataFrame:
+    """d, h, h2 (two hashes that name a document's text) and its bytes t."""
+    bare = df.select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    return bare.select("d", F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit(1)).alias("h2"), "t")
+
+
+def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, bucket: int) -> DataFrame:
+    """(d, h, h2, whole, spans) of the documents with covered bytes; whole: it is one of several copies."""
+    named = _named(df, text, key).where(F.length("t") >= length)
 
     def find() -> Callable[..., Iterator[tuple]]:
-        def work(keys: list, hashes: list, texts: list) -> Iterator[tuple]:
+        def work(keys: list, names: list, names2: list, texts: list) -> Iterator[tuple]:
             at = 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size < 4_000_000):
                     size += len(texts[end])
                     end += 1
-                for i, found in enumerate(anchors(texts[at:end], length, gram), at):
-                    yield keys[i], hashes[i], found[:, 0], found[:, 1], found[:, 2], found[:, 3]
+                for i, x in enumerate(anchors(texts[at:end], length, gram), at):
+                    # place, then the offsets of the last and the first window before it
+                    yield keys[i], names[i], names2[i], x[:, 0], x[:, 1] << 24 | (x[:, 1] - x[:, 3]) << 12 | (x[:, 1] - x[:, 2])
                 at = end
 
         return work
 
-    found = map_columns(single, [F.col("d"), F.col("h"), F.col("t")], "d long, h string, g array<long>, at array<int>, first array<int>, last array<int>", find)
-    places = keep(found.select("d", "h", F.explode(F.arrays_zip("g", "at", "first", "last")).alias("x")).select("d", "h", "x.*"), "anchors")
-    twice = places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    wanted = places.join(twice, "g").groupBy("d", "h").agg(F.collect_list(F.struct("g", "at", "first", "last")).alias("x"))
+    found = map_columns(named, [F.col(c) for c in ("d", "h", "h2", "t")], "d long, h long, h2 long, g array<long>, x array<long>", find)
+    found = keep(found.withColumn("row", F.monotonically_increasing_id()), "anchors")
+    heads = found.select("row", "d", "h", "h2")
+    groups = heads.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("row").alias("least")).where("n > 1")
+    copies = keep(heads.join(groups, ["h", "h2"]).select("row", "d", "h", "h2", (F.col("row") == F.col("least")).alias("stands")), "copies")
+    places = found.select("row", "h", F.explode(F.arrays_zip("g", "x")).alias("p")).select("row", "h", "p.g", "p.x")
+    here = F.xxhash64("h", "x")  # the same place of a copy is the same place
+    twice = places.groupBy("g").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a <> b").select("g")
+    wanted = places.select("row", "g", "x").join(twice, "g").groupBy("row").agg(F.collect_list(F.struct("g", "x")).alias("p"))
+    wanted = keep(wanted.join(copies.where("not stands").select("row"), "row", "left_anti").join(heads, "row").drop("row"), "wanted")
 
     def surround() -> Callable[..., Iterator[tuple]]:
-        def work(keys: list, hashes: list, texts: list, lists: list) -> Iterator[tuple]:
-            for k, h, t, found in zip(keys, hashes, texts, lists, strict=True):
-                for x in found:
-                    yield k, h, x["g"], x["at"], x["at"] - x["last"], x["at"] - x["first"], (piece := t[x["first"] : x["last"] + length]), md5(piece).digest()
+        def work(keys: list, names: list, names2: list, texts: list, lists: list) -> Iterator[tuple]:
+            for k, h, h2, t, found in zip(keys, names, names2, texts, lists, strict=True):
+                for p in found:
+                    at, low, high = p["x"] >> 24, p["x"] >> 12 & 4095, p["x"] & 4095
+                    piece = t[at - high : at - low + length]
+                    yield k, h, h2, p["g"], at, low, high, piece, md5(piece).digest()
 
         return work
 
-    joined = single.withColumnRenamed("d", "d2").withColumnRenamed("h", "h3").join(wanted, F.col("d2").eqNullSafe(F.col("d")) & (F.col("h3") == F.col("h")))
-    around = keep(map_columns(joined, [F.col("d"), F.col("h"), F.col("t"), F.col("x")], "d long, h string, g long, at int, low int, high int, around binary, u binary", surround), "around")
+    same = F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("i")) & (F.col("h2") == F.col("i2"))
+    joined = named.join(wanted.select(F.col("d").alias("e"), F.col("h").alias("i"), F.col("h2").alias("i2"), "p"), same)
+    around = keep(map_columns(joined, [F.col(c) for c in ("d", "h", "h2", "t", "p")], "d long, h long, h2 long, g long, at long, low int, high int, around binary, u binary", surround), "around")
     kinds = keep(around.groupBy("g", "low", "high", "u").agg(F.first("around").alias("around"), F.count("*").alias("times")), "kinds")
     big = keep(kinds.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("g"), "big")
     # a bucket sorts as one, so its rows meet in one task; their number is bounded by `bucket`
@@ -228,9 +241,10 @@ def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, b
     many = windows.groupBy("g", "offset", "w").agg(F.sum("times").alias("n")).where("n > 1").select("g", "offset", "w")
     extra = windows.join(many, ["g", "offset", "w"]).groupBy("g", "low", "high", "u").agg(F.collect_set(F.struct(F.col("offset").alias("a"), F.col("offset").alias("b"))).alias("runs"))
     runs = repeats.unionByName(extra) if big.limit(1).count() else repeats
-    spans = around.drop("around").join(runs, ["g", "low", "high", "u"]).select("d", "h", "at", F.explode("runs").alias("r"))
-    spans = spans.select("d", "h", F.struct((F.col("at") - F.col("r.b")).alias("a"), (F.col("at") - F.col("r.a") + length).alias("b")).alias("s"))
-    return spans.groupBy("d", "h").agg(F.collect_list("s").alias("spans")), copies
+    spans = around.drop("around").join(runs, ["g", "low", "high", "u"]).select("d", "h", "h2", "at", F.explode("runs").alias("r"))
+    spans = spans.select("d", "h", "h2", F.struct((F.col("at") - F.col("r.b")).alias("a"), (F.col("at") - F.col("r.a") + length).alias("b")).alias("s"))
+    whole = copies.select("d", "h", "h2", F.lit(True).alias("whole")).distinct()
+    return spans.unionByName(whole, allowMissingColumns=True).groupBy("d", "h", "h2").agg(F.coalesce(F.max("whole"), F.lit(False)).alias("whole"), F.collect_list("s").alias("spans"))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -251,18 +265,17 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def dedup_substrings(df: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, with_text) of every row."""
-    spans, copies = repeated_spans(df, text, key, length, gram, bucket)
-    spans = keep(spans.withColumnRenamed("d", "d2").withColumnRenamed("h", "h3"), "spans")
-    named = df.select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).withColumn("h", F.md5("t"))
-    joined = named.join(copies.select("h2", "n"), F.col("h") == F.col("h2"), "left").join(spans, F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h3")), "left")
+    spans = keep(repeated_spans(df, text, key, length, gram, bucket).toDF("e", "i", "i2", "whole", "spans"), "spans")
+    same = F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("i")) & (F.col("h2") == F.col("i2"))
+    joined = _named(df, text, key).join(spans, same, "left")
 
     def make() -> Callable[..., Iterator[tuple]]:
-        def work(keys: list, texts: list, times: list, lists: list) -> Iterator[tuple]:
-            for k, t, n, found in zip(keys, texts, times, lists, strict=True):
+        def work(keys: list, texts: list, wholes: list, lists: list) -> Iterator[tuple]:
+            for k, t, n, found in zip(keys, texts, wholes, lists, strict=True):
                 left, removed, runs = cut(t, [(0, len(t))] if n else [(s["a"], s["b"]) for s in found or []])
                 yield k, len(t), removed, runs, sha256(left).hexdigest(), left if with_text else None
 
         return work
 
-    out = map_columns(joined, [F.col("d"), F.col("t"), F.col("n"), F.col("spans")], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", make)
+    out = map_columns(joined, [F.col("d"), F.col("t"), F.col("whole"), F.col("spans")], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", make)
     return out if with_text else out.drop("kept")
