@@ -1,0 +1,39 @@
+"""Windows over positions: gaps, anchors, carried values, nearest rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def gap_islands(df: DataFrame, key: str, at: str, tie: str, gap: float) -> DataFrame:
+    """block: a new one starts where the step from the row before is over gap."""
+    w = Window.partitionBy(key).orderBy(at, tie)
+    step = F.col(at) - F.lag(at).over(w)
+    return df.withColumn("new", F.when(step <= gap, 0).otherwise(1)).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def carry_forward(df: DataFrame, key: str, at: str, tie: str, value: str, out: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
+def anchored_clusters(df: DataFrame, key: str, at: str, tolerance: float) -> DataFrame:
+    """key, first, n: a cluster holds what lies within tolerance of its first member (not of the one before)."""
+    cluster = "array<struct<first:double,n:int>>"
+    ordered = df.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("x"))
+    grown = F.aggregate(
+        "x",
+        F.array().cast(cluster),
+        lambda a, v: F.when(F.size(a) == 0, F.array(F.struct(v.alias("first"), F.lit(1).alias("n"))).cast(cluster))
+        .when(v - F.element_at(a, -1)["first"] > tolerance, F.concat(a, F.array(F.struct(v.alias("first"), F.lit(1).alias("n"))).cast(cluster)))
+        .otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), (F.element_at(a, -1)["n"] + 1).alias("n"))).cast(cluster))),
+    )
+    return ordered.select(key, F.inline(grown))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, payload: str) -> DataFrame:
+    """left with the payload of the last earlier or equal right row of its key: one sort of the union, no join."""
+    both = left.withColumn("side", F.lit(1)).withColumn("carried", F.lit(None).cast(dict(right.dtypes)[payload])).unionByName(right.select(key, at, F.col(payload).alias("carried")).withColumn("side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("last", F.last("carried", ignorenulls=True).over(w)).where("side = 1").drop("side", "carried")

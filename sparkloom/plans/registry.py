@@ -1,10 +1,6 @@
 """Every query of the library by name, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from sparkloom.plans import graphs, quality, retrieval, texts, windows  # noqa: F401  they register their queries
+from sparkloom.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
