@@ -49,8 +49,9 @@ def recurring(lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
     seen = keep(lines.select("leaf", "line", "sign").distinct(), "line-signs")
     counted = seen.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     crowded = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    rare = counted.where(F.col("docs") < min_docs).join(crowded, "leaf")
-    texts = keep(lines.join(rare, ["leaf", "line"]).groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.max("docs").alias("docs")), "leaf-lines")
+    crowded = keep(crowded, "crowded")  # its true size decides whether lines must move to meet it
+    rare = counted.where(F.col("docs") < min_docs)
+    texts = keep(lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked")).join(rare, ["leaf", "line"]), "leaf-lines")
     words = texts.select("leaf", "line", "docs", F.posexplode(_split(F.col("masked"))).alias("at", "word"))
     fixed = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("word") != FIELD)).select("leaf", "at", "word", F.lit(True).alias("fixed"))
     parts = words.join(fixed, ["leaf", "at", "word"], "left").groupBy("leaf", "line").agg(
