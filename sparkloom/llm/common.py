@@ -35,7 +35,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_columns(df: DataFrame, columns: list[Column], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
-    """make() runs once a task and gives a function from lists, one a column, to result rows."""
+    """make() runs once a task and gives a function from lists, one a column, to result rows; if that function
+    has an attribute finish, its rows come last."""
     small_batches(df.sparkSession)
     rows = df.select(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
     kind = StructType.fromDDL(schema)
@@ -45,18 +46,25 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, make: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            out: list[list] = [[] for _ in arrow]
-            n = 0
-            for row in work(*(c.to_pylist() for c in batch.columns)):
-                for cells, value in zip(out, row, strict=True):
-                    cells.append(value)
-                n += 1
-                if n == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
-                    out, n = [[] for _ in arrow], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+
+        def parts() -> Iterator[Iterable[tuple]]:
+            for batch in batches:
+                yield work(*(c.to_pylist() for c in batch.columns))
+            if hasattr(work, "finish"):
+                yield work.finish()
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        for part in parts():
+            out: list[tuple] = []
+            for row in part:
+                out.append(row)
+                if len(out) == 20_000:
+                    yield packed(out)
+                    out = []
+            if out:
+                yield packed(out)
 
     return rows.mapInArrow(run, kind)
 

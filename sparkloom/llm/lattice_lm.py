@@ -18,7 +18,7 @@ empty result; without training texts every count is 0.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -31,9 +31,11 @@ from sparkloom.llm.sentencepiece_codec import Model, parse_model
 MARK = "▁"
 LOG10 = math.log(10)
 #: Most frequent words sent to every task (at most this many rows, each of at most 64 letters).
-HEAD_WORDS = 50_000
+HEAD_WORDS = 100_000
 #: Smoothing of the pieces' expected counts.
 PRIOR = 0.1
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 200_000
 #: A training word's letters that the expected counts take at a time.
 LONGEST = 4096
 
@@ -55,23 +57,9 @@ class Lattice:
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
+        self.linear = {p: math.exp(w) for p, w in weights.items()}
         self.longest = max(map(len, weights), default=1)
 
-    def arcs(self, s: str) -> list[list[tuple[int, float, tuple[str, ...]]]]:
-        """For every end: (start, weight, pieces). A letter that is no piece is spelled in bytes."""
-        get, longest, n = self.weights.get, self.longest, len(s)
-        out: list[list] = [[] for _ in range(n + 1)]
-        for j in range(1, n + 1):
-            here = out[j]
-            for i in range(max(0, j - longest), j):
-                w = get(s[i:j])
-                if w is not None:
-                    here.append((i, w, (s[i:j],)))
-            if s[j - 1 : j] not in self.weights:
-                spelled = tuple(f"<0x{b:02X}>" for b in s[j - 1].encode("utf-8", "replace"))
-                here.append((j - 1, sum(get(p, -30.0) for p in spelled), spelled))
-        return out
-
     def forward(self, s: str) -> float:
         get, longest, n, exp, log = self.weights.get, self.longest, len(s), math.exp, math.log
         a = [0.0] * (n + 1)
@@ -90,26 +78,43 @@ class Lattice:
                 a[j] = top + log(sum([exp(t - top) for t in terms]))
         return a[n]
 
-    def expect(self, s: str, times: float, into: Counter) -> None:
-        """Adds times the expected count of every piece of s."""
-        arcs, n = self.arcs(s), len(s)
-        a, b = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-
-        def add(x: float, y: float) -> float:
-            return max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf and y > -math.inf else max(x, y)
+    def spelled(self, letter: str) -> list[str]:
+        return [f"<0x{b:02X}>" for b in letter.encode("utf-8", "replace")]
 
+    def expect(self, s: str, times: float, into: dict[str, float]) -> None:
+        """Adds times the expected count of every piece of s. Sums are kept near 1 by a factor for each place."""
+        get, longest, n, exp = self.linear.get, self.longest, len(s), math.exp
+        a, scale, arcs = [1.0] + [0.0] * n, [1.0] * (n + 1), []
         for j in range(1, n + 1):
-            for i, w, _ in arcs[j]:
-                a[j] = add(a[j], a[i] + w)
+            # a[i] holds the sum up to i times the factors up to i; keep that product's meaning at j
+            total, factor, here = 0.0, 1.0, []
+            for i in range(j - 1, j - longest - 1 if j > longest else -1, -1):
+                piece = s[i:j]
+                w = get(piece)
+                if w is not None:
+                    here.append((i, w * factor, piece))
+                    total += a[i] * w * factor
+                factor *= scale[i]
+            if get(s[j - 1]) is None:
+                w = exp(sum(self.weights.get(p, -30.0) for p in self.spelled(s[j - 1])))
+                here.append((j - 1, w, None))
+                total += a[j - 1] * w
+            scale[j] = 1.0 / total
+            a[j] = 1.0
+            arcs.append(here)
+        b = [0.0] * n + [1.0]
         for j in range(n, 0, -1):
-            for i, w, _ in arcs[j]:
-                b[i] = add(b[i], b[j] + w)
-        for j in range(1, n + 1):
-            for i, w, spelled in arcs[j]:
-                share = math.exp(a[i] + w + b[j] - a[n]) * times
-                if share > 1e-12:
-                    for p in spelled:
-                        into[p] += share
+            up = b[j] * scale[j]
+            for i, w, piece in arcs[j - 1]:
+                part = w * up
+                b[i] += part
+                share = a[i] * part * times
+                if share > 1e-9:
+                    if piece is None:
+                        for p in self.spelled(s[j - 1]):
+                            into[p] += share
+                    else:
+                        into[piece] += share
 
 
 def held_out(key: Column) -> Column:
@@ -134,19 +139,23 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
     model = parse_model(Path(model_file).read_bytes())
 
     def count() -> Callable[..., Iterator[tuple]]:
+        counted: Counter = Counter()
+
+        def finish() -> Iterator[tuple]:
+            yield from counted.items()
+            counted.clear()
+
         def work(held: list, texts: list) -> Iterator[tuple]:
-            train: Counter = Counter()
-            other: set = set()
             for h, t in zip(held, texts, strict=True):
                 if h:
-                    other.update(words_of(t))
+                    for w in words_of(t):
+                        counted[w] += 0
                 else:
-                    train.update(words_of(t))
-            yield from train.items()
-            for w in other:
-                if w not in train:
-                    yield w, 0
+                    counted.update(words_of(t))
+            if len(counted) > COUNTED:
+                yield from finish()
 
+        work.finish = finish
         return work
 
     partial = map_columns(df, [fold(F.col(key)), F.col(text)], "word string, c long", count)
@@ -161,14 +170,15 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
 
         def gather() -> Callable[..., Iterator[tuple]]:
             lattice = Lattice(sent.value)
+            into: dict[str, float] = defaultdict(float)
 
             def work(words: list, counts: list) -> Iterator[tuple]:
-                into: Counter = Counter()
                 for w, c in zip(words, counts, strict=True):
                     for at in range(0, len(w), LONGEST):
                         lattice.expect((MARK if at == 0 else "") + w[at : at + LONGEST], c, into)
-                yield from into.items()
+                return iter(())
 
+            work.finish = into.items  # at most one row a piece
             return work
 
         expected = map_columns(vocab.where("c > 0"), [F.col("word"), F.col("c")], "piece string, n double", gather)
@@ -211,13 +221,13 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
                         known += x[0]
                         base += x[1]
                         lp += x[2]
-                yield k, bool(h), len(words) + 1, known, base, lp, [{"word": w, "tf": n} for w, n in rare.items()]
+                yield k, bool(h), len(words) + 1, known, base, lp, list(rare), list(rare.values())
 
         return work
 
-    first = map_columns(df, [F.col(key).cast("long"), fold(F.col(key)), F.col(text)], "doc_id long, held_out boolean, n_tokens long, known long, base double, lp double, rare array<struct<word:string,tf:long>>", sums)
+    first = map_columns(df, [F.col(key).cast("long"), fold(F.col(key)), F.col(text)], "doc_id long, held_out boolean, n_tokens long, known long, base double, lp double, word array<string>, tf array<long>", sums)
     first = keep(first.withColumn("row", F.monotonically_increasing_id()), "sums")
-    rest = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(rated.drop("c"), "word")
+    rest = first.select("row", F.explode(F.arrays_zip("word", "tf")).alias("r")).select("row", "r.word", "r.tf").join(rated.drop("c"), "word")
     parts = first.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "lp").unionByName(rest.select("row", (F.col("known") * F.col("tf")).alias("known"), (F.col("base") * F.col("tf")).alias("base"), (F.col("lp") * F.col("tf")).alias("lp")), allowMissingColumns=True)
     return (
         parts.groupBy("row")
