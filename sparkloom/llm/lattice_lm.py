@@ -121,16 +121,12 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def _tokens(text: str | None) -> list[str]:
-    return (text or "").encode("utf-8", "replace").lower().decode().translate(_BREAKS).split(" ") if text else []
-
-
-#: The six separators become one, so that other Unicode spaces stay inside words (fixed set).
-_BREAKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+#: A-Z to a-z and the five other separators to a blank; other bytes stay, so other Unicode spaces stay in words.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in _tokens(text) if w]
+    return [w for w in (text or "").encode("utf-8", "replace").translate(_BYTES).decode().split(" ") if w]
 
 
 def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", fold: Callable[[Column], Column] = held_out, head_words: int = HEAD_WORDS, rounds: int = 1) -> DataFrame:
@@ -148,8 +144,8 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
         def work(held: list, texts: list) -> Iterator[tuple]:
             for h, t in zip(held, texts, strict=True):
                 if h:
-                    for w in words_of(t):
-                        counted[w] += 0
+                    for w in set(words_of(t)):
+                        counted.setdefault(w, 0)
                 else:
                     counted.update(words_of(t))
             if len(counted) > COUNTED:
