@@ -20,8 +20,11 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, compress, repeat
 from pathlib import Path
 
+import ahocorasick
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,10 @@ PRIOR = 0.1
 COUNTED = 200_000
 #: A training word's letters that the expected counts take at a time.
 LONGEST = 4096
+#: Words of at most this many letters are summed side by side, longer ones letter by letter; the sums are the same.
+SIDE_BY_SIDE = 48
+#: Words that are summed side by side at a time.
+GROUP = 8192
 
 
 def start_weights(model: Model) -> dict[str, float]:
@@ -59,6 +66,103 @@ class Lattice:
         self.weights = weights
         self.linear = {p: math.exp(w) for p, w in weights.items()}
         self.longest = max(map(len, weights), default=1)
+        self.pieces = list(weights)
+        self.logs = np.array([weights[p] for p in self.pieces])
+        self.sizes = np.array([len(p) for p in self.pieces], np.int64)
+        self.single = np.full(0x110000, -1, np.int64)  # pieces of one letter, by code point: they would crowd the automaton's root
+        self.found = ahocorasick.Automaton()
+        for n, p in enumerate(self.pieces):
+            if len(p) == 1:
+                self.single[ord(p)] = n
+            else:
+                self.found.add_word(p, n)
+        self.found.add_word("\0" * 1024, 0)  # never empty; longer than any word summed side by side
+        self.found.make_automaton()
+
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """All arcs of the marked words: (start, end, log weight, piece or -1); places count on from word to word,
+        each word having one more place than letters. A letter that is no piece is spelled in bytes. No piece holds
+        the marker but at its front, so none crosses words."""
+        joined = "".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        hits = np.fromiter(chain.from_iterable(self.found.iter(joined)), np.int64).reshape(-1, 2)
+        # the letter at index x of the joined words spans the places x + k and x + k + 1 of word k
+        word = np.repeat(np.arange(len(words)), lengths)
+        single = self.single[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        alone, bare = np.flatnonzero(single >= 0), np.flatnonzero(single < 0)
+        spelled = np.array([sum(self.weights.get(p, -30.0) for p in self.spelled(joined[x])) for x in bare], float)
+        piece = np.concatenate([hits[:, 1], single[alone], np.full(len(bare), -1)])
+        weight = np.concatenate([self.logs[piece[: len(hits) + len(alone)]], spelled])
+        end = np.concatenate([hits[:, 0], alone, bare]) + 1
+        begin = end - np.where(piece < 0, 1, self.sizes[piece])
+        shift = word[end - 1]
+        return begin + shift, end + shift, weight, piece
+
+    def swept(self, sums: np.ndarray, source: np.ndarray, goal: np.ndarray, weight: np.ndarray, step: np.ndarray) -> None:
+        """Log sums into sums[goal] over sums[source] + weight, all arcs of one step at once, steps in ascending order."""
+        order = np.lexsort((goal, step))
+        source, goal, weight = source[order], goal[order], weight[order]
+        first = np.flatnonzero(np.diff(goal, prepend=-1))  # arcs of one goal share a step and lie together
+        bounds = np.searchsorted(step[order], np.arange(step.max() + 2)) if len(step) else []
+        cuts = np.searchsorted(first, bounds)
+        for n in range(len(bounds) - 1):
+            lo, hi, groups = bounds[n], bounds[n + 1], first[cuts[n] : cuts[n + 1]]
+            if lo == hi:
+                continue
+            terms, at = sums[source[lo:hi]] + weight[lo:hi], groups - lo
+            top = np.maximum.reduceat(terms, at)
+            spread = np.exp(terms - np.repeat(top, np.diff(at, append=hi - lo)))
+            sums[goal[groups]] = top + np.log(np.add.reduceat(spread, at))
+
+    def swept_forward(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(sums at all places, first and last place of every word, its arcs)."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        last = np.cumsum(lengths + 1) - 1
+        base = last - lengths
+        arcs = self.arcs(words)
+        sums = np.zeros(last[-1] + 1)
+        place = np.arange(len(sums)) - np.repeat(base, lengths + 1)
+        self.swept(sums, arcs[0], arcs[1], arcs[2], place[arcs[1]])
+        return sums, base, last, arcs
+
+    def forward_all(self, words: list[str]) -> list[float]:
+        """forward() of every word, short words side by side."""
+        out = [0.0] * len(words)
+        short = sorted((n for n, w in enumerate(words) if len(w) <= SIDE_BY_SIDE), key=lambda n: len(words[n]))
+        for at in range(0, len(short), GROUP):
+            some = short[at : at + GROUP]
+            sums, _, last, _ = self.swept_forward([words[n] for n in some])
+            for n, x in zip(some, sums[last].tolist(), strict=True):
+                out[n] = x
+        for n, w in enumerate(words):
+            if len(w) > SIDE_BY_SIDE:
+                out[n] = self.forward(w)
+        return out
+
+    def expect_all(self, words: list[str], times: list[int], into: dict[str, float]) -> None:
+        """expect() of every word, short words side by side: an arc's expected count is the share of the sum over all
+        paths that its own paths have."""
+        short = sorted((n for n, w in enumerate(words) if len(w) <= SIDE_BY_SIDE), key=lambda n: len(words[n]))
+        for at in range(0, len(short), GROUP):
+            some = [words[n] for n in short[at : at + GROUP]]
+            sums, base, last, (begin, end, weight, piece) = self.swept_forward(some)
+            back = np.zeros(len(sums))
+            word = np.repeat(np.arange(len(some)), last - base + 1)
+            self.swept(back, end, begin, weight, last[word[begin]] - begin)
+            count = np.array([times[n] for n in short[at : at + GROUP]], float)
+            share = np.exp(sums[begin] + weight + back[end] - sums[last][word[begin]]) * count[word[begin]]
+            whole = piece >= 0
+            got = np.bincount(piece[whole], share[whole], len(self.pieces))
+            for n in np.flatnonzero(got):
+                into[self.pieces[n]] += float(got[n])
+            joined = "".join(some)
+            for x, part in zip((end[~whole] - 1 - word[end[~whole]]).tolist(), share[~whole].tolist(), strict=True):
+                for p in self.spelled(joined[x]):
+                    into[p] += part
+        for n, w in enumerate(words):
+            if len(w) > SIDE_BY_SIDE:
+                for part in range(0, len(w), LONGEST):
+                    self.expect(w[part : part + LONGEST], times[n], into)
 
     def forward(self, s: str) -> float:
         get, longest, n, exp, log = self.weights.get, self.longest, len(s), math.exp, math.log
@@ -121,12 +225,13 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-#: A-Z to a-z and the five other separators to a blank; other bytes stay, so other Unicode spaces stay in words.
-_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+#: A-Z to a-z; other bytes stay.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (text or "").encode("utf-8", "replace").translate(_BYTES).decode().split(" ") if w]
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words as UTF-8. Bytes split at \x20 and \x09 to \x0D alone, so other Unicode spaces stay in words."""
+    return (text or "").encode("utf-8", "replace").translate(_BYTES).split()
 
 
 def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", fold: Callable[[Column], Column] = held_out, head_words: int = HEAD_WORDS, rounds: int = 1) -> DataFrame:
@@ -138,7 +243,8 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
         counted: Counter = Counter()
 
         def finish() -> Iterator[tuple]:
-            yield from counted.items()
+            for w, c in counted.items():
+                yield w.decode(), c
             counted.clear()
 
         def work(held: list, texts: list) -> Iterator[tuple]:
@@ -169,9 +275,7 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
             into: dict[str, float] = defaultdict(float)
 
             def work(words: list, counts: list) -> Iterator[tuple]:
-                for w, c in zip(words, counts, strict=True):
-                    for at in range(0, len(w), LONGEST):
-                        lattice.expect((MARK if at == 0 else "") + w[at : at + LONGEST], c, into)
+                lattice.expect_all([MARK + w for w in words], counts, into)
                 return iter(())
 
             work.finish = into.items  # at most one row a piece
@@ -192,32 +296,28 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
         lattice = Lattice(sent.value)
 
         def work(words: list, counts: list) -> Iterator[tuple]:
-            for w, c in zip(words, counts, strict=True):
-                yield w, int(c > 0), math.log10((c + 0.5) / norm), lattice.forward(MARK + w) / LOG10, c
+            for w, c, lp in zip(words, counts, lattice.forward_all([MARK + w for w in words]), strict=True):
+                yield w, int(c > 0), math.log10((c + 0.5) / norm), lp / LOG10, c
 
         return work
 
     rated = keep(map_columns(vocab, [F.col("word"), F.col("c")], "word string, known int, base double, lp double, c long", rate), "rated")
-    head = spark.sparkContext.broadcast({r[0]: r[1:] for r in rated.where("length(word) <= 64").orderBy(F.desc("c"), "word").limit(head_words).select("word", "known", "base", "lp").collect()})
+    top = rated.where("length(word) <= 64").orderBy(F.desc("c"), "word").limit(head_words).select("word", "known", "base", "lp").toArrow()
+    head = spark.sparkContext.broadcast((top["word"].to_pylist(), *(top[c].to_numpy() for c in ("known", "base", "lp"))))
     end = (int(ends > 0), math.log10((ends + 0.5) / norm) if norm else 0.0, end_weight / LOG10)
 
     def sums() -> Callable[..., Iterator[tuple]]:
-        table = head.value
+        names, *values = head.value
+        place = {w.encode(): n for n, w in enumerate(names)}.get
 
         def work(keys: list, held: list, texts: list) -> Iterator[tuple]:
             for k, h, t in zip(keys, held, texts, strict=True):
                 words = words_of(t)
-                known, base, lp = end
-                rare: dict[str, int] = {}
-                for w in words:
-                    x = table.get(w)
-                    if x is None:
-                        rare[w] = rare.get(w, 0) + 1
-                    else:
-                        known += x[0]
-                        base += x[1]
-                        lp += x[2]
-                yield k, bool(h), len(words) + 1, known, base, lp, list(rare), list(rare.values())
+                at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                rare = Counter(compress(words, (at < 0).tolist()))
+                at = at[at >= 0]
+                known, base, lp = (e + v[at].sum().item() for e, v in zip(end, values, strict=True))
+                yield k, bool(h), len(words) + 1, known, base, lp, [w.decode() for w in rare], list(rare.values())
 
         return work
 

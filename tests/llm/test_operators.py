@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -375,6 +376,19 @@ def test_unigram_models():
     assert io and lattice_lm.start_weights(model)["▁a"] == pytest.approx(-2.5)
 
 
+def test_words_summed_side_by_side_equal_words_summed_alone():
+    lattice = lattice_lm.Lattice(lattice_lm.start_weights(sentencepiece_codec.parse_model(Path(PIECES).read_bytes())))
+    mark = lattice_lm.MARK
+    words = [mark + w for w in ("the", "", "a", "thing", "h\u00e9llo", "\U0001d4b3y\U0001f600", "\x00\x00", "ab" * 60, "the", "x" * lattice_lm.SIDE_BY_SIDE)]
+    assert lattice.forward_all(words) == pytest.approx([lattice.forward(w) for w in words])
+    alone, together = defaultdict(float), defaultdict(float)
+    for n, w in enumerate(words):
+        lattice.expect(w, n + 1, alone)
+    lattice.expect_all(words, list(range(1, len(words) + 1)), together)
+    assert all(together[p] == pytest.approx(alone[p], abs=1e-6) for p in {*alone, *together})
+    assert lattice.forward_all([]) == []
+
+
 def test_lattice_sums_all_segmentations():
     weights = {p: math.log(x) for p, x in {"▁": 0.1, "▁a": 0.2, "a": 0.1, "b": 0.2, "ab": 0.1, "▁ab": 0.05, "<0xC3>": 0.01, "<0xA9>": 0.02}.items()}
 
