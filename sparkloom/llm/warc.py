@@ -47,8 +47,8 @@ def record_id(*parts: str) -> str:
 
 
 def plain_text(html: str) -> str:
-    text = _BREAK.sub("\n", _DROP.sub(" ", html))
-    lines = (" ".join(unescape(_TAG.sub("", x)).split()) for x in text.split("\n"))
+    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", html)))  # a tag may span lines
+    lines = (" ".join((unescape(x) if "&" in x else x).split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
 

@@ -376,6 +376,10 @@ def test_unigram_models():
     assert io and lattice_lm.start_weights(model)["▁a"] == pytest.approx(-2.5)
 
 
+def test_plain_text_drops_tags_over_several_lines():
+    assert warc.plain_text("<p>a <a\nhref='x'\n>b</a> &amp;&#10;c</p><br\n/>d") == "a b & c\nd"
+
+
 def test_words_summed_side_by_side_equal_words_summed_alone():
     lattice = lattice_lm.Lattice(lattice_lm.start_weights(sentencepiece_codec.parse_model(Path(PIECES).read_bytes())))
     mark = lattice_lm.MARK
