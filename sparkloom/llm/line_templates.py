@@ -4,8 +4,8 @@ A line's words that hold a digit become a field. A tree of fixed depth puts line
 and the same leading words into one leaf. Within a leaf, a word that ``min_docs`` documents have at its place
 is fixed, any other becomes a field too; a line of which at least ``fixed_share`` of the words stay fixed takes
 that template, any other keeps its own words. Templates found in ``min_docs`` documents are dropped wherever
-they occur. Copies of a document would make all its lines recur, so documents are counted by their longest
-line: however many copies there are, they count once.
+they occur. Documents are counted by their whole text: exact copies count once however many there are, texts
+that differ anywhere are different documents.
 
 Templates and leaves are counted with partial sums on two 64-bit hashes, texts join only by document. Null
 texts stay null and empty ones empty; blank lines are never dropped; repeated rows lose the same lines;
@@ -31,22 +31,21 @@ def _split(line: Column) -> Column:
 
 
 def lines_of(df: DataFrame, text: str, key: str, depth: int) -> DataFrame:
-    """A row for each line with a word: d, h (document), sign (its longest line), pos, leaf, line (hashes) and the masked line."""
+    """A row for each line with a word: d, h (document), pos, leaf, line (hashes) and the masked line."""
     lines = F.split(F.col(text), "\n")
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(F.col(text)).alias("h"), lines.alias("lines"))
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("x"))))["x"]
-    rows = docs.withColumn("sign", longest).select("d", "h", "sign", F.posexplode("lines").alias("pos", "raw"))
+    rows = docs.select("d", "h", F.posexplode("lines").alias("pos", "raw"))
     rows = rows.withColumn("raw", F.btrim("raw", F.lit(SPACES))).where("raw <> ''")
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", F.lit(FIELD))).otherwise(F.col("raw"))
     rows = rows.withColumn("masked", masked)
     n = F.size(_split(F.col("masked")))
     leaf = F.xxhash64(n, F.substring_index(F.regexp_replace("masked", r"[\x20\x09-\x0D]+", F.lit(" ")), " ", depth))
-    return rows.select("d", "h", "sign", "pos", leaf.alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("line"), "masked")
+    return rows.select("d", "h", "pos", leaf.alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("line"), "masked")
 
 
 def recurring(lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
     """(leaf, line) of every line whose template recurs."""
-    seen = keep(lines.select("leaf", "line", "sign").distinct(), "line-signs")
+    seen = keep(lines.select("leaf", "line", "h").distinct(), "line-docs")
     counted = seen.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     crowded = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     crowded = keep(crowded, "crowded")  # its true size decides whether lines must move to meet it
@@ -59,7 +58,7 @@ def recurring(lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
     )
     template = F.when(F.size("template") >= F.ceil(F.lit(fixed_share) * F.col("n")), F.xxhash64("template", "n"))
     parts = parts.select("leaf", "line", template.alias("template")).where("template is not null")
-    grown = parts.join(seen, ["leaf", "line"]).groupBy("leaf", "template").agg(F.count_distinct("sign").alias("docs")).where(F.col("docs") >= min_docs)
+    grown = parts.join(seen, ["leaf", "line"]).groupBy("leaf", "template").agg(F.count_distinct("h").alias("docs")).where(F.col("docs") >= min_docs)
     return counted.where(F.col("docs") >= min_docs).select("leaf", "line").unionByName(parts.join(grown, ["leaf", "template"], "left_semi").select("leaf", "line"))
 
 

@@ -333,6 +333,18 @@ def test_line_fields_grow(spark):
     assert multiset((r.doc_id, r.text, r.n_lines_dropped) for r in got) == Counter(brute_lines(frame.collect(), 20))
 
 
+def test_shared_longest_line_recurs(spark):
+    rng = random.Random(12)
+    notice, footer = prose(rng, 60), "footer of the same site"
+    given = [(i, f"{prose(rng, 12)}\n{notice}\n{footer}\n{prose(rng, 9)}") for i in range(100)]
+    copies = [(1000 + i, f"{prose(random.Random(77), 40)}\nan own short line") for i in range(30)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(given + copies, "doc_id long, text string")).collect()}
+    for i, text in given:
+        assert got[i].n_lines_dropped == 2
+        assert got[i].text == "\n".join(x for x in text.split("\n") if x not in (notice, footer))
+    assert all(got[i].text == text and got[i].n_lines_dropped == 0 for i, text in copies)
+
+
 def test_sentencepiece(spark, docs, rows):
     from sentencepiece import SentencePieceProcessor
 
