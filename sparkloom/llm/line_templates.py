@@ -3,8 +3,9 @@
 A line's words that hold a digit become a field. A tree of fixed depth puts lines of the same number of words
 and the same leading words into one leaf. Within a leaf, a word that ``min_docs`` documents have at its place
 is fixed, any other becomes a field too; a line of which at least ``fixed_share`` of the words stay fixed takes
-that template, any other keeps its own words. Templates found in ``min_docs`` documents are dropped wherever
-they occur. Documents are counted by their whole text: exact copies count once however many there are, texts
+that template, any other keeps its own words. A template is found in every line of its leaf that holds its
+fixed words at their places, lines that recur by themselves among them, and also counts with the words fixed
+by the other lines alone. Templates found in ``min_docs`` documents are dropped wherever they occur. Documents are counted by their whole text: exact copies count once however many there are, texts
 that differ anywhere are different documents.
 
 Templates and leaves are counted with partial sums on two 64-bit hashes, texts join only by document. Null
@@ -49,17 +50,32 @@ def recurring(lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
     counted = seen.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     crowded = counted.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     crowded = keep(crowded, "crowded")  # its true size decides whether lines must move to meet it
-    rare = counted.where(F.col("docs") < min_docs)
-    texts = keep(lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked")).join(rare, ["leaf", "line"]), "leaf-lines")
+    texts = keep(lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked")).join(counted, ["leaf", "line"]), "leaf-lines")
     words = texts.select("leaf", "line", "docs", F.posexplode(_split(F.col("masked"))).alias("at", "word"))
-    fixed = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("word") != FIELD)).select("leaf", "at", "word", F.lit(True).alias("fixed"))
-    parts = words.join(fixed, ["leaf", "at", "word"], "left").groupBy("leaf", "line").agg(
-        F.array_sort(F.collect_list(F.when(F.col("fixed"), F.struct("at", "word")))).alias("template"), F.count("*").alias("n")
-    )
-    template = F.when(F.size("template") >= F.ceil(F.lit(fixed_share) * F.col("n")), F.xxhash64("template", "n"))
-    parts = parts.select("leaf", "line", template.alias("template")).where("template is not null")
-    grown = parts.join(seen, ["leaf", "line"]).groupBy("leaf", "template").agg(F.count_distinct("h").alias("docs")).where(F.col("docs") >= min_docs)
-    return counted.where(F.col("docs") >= min_docs).select("leaf", "line").unionByName(parts.join(grown, ["leaf", "template"], "left_semi").select("leaf", "line"))
+    # fixed by all lines of the leaf; rare: by those alone that do not recur by themselves
+    rare = F.sum(F.when(F.col("docs") < min_docs, F.col("docs")).otherwise(0)) >= min_docs
+    fixed = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n"), rare.alias("rare")).where((F.col("n") >= min_docs) & (F.col("word") != FIELD)).select("leaf", "at", "word", "n", "rare")
+    place = F.struct("n", F.xxhash64("at", "word").alias("x"), "rare")
+    parts = words.join(fixed, ["leaf", "at", "word"], "left").groupBy("leaf", "line", "docs").agg(F.array_sort(F.collect_list(F.when(F.col("rare").isNotNull(), place))).alias("has"), F.count("*").alias("size"))
+    parts = parts.where(F.size("has") >= F.ceil(F.lit(fixed_share) * F.col("size")))
+    # a line's templates, rarest word first: all its fixed words, and those that rare lines fix alone
+    own = F.filter("has", lambda x: x["rare"])
+    own = F.when((F.col("docs") < min_docs) & (F.size(own) >= F.ceil(F.lit(fixed_share) * F.col("size"))), own)
+    has, own = F.transform("has", lambda x: x["x"]), F.transform(own, lambda x: x["x"])
+    parts = keep(parts.select("leaf", "line", "docs", "size", has.alias("has"), own.alias("own"), F.xxhash64(has).alias("kind")), "leaf-parts")
+    templates = parts.select("leaf", "size", F.explode(F.array_compact(F.array("has", "own"))).alias("template")).where(F.size("template") < F.col("size"))
+    templates = templates.select("leaf", "template", F.xxhash64("template").alias("t"), F.col("template")[0].alias("x")).distinct()
+    # a line has every template whose words it holds; they meet at the template's rarest word
+    kinds = parts.groupBy("leaf", "kind").agg(F.first("has").alias("has"), F.max("docs").alias("most"))
+    pairs = kinds.select("leaf", "kind", "has", "most", F.explode("has").alias("x")).join(templates, ["leaf", "x"]).where(F.size(F.array_except("template", "has")) == 0)
+    pairs = keep(pairs.select("leaf", "t", "kind", "most"), "leaf-templates")
+    sure = pairs.groupBy("leaf", "t").agg(F.max("most").alias("most"))
+    open_ = pairs.join(sure.where(F.col("most") < min_docs).select("leaf", "t"), ["leaf", "t"], "left_semi")
+    docs = open_.join(parts.select("leaf", "kind", "line"), ["leaf", "kind"]).join(seen, ["leaf", "line"]).groupBy("leaf", "t").agg(F.count_distinct("h").alias("docs"))
+    grown = sure.where(F.col("most") >= min_docs).select("leaf", "t").unionByName(docs.where(F.col("docs") >= min_docs).select("leaf", "t"))
+    found = pairs.join(grown, ["leaf", "t"], "left_semi").select("leaf", "kind").distinct()
+    more = parts.where(F.col("docs") < min_docs).join(found, ["leaf", "kind"], "left_semi").select("leaf", "line")
+    return counted.where(F.col("docs") >= min_docs).select("leaf", "line").unionByName(more)
 
 
 def drop_recurring_lines(df: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed_share: float = FIXED_SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -345,6 +345,19 @@ def test_shared_longest_line_recurs(spark):
     assert all(got[i].text == text and got[i].n_lines_dropped == 0 for i, text in copies)
 
 
+def test_hot_variants_count_for_their_template(spark):
+    rng = random.Random(13)
+    ends = ["news"] * 60 + ["sports", "films", "music", "books"] * 3
+    given = [(i, f"{prose(rng, 12)}\nposted by anna in {x}\n{prose(rng, 9)}") for i, x in enumerate(ends)]
+    # two frequent words at a field's place, each rare beside the other words
+    given += [(1000 + i, f"{prose(rng, 12)}\nwritten by our staff member {x} for evening readers\n{prose(rng, 9)}") for i, x in enumerate(["bob"] * 30 + [f"{a}x" for a in "abcdefghijkl"])]
+    given += [(2000 + i, f"{prose(rng, 12)}\nposted by anna at {w}") for i, w in enumerate(WORDS[:5])]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    for i, text in given:
+        lines = text.split("\n")
+        assert (got[i].text, got[i].n_lines_dropped) == ((text, 0) if i >= 2000 else ("\n".join((lines[0], lines[2])), 1))
+
+
 def test_sentencepiece(spark, docs, rows):
     from sentencepiece import SentencePieceProcessor
 
