@@ -152,11 +152,11 @@ def main_texts(pages: list[list[tuple[bool, str]]]) -> list[str]:
     streams = [[w for inside, b in page if not inside for w in b.split()] for page in pages]
     out = []
     for page, over in zip(pages, covered(streams), strict=True):
-        if any(inside for inside, _ in page):
-            out.append("\n".join(b for inside, b in page if inside))
-            continue
         kept, at = [], 0
-        for _, b in page:
+        for inside, b in page:
+            if inside:
+                kept.append(b)
+                continue
             words = b.split(" ")
             part = over[at : at + len(b.split())]
             at += len(b.split())

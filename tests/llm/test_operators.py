@@ -474,6 +474,14 @@ def test_html(spark):
     assert html_extract.extract_text(frame.limit(0)).count() == 0
 
 
+def test_html_outside_the_article(spark):
+    rng = random.Random(21)
+    bar, heads, bodies = prose(rng, 20), [prose(rng, 6) for _ in range(5)], [prose(rng, 30) for _ in range(5)]
+    given = [(i, "http://a.example/", f"<body><h1>{h}</h1><article><p>teaser {i}</article><div>{bar}</div><div>{b}</div>") for i, (h, b) in enumerate(zip(heads, bodies, strict=True))]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{h}\nteaser {i}\n{b}" for i, (h, b) in enumerate(zip(heads, bodies, strict=True))}
+
+
 def test_html_on_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
