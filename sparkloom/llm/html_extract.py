@@ -3,9 +3,11 @@
 A page is read as a stream of tags and text. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out with all they hold; where the page marks its article (article
 or main element), the article's blocks are its text. The blocks of a page without such a mark, and the blocks
-outside it, go to the host's token stream: streams of a host's pages, in chunks of at most ``CHUNK_PAGES``
-pages, are concatenated and sorted by prefix doubling up to ``RUN`` tokens; a run of that length that
-``MIN_PAGES`` distinct pages of the chunk share is boilerplate, tokens it covers are removed and unique runs stay.
+outside it, go to the host's token stream: streams of a host of at most ``CHUNK_PAGES`` pages are concatenated
+and sorted by prefix doubling up to ``RUN`` tokens; a run of that length that ``MIN_PAGES`` distinct pages of the
+host share is boilerplate, tokens it covers are removed and unique runs stay. A larger host is cut into chunks of
+about that many pages; its runs are counted over all its chunks by 64-bit hashes, and those that recur are sent
+to every chunk.
 
 A null html gives ""; pages without url make a host of their own; repeated rows each give a row; other columns
 are ignored; an empty table gives an empty result.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -22,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keep, map_columns
+from sparkloom.llm.common import keep, map_columns, small_batches
+from sparkloom.llm.fingerprints import U, mix, powers
 
 CHUNK_PAGES = 256
 RUN = 16
@@ -147,11 +151,42 @@ def covered(streams: list[list[str]], run: int = RUN, min_pages: int = MIN_PAGES
     return np.split(over, np.cumsum(sizes)[:-1])
 
 
-def main_texts(pages: list[list[tuple[bool, str]]]) -> list[str]:
-    """Texts of one chunk of a host's pages."""
+def run_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of every run of ``RUN`` tokens; known keeps the hashes of tokens."""
+    n = len(words) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    hashes, factor = np.array([known[w] for w in words], U), powers(0xD1B54A32D192ED03, RUN + 1)
+    out = np.zeros(n, U)
+    for k in range(RUN):
+        out += hashes[k : k + n] * factor[k + 1]
+    return mix(out).view(np.int64)
+
+
+def covered_by(streams: list[list[str]], common: np.ndarray) -> list[np.ndarray]:
+    """For each page, which tokens lie in a run whose hash is in common (sorted)."""
+    known: dict[str, int] = {}
+    out = []
+    for words in streams:
+        over, runs = np.zeros(len(words), bool), run_hashes(words, known)
+        if len(common) and len(runs):
+            starts = np.flatnonzero(common[np.minimum(np.searchsorted(common, runs), len(common) - 1)] == runs)
+            for k in range(RUN):
+                over[starts + k] = True
+        out.append(over)
+    return out
+
+
+def main_texts(pages: list[list[tuple[bool, str]]], common: np.ndarray | None = None) -> list[str]:
+    """Texts of a host's pages; of some of its pages, if common has the hashes of the host's recurring runs."""
     streams = [[w for inside, b in page if not inside for w in b.split()] for page in pages]
     out = []
-    for page, over in zip(pages, covered(streams), strict=True):
+    for page, over in zip(pages, covered(streams) if common is None else covered_by(streams, common), strict=True):
         kept, at = [], 0
         for inside, b in page:
             if inside:
@@ -168,6 +203,25 @@ def main_texts(pages: list[list[tuple[bool, str]]]) -> list[str]:
     return out
 
 
+def recurring_runs(pages: DataFrame) -> DataFrame:
+    """(host, run) of every run that MIN_PAGES distinct pages of a host share; pages: host (long), html."""
+    small_batches(pages.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = blocks_of(html)
+                runs = np.unique(run_hashes([w for inside, b in found if not inside for w in b.split()], known))
+                if len(runs):
+                    page = int.from_bytes(blake2b("\n".join(b for _, b in found).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), host, np.int64)), pa.array(runs), pa.array(np.full(len(runs), page, np.int64))], ["host", "run", "page"])
+
+    # distinct pages of a run are dealt by run and page, then counted in parts
+    runs = pages.select("host", "html").mapInArrow(read, "host long, run long, page long")
+    return runs.groupBy("host", "run").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "run")
+
+
 def extract_text(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
@@ -179,25 +233,38 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", key: str =
 
         return work
 
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    parsed = map_columns(df, [F.col(key).cast("long"), F.col(url), host, F.col(html)], "page_id long, url string, host string, inside array<boolean>, blocks array<string>", read)
+    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
+    parsed = map_columns(df, [F.col(key).cast("long"), F.col(url), host, F.col(html)], "page_id long, url string, host long, inside array<boolean>, blocks array<string>", read)
     hosts = keep(df.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / CHUNK_PAGES).cast("int").alias("chunks")), "hosts")
+    large = hosts.where("chunks > 1")
+    common = keep(recurring_runs(df.select(host.alias("host"), F.col(html).alias("html")).join(large, "host", "left_semi")), "runs")
+    common = common.groupBy("host", F.pmod("run", F.lit(64)).alias("part")).agg(F.collect_list("run").alias("runs")).join(large, "host")
+    common = common.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.lit(True).alias("many"), "runs")
     dealt = parsed.join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")))
-    dealt = dealt.select("host", "chunk", "page_id", "url", "inside", "blocks").repartition("host", "chunk").sortWithinPartitions("host", "chunk")
+    dealt = dealt.select("host", "chunk", (F.col("chunks") > 1).alias("many"), F.lit(None).cast("array<long>").alias("runs"), "page_id", "url", "inside", "blocks").unionByName(common, allowMissingColumns=True)
+    dealt = dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk", F.col("runs").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        common: list[list[int]] = []
+        at = None
 
         def done() -> pa.RecordBatch:
-            texts = main_texts([list(zip(r[4], r[5], strict=True)) for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            known = np.unique(np.array([x for part in common for x in part], np.int64)) if at[2] else None
+            texts = main_texts([list(zip(r[6], r[7], strict=True)) for r in rows], known)
+            return pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (row[:2] != rows[0][:2] or len(rows) >= 4 * CHUNK_PAGES):
+                if rows and (row[:3] != at or (at[2] and len(rows) >= CHUNK_PAGES)):
                     yield done()
                     rows = []
-                rows.append(row)
+                if row[:3] != at:
+                    at, common = row[:3], []
+                if row[3] is not None:
+                    common.append(row[3])
+                else:
+                    rows.append(row)
         if rows:
             yield done()
 

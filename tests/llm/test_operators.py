@@ -482,6 +482,17 @@ def test_html_outside_the_article(spark):
     assert got == {i: f"{h}\nteaser {i}\n{b}" for i, (h, b) in enumerate(zip(heads, bodies, strict=True))}
 
 
+def test_html_behaves_alike_at_every_size(spark, monkeypatch):
+    rng = random.Random(22)
+    bar = prose(rng, 20)
+    bodies = [prose(rng, 30) for _ in range(60)]
+    given = [(i, f"http://b.example/{i}", f"<body><div>{b}</div>" + (f"<div>{bar}</div>" if i % 10 == 0 else "")) for i, b in enumerate(bodies)]
+    frame = spark.createDataFrame(given, "page_id long, url string, html string")
+    for pages in (256, 4):
+        monkeypatch.setattr(html_extract, "CHUNK_PAGES", pages)
+        assert {r.page_id: r.text for r in html_extract.extract_text(frame).collect()} == dict(enumerate(bodies))
+
+
 def test_html_on_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
