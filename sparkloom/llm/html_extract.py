@@ -5,7 +5,7 @@ scripts, styles and reader comments are left out with all they hold; where the p
 or main element), the article's blocks are its text. The blocks of a page without such a mark, and the blocks
 outside it, go to the host's token stream: streams of a host of at most ``CHUNK_PAGES`` pages are concatenated
 and sorted by prefix doubling up to ``RUN`` tokens; a run of that length that ``MIN_PAGES`` distinct pages of the
-host share is boilerplate, tokens it covers are removed and unique runs stay. A larger host is cut into chunks of
+host share is boilerplate, tokens it covers are removed and unique runs stay. Pages of equal blocks count as one. A larger host is cut into chunks of
 about that many pages; its runs are counted over all its chunks by 64-bit hashes, and those that recur are sent
 to every chunk.
 
@@ -119,14 +119,16 @@ def blocks_of(html: str | None) -> list[tuple[bool, str]]:
     return out
 
 
-def covered(streams: list[list[str]], run: int = RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each page, which tokens lie in a run of ``run`` tokens that min_pages distinct pages share."""
+def covered(streams: list[list[str]], run: int = RUN, min_pages: int = MIN_PAGES, contents: list | None = None) -> list[np.ndarray]:
+    """For each page, which tokens lie in a run of ``run`` tokens that min_pages distinct pages share; pages of equal
+    contents (by default, their streams) are one."""
     sizes = [len(s) for s in streams]
     total = sum(sizes)
     if not total:
         return [np.zeros(n, bool) for n in sizes]
     ids = {w: i + 1 for i, w in enumerate(sorted({w for s in streams for w in s}))}
-    page = np.repeat(np.arange(len(streams)), sizes)
+    numbers: dict = {}
+    page = np.repeat([numbers.setdefault(c, len(numbers)) for c in (map(tuple, streams) if contents is None else contents)], sizes)
     rank = np.array([ids[w] for s in streams for w in s], np.int64)
     left = np.concatenate([np.arange(n, 0, -1) for n in sizes]) if total else np.zeros(0, int)
     width = 1
@@ -185,8 +187,9 @@ def covered_by(streams: list[list[str]], common: np.ndarray) -> list[np.ndarray]
 def main_texts(pages: list[list[tuple[bool, str]]], common: np.ndarray | None = None) -> list[str]:
     """Texts of a host's pages; of some of its pages, if common has the hashes of the host's recurring runs."""
     streams = [[w for inside, b in page if not inside for w in b.split()] for page in pages]
+    contents = ["\n".join(b for _, b in page) for page in pages]
     out = []
-    for page, over in zip(pages, covered(streams) if common is None else covered_by(streams, common), strict=True):
+    for page, over in zip(pages, covered(streams, contents=contents) if common is None else covered_by(streams, common), strict=True):
         kept, at = [], 0
         for inside, b in page:
             if inside:

@@ -493,6 +493,17 @@ def test_html_behaves_alike_at_every_size(spark, monkeypatch):
         assert {r.page_id: r.text for r in html_extract.extract_text(frame).collect()} == dict(enumerate(bodies))
 
 
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_html_copies_of_a_page_keep_their_text(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html_extract, "CHUNK_PAGES", chunk)
+    rng = random.Random(23)
+    body, bar, others = prose(rng, 40), prose(rng, 20), [prose(rng, 30) for _ in range(4)]
+    given = [(1, "http://c.example/", f"<body><p>{body}</p>")] * 4 + [(2, f"http://c.example/{i}", f"<body><p>{body}</p>") for i in range(3)]
+    given += [(10 + i, "http://c.example/o", f"<body><p>{x}</p><p>{bar}</p>") for i, x in enumerate(others)]
+    got = html_extract.extract_text(spark.createDataFrame(given, "page_id long, url string, html string"))
+    assert Counter((r.page_id, r.text) for r in got.collect()) == Counter([(1, body)] * 4 + [(2, body)] * 3 + [(10 + i, x) for i, x in enumerate(others)])
+
+
 def test_html_on_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
