@@ -3,8 +3,10 @@
 A window of a document matches an item of n words if at most a fifth of n words must be inserted, deleted or
 replaced. The CGK embedding walks through a window with random steps of nought or one word, so that few edits
 become few unequal places (edit distance becomes Hamming distance); each of ``TABLES`` hash tables looks at a few
-random places of one of ``WALKS`` independent walks. Windows that share a table entry with an item are verified
-by exact edit distance, over every stretch of the text they touch.
+random places of one of ``WALKS`` independent walks. An item of over ``PIECE_WORDS`` words is cut into even
+pieces of at most that many, each with its own table entries: of m pieces, one has at most an m-th of the edits,
+so long items are found no worse than short ones. Windows that share a table entry with an item or a piece of it
+are verified by exact edit distance of the whole item, over every stretch of the text it may touch.
 
 Every word of a text starts a window, except where counting shows that no item can match: an edit breaks at most
 two neighbouring pairs of words, so a matching stretch of n+k words holds at least n-1-2k pairs that occur in an
@@ -33,6 +35,9 @@ WALKS = 4
 TABLES = 32
 PLACES = 4
 BLOCK_ITEMS = 20_000
+#: Words of the longest piece; at this length the tables find more than ``RECALL`` of the matches at the full radius.
+PIECE_WORDS = 22
+RECALL = 0.95
 #: Bits of the table of word pairs that occur in items.
 PAIR_BITS = 24
 
@@ -71,19 +76,26 @@ class Index:
         self.pairs = np.zeros(1 << PAIR_BITS, bool)
         for _, w in self.items:
             self.pairs[self.pair(w)] = True
-        groups: dict[int, list[int]] = {}
+        # pieces: item, offset, words, edits that the best piece of the item has at most
+        self.pieces = []
         for i, (_, w) in enumerate(self.items):
+            m = -(-len(w) // PIECE_WORDS)
+            cuts = [len(w) * c // m for c in range(m + 1)]
+            self.pieces += [(i, a, w[a:b], -(-radius(len(w), share) // m)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        groups: dict[int, list[int]] = {}
+        for i, (_, _, w, _) in enumerate(self.pieces):
             groups.setdefault(int(np.log(len(w)) / np.log(1.5)), []).append(i)
         self.groups = []
         for members in groups.values():
-            least, most = min(len(self.items[i][1]) for i in members), max(len(self.items[i][1]) for i in members)
+            words = [self.pieces[i][2] for i in members]
+            least, most = min(map(len, words)), max(map(len, words))
             steps = max(1, int(1.6 * least))
             looks = [np.sort(rng.choice(steps, min(places, steps), replace=False)) for _ in range(tables)]
-            flat = np.concatenate([np.concatenate((self.items[i][1], np.full(2 * most + 2, -1))) for i in members])
-            starts = np.concatenate(([0], np.cumsum([len(self.items[i][1]) + 2 * most + 2 for i in members])[:-1]))
+            flat = np.concatenate([np.concatenate((w, np.full(2 * most + 2, -1))) for w in words])
+            starts = np.concatenate(([0], np.cumsum([len(w) + 2 * most + 2 for w in words])[:-1]))
             keys = self.keys(flat, starts, steps, looks)
             order = np.argsort(keys, axis=1, kind="stable")
-            sizes = sorted({len(self.items[i][1]) for i in members})
+            sizes = sorted({(len(self.pieces[i][2]), self.pieces[i][3]) for i in members})
             self.groups.append((sizes, most, steps, looks, np.take_along_axis(keys, order, 1), np.array(members)[order]))
 
     @staticmethod
@@ -124,7 +136,7 @@ class Index:
         found: dict[tuple[int, int], list[int]] = {}
         for sizes, _, steps, looks, table, members in self.groups:
             # positions where any size of the group may match; the loosest bound first
-            need = [(n, max(0, n - 1 - 2 * radius(n, self.share)), n + radius(n, self.share)) for n in sizes]
+            need = [(n, max(0, n - 1 - 2 * k), n + k) for n, k in sizes]
             low, wide = min(x[1] for x in need), max(x[2] for x in need)
             start = np.arange(end)
             pos = start[(flat >= 0) & (hit[np.minimum(start + wide - 1, end)] - hit[start] >= low)]
@@ -141,7 +153,8 @@ class Index:
                     for x in np.flatnonzero(b > a):
                         doc = int(np.searchsorted(bounds, some[x], "right")) - 1
                         for i in members[t][a[x] : b[x]]:
-                            found.setdefault((doc, int(i)), []).append(int(some[x]))
+                            item, offset = self.pieces[i][:2]
+                            found.setdefault((doc, item), []).append(int(some[x]) - offset)
         known: dict[tuple[int, bytes], tuple[int, int]] = {}
         for (doc, i), places in found.items():
             item = self.items[i][1]
@@ -152,7 +165,7 @@ class Index:
             for prev, here in zip(places, [*places[1:], None], strict=True):
                 if here is not None and here - prev <= n:
                     continue
-                a, b = max(int(bounds[doc]), low - k), min(int(bounds[doc + 1]) - pad, prev + n + 2 * k)
+                a, b = max(int(bounds[doc]), low - 2 * k), min(int(bounds[doc + 1]) - pad, prev + n + 2 * k)
                 area = flat[a:b]
                 key = (i, area.tobytes())
                 if key not in known:

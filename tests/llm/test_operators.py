@@ -206,6 +206,22 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.find_leaks(docs, table.limit(0)).count() == 0
 
 
+def test_long_items_are_found_at_the_full_radius():
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n in (25, 30, 60, 100, 200, 300):
+        items = [[rng.choice(vocabulary) for _ in range(n)] for _ in range(60)]
+        given = []
+        for w in items:
+            w = list(w)
+            for _ in range(decontaminate.radius(n)):
+                p = rng.randrange(len(w))
+                w[p : p + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 1)
+            given.append(" ".join([prose(rng, 20), *w, prose(rng, 20)]))
+        found = {(d, i) for d, i, *_ in decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)]).find(given)}
+        assert sum((i, i) in found for i in range(60)) >= decontaminate.RECALL * 60
+
+
 def gram_set(text):
     w = (text or "").lower()
     w = [x for x in re.split(SPACE, w) if x]
