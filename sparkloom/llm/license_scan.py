@@ -113,9 +113,13 @@ class Scanner:
         for k, areas in spans.items():
             label, notice, _, pattern = self.notices[k]
             for low, high in areas:
-                for m in pattern.finditer(text, low, high):
-                    e = sum(m.fuzzy_counts)
-                    out.append((label, m.start(), m.end(), e, 1.0 - e / len(notice)))
+                rest = [(low, high)]
+                while rest:  # the best match of an area comes first, others may stand before and after it
+                    low, high = rest.pop()
+                    if m := pattern.search(text, low, high):
+                        e = sum(m.fuzzy_counts)
+                        out.append((label, m.start(), m.end(), e, 1.0 - e / len(notice)))
+                        rest += [(low, m.start()), (m.end(), high)]
         return sorted(out)
 
     def scan(self, text: str | None) -> tuple:

@@ -152,6 +152,13 @@ def test_license_seeds_lose_nothing():
             assert bool(plain) <= any(x[0] == label for x in scanner.fuzzy(words))
 
 
+def test_adjacent_notices_each_give_a_span():
+    scanner = license_scan.Scanner()
+    assert [x[:4] for x in scanner.fuzzy(b"all right reserved all rights reserved")] == [("proprietary", 0, 18, 1), ("proprietary", 19, 38, 0)]
+    words = b"released under the mitt license releasd under the mit license released under the mit license"
+    assert [x[3] for x in scanner.fuzzy(words) if x[0] == "mit"] == [1, 1, 0]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
