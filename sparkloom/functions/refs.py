@@ -5,60 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of the acts, the longest first, and their short names.
+#: The spellings of the acts and their short names.
 ACTS = {
-    "bharatiya nyaya sanhita": "BNS",
-    "bharatiya nagarik suraksha sanhita": "BNSS",
-    "bharatiya sakshya adhiniyam": "BSA",
-    "code of criminal procedure": "CRPC",
-    "indian evidence act": "IEA",
-    "indian penal code": "IPC",
-    "evidence act": "IEA",
-    "penal code": "IPC",
-    r"cr\.p\.c": "CRPC",
-    r"i\.p\.c": "IPC",
-    "crpc": "CRPC",
-    "bnss": "BNSS",
-    "bns": "BNS",
-    "bsa": "BSA",
-    "ipc": "IPC",
-    "iea": "IEA",
+    "BHARATIYA NYAYA SANHITA": "BNS",
+    "BNS": "BNS",
+    "BHARATIYA NAGARIK SURAKSHA SANHITA": "BNSS",
+    "BNSS": "BNSS",
+    "BHARATIYA SAKSHYA ADHINIYAM": "BSA",
+    "BSA": "BSA",
+    "INDIAN PENAL CODE": "IPC",
+    "IPC": "IPC",
+    "CODE OF CRIMINAL PROCEDURE": "CRPC",
+    "CRPC": "CRPC",
+    "CR.P.C": "CRPC",
+    "INDIAN EVIDENCE ACT": "IEA",
+    "EVIDENCE ACT": "IEA",
+    "IEA": "IEA",
 }
-_NAMES = "|".join(sorted(ACTS, key=len, reverse=True))
-_NUMBER = r"[0-9]+[A-Za-z]{0,2}"
-_LIST = rf"{_NUMBER}(?:\([0-9a-z]+\))*(?:\s*(?:,|and|or|&)\s*{_NUMBER}(?:\([0-9a-z]+\))*)*"
-ACT_FIRST = rf"(?i)\b({_NAMES})[,.]?\s*(?:sections?|secs?\.?|s\.)?\s*({_LIST})"
-SECTION_FIRST = rf"(?i)\b(?:sections?|secs?\.?|s\.)\s*({_LIST})\s*(?:of\s+)?(?:the\s+)?({_NAMES})\b"
+#: How the old acts are called beside the new ones that replaced them.
+NEW_OF = {"IPC": "BNS", "CRPC": "BNSS", "IEA": "BSA"}
+#: Numbers from here on are years.
+FIRST_YEAR = 1000
 
+_NAMES = "|".join(name.replace(".", r"\.") for name in sorted(ACTS, key=len, reverse=True))
+_LIST = r"[0-9]+[A-Za-z]{0,2}(?:\s*(?:,|and|&)\s*[0-9]+[A-Za-z]{0,2})*"
+#: Fixed formats: an act, perhaps its year, perhaps the word section, then numbers; or numbers "of" an act.
+ACT_FIRST = rf"(?i)({_NAMES})\b[ ,]*(?:[0-9]{{4}}[ ,]*)?(?:Sections?|ss?\.)?\s*({_LIST})"
+SECTION_FIRST = rf"(?i)Sections?\s*({_LIST})(?:\s*\([0-9a-z]+\))*\s*of\s+(?:the\s+)?({_NAMES})\b"
+SECTION_FIRST_PLAIN = rf"(?i)Sections?\s*({_LIST})\s*of\s+(?:the\s+)?({_NAMES})\b"
+ACT_ALONE = rf"(?i)\b({_NAMES})\b"
+SECTION_ALONE = rf"(?i)\bSections?\s*({_LIST})"
+CHUNK = r"(?i)^(?:schedule_)?(bns|bnss|bsa|ipc|crpc|iea)_([0-9]+[a-z]{0,2})$"
 
-def _canon(name: Column) -> Column:
-    plain = F.regexp_replace(F.lower(name), r"\.", "")
-    known = F.create_map(*[F.lit(x) for pair in {k.replace("\\.", ""): v for k, v in ACTS.items()}.items() for x in pair])
-    return F.element_at(known, plain)
 
+def canon(name: Column) -> Column:
+    """The short name of an act's spelling."""
+    known = F.create_map(*[F.lit(x) for pair in ACTS.items() for x in pair])
+    return F.element_at(known, F.upper(name))
 
-def extract_refs(c: Column, years_from: int = 1000) -> Column:
-    """Sorted distinct 'ACT N' of a text: act first or section first, lists and sub-sections; years are no sections."""
 
-    def pairs(pattern: str, act: int, numbers: int) -> Column:
-        acts, lists = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (act, numbers))
-        each = F.zip_with(acts, lists, lambda a, n: F.transform(F.regexp_extract_all(F.regexp_replace(n, r"\([0-9a-z]+\)", ""), F.lit(rf"({_NUMBER})"), F.lit(1)), lambda x: F.struct(_canon(a).alias("a"), x.alias("n"))))
-        return F.flatten(each)
+def numbers(listed: Column) -> Column:
+    """Section numbers of a list such as '415, 417 and 420A'; years are none."""
+    parts = F.transform(F.split(listed, r"\s*(?:,|and|&)\s*"), lambda x: F.upper(F.trim(x)))
+    return F.filter(parts, lambda x: x.rlike(r"^[0-9]+[A-Z]{0,2}$") & (F.regexp_extract(x, "^([0-9]+)", 1).cast("double") < FIRST_YEAR))
 
-    found = F.concat(pairs(ACT_FIRST, 1, 2), pairs(SECTION_FIRST, 2, 1))
-    real = F.filter(found, lambda x: F.regexp_extract(x["n"], "^([0-9]+)", 1).cast("int") < years_from)
-    real = F.transform(real, lambda x: F.concat_ws(" ", x["a"], F.upper(F.regexp_replace(x["n"], "(?i)(and|an|or)$", ""))))
-    return F.array_sort(F.array_distinct(real))
+
+def _cited(c: Column, pattern: str, act: int, listed: int) -> Column:
+    acts, lists = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (act, listed))
+    return F.flatten(F.zip_with(acts, lists, lambda a, n: F.transform(numbers(n), lambda x: F.concat_ws(" ", canon(a), x))))
+
+
+def extract_refs(c: Column) -> Column:
+    """Sorted distinct 'ACT N' that a text cites, act first or section first, sub-sections passed over. A null text gives null."""
+    return F.array_sort(F.array_distinct(F.concat(_cited(c, ACT_FIRST, 1, 2), _cited(c, SECTION_FIRST, 2, 1))))
 
 
 def query_refs(c: Column) -> Column:
-    """extract_refs, or, if it finds nothing and the text names one act, that act with every 'section N'."""
-    strict = extract_refs(c)
-    acts = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rf"(?i)\b({_NAMES})\b"), F.lit(1)), _canon))
-    bare = F.regexp_extract_all(c, F.lit(rf"(?i)\bsections?\s+({_NUMBER})"), F.lit(1))
-    loose = F.array_sort(F.array_distinct(F.transform(bare, lambda n: F.concat_ws(" ", acts[0], F.upper(n)))))
+    """The same of a question, without sub-sections; if that finds nothing and the text names one act alone, that
+    act with the numbers of every 'section N'."""
+    strict = F.array_sort(F.array_distinct(F.concat(_cited(c, ACT_FIRST, 1, 2), _cited(c, SECTION_FIRST_PLAIN, 2, 1))))
+    acts = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ACT_ALONE), F.lit(1)), canon))
+    bare = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(SECTION_ALONE), F.lit(1)), numbers))
+    loose = F.array_sort(F.array_distinct(F.transform(bare, lambda n: F.concat_ws(" ", acts[0], n))))
     return F.when((F.size(strict) == 0) & (F.size(acts) == 1), loose).otherwise(strict)
 
 
+def chunk_ref(chunk_id: Column) -> Column:
+    """'ACT N' of the id of a statute or schedule chunk, else null."""
+    return F.when(chunk_id.rlike(CHUNK), F.upper(F.concat_ws(" ", F.regexp_extract(chunk_id, CHUNK, 1), F.regexp_extract(chunk_id, CHUNK, 2))))
+
+
 def subset(gold: Column, pred: Column) -> Column:
     return F.size(F.array_except(gold, pred)) == 0
+
+
+def same(gold: Column, pred: Column) -> Column:
+    return F.array_sort(F.array_distinct(gold)) == F.array_sort(F.array_distinct(pred))

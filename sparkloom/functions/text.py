@@ -2,42 +2,61 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Control bytes that stand for Windows-1252 punctuation, and what they stand for.
-CP1252_FROM = "\x05\x06\x11\x12\x13\x14\x15\x16\x17\x19"
-CP1252_TO = "…†‘’“”•–—™"
+#: Control bytes that lost the high bit of a Windows-1252 letter, and these letters, in natural order.
+CP1252_FROM = "\x00\x02\x03\x04\x05\x06\x07\x08\x0b\x0c\x0e\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1e\x1f"
+CP1252_TO = "€‚ƒ„…†‡ˆ‹ŒŽ‘’“”•–—˜™š›œžŸ"
+#: The control bytes whose letter is not defined; tab, line feed and carriage return stay.
+CP1252_NONE = "\x01\x0f\x10\x1d"
 #: Curly quotes to ASCII.
 QUOTES_FROM, QUOTES_TO = "‘’“”", "''\"\""
 #: Words left out of titles when they are compared.
-STOP_WORDS = ["a", "an", "and", "by", "for", "in", "of", "on", "or", "the", "to", "with"]
+STOP_WORDS = ["of", "the", "a", "an", "to", "for", "in", "on", "or", "and", "by", "with", "from", "as", "at", "any", "be", "is", "not", "punishment", "etc"]
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def repair_cp1252(c: Column) -> Column:
-    """C0 bytes that lost their high bit become punctuation; the other C0 bytes but tab and line ends go."""
-    return F.regexp_replace(F.translate(c, CP1252_FROM, CP1252_TO), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    """C0 bytes that lost their high bit become the letters they were; those without a letter go."""
+    return F.translate(c, CP1252_FROM + CP1252_NONE, CP1252_TO)
 
 
 def clean_text(c: Column) -> Column:
     """Repaired bytes, ASCII quotes, single blanks, no blanks around line ends, no blank lines."""
     c = F.translate(repair_cp1252(c), QUOTES_FROM, QUOTES_TO)
-    c = F.regexp_replace(F.regexp_replace(c, "——", "—"), r"[ \t ]+", " ")
-    return strip(F.regexp_replace(c, r"\s*\n\s*", "\n"))
+    c = F.regexp_replace(F.regexp_replace(c, "——", "—"), r"[ \t\x{a0}]+", " ")
+    return strip(F.regexp_replace(c, r"(?U)\s*\n\s*", "\n"))
+
+
+@F.pandas_udf(returnType=StringType())
+def unescape(c: pd.Series) -> pd.Series:
+    """Character references to letters, by the HTML standard's table."""
+    return c.map(html.unescape, na_action="ignore")
+
+
+def _lines(c: Column, tag: str) -> Column:
+    c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    c = F.regexp_replace(c, r"(?i)<li[^>]*>", "\n- ")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)</(p|div|ol|ul|tr|h\d)>", "\n"), r"(?i)<br\s*/?>", "\n")
+    return clean_text(unescape(F.regexp_replace(c, r"<[^>]+>", tag)))
 
 
 def strip_html(c: Column) -> Column:
     """Text of a page: scripts and styles dropped, list items and block ends on lines of their own."""
-    c = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>", "")
-    c = F.regexp_replace(c, r"(?i)<li[^>]*>", "\n- ")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)</(p|div|h[1-6]|li|tr|ul|ol)>|<br[^>]*>", "\n"), r"<[^>]+>", "")
-    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(mark))
-    return clean_text(c)
+    return _lines(c, "")
+
+
+def judgment_text(c: Column) -> Column:
+    """Text of a judgment: any tag becomes a blank, then as clean_text."""
+    return clean_text(unescape(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]+>", " ")))
 
 
 def dedup_key(c: Column) -> Column:
@@ -84,8 +103,8 @@ def shorten(c: Column, limit: int) -> Column:
     head = F.substring(c, 1, limit)
     back = [limit - 1 - F.instr(F.reverse(head), mark[::-1]) + F.lit(1) for mark in (". ", "; ")]
     last = F.greatest(*[F.when(F.instr(head, mark) > 0, b).otherwise(0) for mark, b in zip((". ", "; "), back, strict=True)])
-    cut = F.when(last * 2 > limit, F.substring(head, F.lit(1), last.cast("int"))).otherwise(head)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.rtrim(cut), F.lit(" [...]")))
+    cut = F.when((last - 1) * 2 > limit, F.substring(head, F.lit(1), last.cast("int"))).otherwise(head)
+    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.regexp_replace(cut, r"\s+$", ""), F.lit(" [...]")))
 
 
 def title_words(c: Column) -> Column:

