@@ -31,3 +31,25 @@ def collisions(edges: DataFrame, old_all: DataFrame, new_all: DataFrame) -> Data
     """Numbers that both numberings use although they are not counterparts, with the true counterparts."""
     both = old_all.join(new_all, F.col("old") == F.col("new"))
     return both.join(edges, ["old", "new"], "left_anti").join(adjacency(edges, "old", "new"), "old")
+
+
+def typed(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """old_act, old_section, old_title, new_act, new_section, new_title, mapping_type, row: the pairs with the titles
+    of both sides, sections without a counterpart as removed or new_provision. old and new: act, section, title."""
+    o = old.select(F.col("act").alias("old_act"), F.col("section").alias("old_section"), F.col("title").alias("old_title"))
+    n = new.select(F.col("act").alias("new_act"), F.col("section").alias("new_section"), F.col("title").alias("new_title"))
+    out = F.count("*").over(Window.partitionBy("old_act", "old_section"))
+    into = F.count("*").over(Window.partitionBy("new_act", "new_section"))
+    kind = F.when(out > 1, "split").when(into > 1, "merged").otherwise("direct")
+    both = pairs.withColumn("mapping_type", kind).join(o, ["old_act", "old_section"]).join(n, ["new_act", "new_section"])
+    gone = o.join(pairs, ["old_act", "old_section"], "left_anti").withColumn("mapping_type", F.lit("removed"))
+    fresh = n.join(pairs, ["new_act", "new_section"], "left_anti").withColumn("mapping_type", F.lit("new_provision"))
+    columns = ["old_act", "old_section", "old_title", "new_act", "new_section", "new_title", "mapping_type", "row"]
+    return both.select(columns).unionByName(gone, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
+
+
+def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
+    """keys and the distinct values of each, in the order in which they come first."""
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("o__"))
+    listed = F.array_sort(F.collect_list(F.struct("o__", F.col(value).alias("v"))))
+    return first.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(out))

@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder (spark.checkpoint.dir, a local one where unset)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where the session names none, one of this process
+    if it runs in this process alone, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or _own_dir()).rstrip("/")
+
+
+@cache
+def _own_dir() -> str:
+    found = tempfile.mkdtemp(prefix="tables-")
+    atexit.register(shutil.rmtree, found, True)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder; it goes when the process ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no reader needs any more."""
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session has ended: the cluster's own clean-up takes the folder
+        pass
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, grp): grp is the least node connected with node. Each round halves long chains."""
-    arcs = _cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    label = _cut(arcs.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("grp")))
+    arcs = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
+    label = cut(arcs.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("grp")))
     while True:
         near = arcs.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("grp").alias("near"))
         step = label.join(near, "node").select("node", F.col("grp").alias("was"), F.least("grp", "near").alias("grp"))
         far = label.select(F.col("node").alias("grp"), F.col("grp").alias("far"))
-        new = _cut(step.join(far, "grp", "left").select("node", "was", F.least("grp", F.coalesce("far", "grp")).alias("grp")))
+        new = cut(step.join(far, "grp", "left").select("node", "was", F.least("grp", F.coalesce("far", "grp")).alias("grp")))
         moved = new.where("was <> grp").limit(1).count()
         label = new.select("node", "grp")
         if not moved:

@@ -1,6 +1,6 @@
 """Every query of the library by name, and the SQL that gives the same rows."""
 
-from sparkloom.plans import graphs, quality, retrieval, texts, windows  # noqa: F401  they register their queries
+from sparkloom.plans import chunks, graphs, quality, questions, retrieval, scoring, texts, windows  # noqa: F401  they register their queries
 from sparkloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

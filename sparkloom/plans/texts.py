@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import refs, text
+from sparkloom.functions import text
 from sparkloom.plans.base import Tables, register
 
 _KEY = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
@@ -67,14 +67,6 @@ def qa_templates(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("part"), F.explode(F.slice(ranked, 1, 2)).alias("x"), F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("a")).select("part", F.col("x.q").alias("instruction"), F.col("a").alias("output"))
 
 
-@register("""with c as (select distinct o_orderkey k, 'see IPC ' || (o_orderkey % 600) || ', section ' || (o_custkey % 500) || ' of the CrPC and BNS ' || (o_orderkey % 350) || ' or ' || (o_custkey % 350) t from orders)
-select k, array_to_string(list_sort(list_distinct(['IPC ' || regexp_extract(t, 'IPC ([0-9]+)', 1), 'CRPC ' || regexp_extract(t, 'section ([0-9]+)', 1), 'BNS ' || regexp_extract(t, 'BNS ([0-9]+)', 1), 'BNS ' || regexp_extract(t, ' or ([0-9]+)', 1)])), ',') as refs from c""")
-def refs_roundtrip(t: Tables) -> DataFrame:
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    cited = F.concat(F.lit("see IPC "), k % 600, F.lit(", section "), c % 500, F.lit(" of the CrPC and BNS "), k % 350, F.lit(" or "), c % 350)
-    return t.orders.select(k.alias("k"), F.array_join(refs.extract_refs(cited), ",").alias("refs"))
-
-
 _TURNS = "p as (select a.conv_id, a.turn, b.text pred, a.text gold from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
 _METRIC = r"list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x not in ('', 'a', 'an', 'the'))"
 
