@@ -6,13 +6,14 @@ the last returns token ids. Null texts and empty tables pass through as the oper
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, line_templates, ngram_join, quality, sentencepiece_codec
-from sparkloom.llm.common import shared_dir, table
+from sparkloom.llm.common import drop, shared_dir, table
 from sparkloom.llm.queries import PIECES
 
 
@@ -49,10 +50,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)  # its only reader has been written
+        before = path
+    atexit.register(drop, spark, folder)
     return docs
 
 
