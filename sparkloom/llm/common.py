@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,14 +73,23 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, make: Callabl
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. Where the session names none, one of this process
+    if it runs in this process alone, else an error: other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
+@cache
+def _own_dir() -> str:
+    found = tempfile.mkdtemp(prefix="tables-")
+    atexit.register(shutil.rmtree, found, True)
+    return found
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors and gives the planner true sizes."""
     spark = df.sparkSession
@@ -87,11 +99,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark._jvm.System.gc()  # shuffle files that nothing refers to any more go now
-    atexit.register(_drop, spark, path)
+    atexit.register(drop, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
