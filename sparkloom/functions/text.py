@@ -75,13 +75,16 @@ def metric_key(c: Column) -> Column:
 
 def section_number(c: Column) -> Column:
     """Leading number with at most two capitals after it, without blanks; '' where there is none."""
-    return F.upper(F.regexp_replace(F.regexp_extract(c, r"^([0-9]+\s*[A-Z]{0,2})", 1), r"\s+", ""))
+    trimmed = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), r"^[\s\].,;]+|[\s\].,;]+$", "")
+    return F.upper(F.regexp_replace(F.regexp_extract(trimmed, r"^([0-9]+\s*[A-Z]{0,2})", 1), r"\s+", ""))
 
 
 def split_refs(c: Column) -> Column:
     """Distinct section numbers of a cell such as '12, 13A & 14', in order; none for new, nil or dashes."""
-    parts = F.transform(F.split(c, r",|;|&|/|\band\b"), lambda x: section_number(F.trim(x)))
-    return F.when(F.lower(F.trim(c)).isin("new", "nil", "-", ""), F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(parts, lambda x: x != "")))
+    cell = strip(F.replace(c, F.lit("\n"), F.lit(" ")))
+    parts = F.transform(F.split(cell, r"\s*(?:,|;|&|\band\b|/)\s*"), section_number)
+    none = cell.rlike(r"(?i)^(new(ly)?( added| provision| sub-?section)?|-+|nil|n/?a|none)\.?$") | (cell == "")
+    return F.when(none, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
 def natural_key(c: Column) -> Column:

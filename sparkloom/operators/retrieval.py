@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.answers import truncated
+
 BOOST = 10.0
 #: Query vectors that are sent to every task at a time.
 BLOCK = 4096
@@ -49,12 +51,6 @@ def recall(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) ->
     return at.rollup("kind").agg(*(F.round(100 * F.avg((F.col("pos") <= k).cast("double")), 4).alias(f"r{k}") for k in ks), F.count("*").alias("n"))
 
 
-def truncated(text: Column, letters: Column) -> Column:
-    """At most letters, cut at the last blank."""
-    head = F.substring(text, F.lit(1), letters)
-    return F.when(F.length(text) <= letters, text).otherwise(F.regexp_replace(head, r"\s+\S*$", ""))
-
-
 def assemble(chunks: DataFrame, most: int = 4, budget: int = 430) -> DataFrame:
     """qid, n, context: chunks (qid, pid, priority, seq, text), each once, best first, sharing a budget of 4 letters a token."""
     one = chunks.groupBy("qid", "pid").agg(F.min(F.struct("priority", "seq")).alias("o"), F.min("text").alias("text"))

@@ -25,7 +25,10 @@ def carry_forward(t: Tables) -> DataFrame:
     return layout.carry_forward(e, "user_id", "ts", "event_id", "s", "signup_id").select("event_id", "signup_id")
 
 
-@register()
+@register(
+    """with recursive c as (select user_id, min(value) as first from events group by 1 union all select c.user_id, min(e.value) from c join events e on e.user_id = c.user_id and e.value - c.first > 2.2 group by c.user_id)
+select c.user_id, c.first, count(*)::int as n from c join events e on e.user_id = c.user_id and e.value >= c.first and e.value - c.first <= 2.2 group by 1, 2"""
+)
 def anchored_clusters(t: Tables) -> DataFrame:
     return layout.anchored_clusters(t.events, "user_id", "value", 2.2)
 
@@ -82,7 +85,7 @@ def json_fields(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("n"))
 
 
-@register()
+@register("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_windowed_counts(t: Tables) -> DataFrame:
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(t._folder + "/events.parquet*")
