@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +108,22 @@ def deal(df: DataFrame, key: str, seed: str, first: float = 0.7, second: float =
     cut = F.floor(F.col("total") * F.lit(first)), F.floor(F.col("total") * F.lit(second))
     kind = F.when(F.col("rank") <= cut[0], "positive").when(F.col("rank") <= cut[0] + cut[1], "distractor").otherwise("none")
     return placed.select(*df.columns, kind.alias("condition"))
+
+
+def assigned(counts: DataFrame, shares: dict[str, float] | None = None, most: int = 5_000_000) -> DataFrame:
+    """grp, split by ``greedy_assign`` from counts (grp, qa_type, n). Each choice rests on all before it, so the counts go
+    through one task; above ``most`` of them that would not do, and ``hash_split`` is the operator to take."""
+    shares = shares or {"train": 0.85, "val": 0.10, "test": 0.05}
+    n = counts.count()
+    if n > most:
+        raise ValueError(f"{n} counts are too many for one task; use hash_split")
+    kind = counts.schema["grp"].dataType.simpleString()
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        groups: dict = {}
+        for g, k, c in zip(part["grp"], part["qa_type"], part["n"], strict=True):
+            groups.setdefault(g, {})[k] = int(c)
+        out = greedy_assign(list(groups.items()), shares)
+        return pd.DataFrame(list(out.items()), columns=["grp", "split"])
+
+    return counts.select("grp", "qa_type", "n", F.lit(0).alias("all")).groupBy("all").applyInPandas(walk, f"grp {kind}, split string")
