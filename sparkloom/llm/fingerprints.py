@@ -10,18 +10,21 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U)
 _powers: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 20
+#: Letters of text that are hashed at a time, unless one text is longer.
+TOGETHER = 500_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
+    """base^0 .. base^(n-1) modulo 2^64; at most ``KEPT_POWERS`` of them stay in memory."""
     got = _powers.get(base)
     if got is None or len(got) < n:
-        size = 1 << max(16, n.bit_length())
-        got = np.full(size, base, U)
+        got = np.full(max(n, min(KEPT_POWERS, 1 << max(16, n.bit_length()))), base, U)
         got[0] = 1
         with np.errstate(over="ignore"):
             got = np.multiply.accumulate(got)
-        _powers[base] = got
+        if len(got) <= KEPT_POWERS:
+            _powers[base] = got
     return got[:n]
 
 
@@ -41,6 +44,20 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the text) of every white-space separated word, lower case."""
+    hashes, where, at = [], [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < TOGETHER):
+            size += len(texts[end] or "")
+            end += 1
+        h, w = _hash_some(texts[at:end])
+        hashes.append(h)
+        where.append(w + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(where)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+def _hash_some(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     gap = (data == 32) | ((data >= 9) & (data <= 13))

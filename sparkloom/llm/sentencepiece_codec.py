@@ -2,12 +2,12 @@
 
 ``parse_model`` reads the protobuf wire format itself: pieces with scores and kinds, the trainer's model kind
 and byte fallback, the normaliser's flags and its compiled character map. ``build`` makes the same tokenizer
-from them: normaliser, white-space marker, unigram scores or merges, byte fallback. ``encode_texts`` encodes
-batches on several threads, decodes each result again, and compares the ids of every text with those of the
-sentencepiece library (``verify=True``).
+from them: normaliser, white-space marker, unigram scores or merges, byte fallback, user-defined pieces first.
+``encode_texts`` encodes batches of whole texts on several threads, decodes each result again by the same
+library, and compares the ids of every whole text with those of the sentencepiece library (``verify=True``).
 
-Null and empty texts give no ids and decode to ""; texts are encoded whole; repeated rows alike; other columns
-are ignored; an empty table gives an empty result.
+Null and empty texts give no ids and decode to ""; texts are encoded whole; repeated rows alike; a key that is
+no number becomes null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
@@ -122,23 +123,29 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for _, a, b in found]
 
 
-def core_of(model: Model, cache: int):
-    """The merges or the unigram lattice, with byte fallback."""
+def core_of(model: Model):
+    """The merges or the unigram lattice, with byte fallback. Words hardly repeat often enough to pay for a cache."""
     from tokenizers import models
 
     unknown = next((i for i, p in enumerate(model.pieces) if p.kind == UNKNOWN), None)
     if model.kind == BPE:
-        return models.BPE({p.text: i for i, p in enumerate(model.pieces)}, merges_of(model), unk_token=None if unknown is None else model.pieces[unknown].text, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=cache)
+        return models.BPE({p.text: i for i, p in enumerate(model.pieces)}, merges_of(model), unk_token=None if unknown is None else model.pieces[unknown].text, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     elif model.kind == UNIGRAM:
         return models.Unigram([(p.text, p.score) for p in model.pieces], unknown, model.byte_fallback)
     raise ValueError(f"model kind {model.kind} is neither unigram nor merges")
 
 
+def _decoder(model: Model):
+    from tokenizers import decoders
+
+    return decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *([decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else [])])
+
+
 def build(model: Model):
     """A tokenizers.Tokenizer that gives the model's ids."""
-    from tokenizers import Regex, Tokenizer, decoders, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
-    out = Tokenizer(core_of(model, 50_000))
+    out = Tokenizer(core_of(model))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.remove_extra_spaces:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
@@ -148,112 +155,116 @@ def build(model: Model):
     if not any(MARK in p.text.lstrip(MARK) for p in model.pieces):
         # No piece has the marker after another letter, so no piece crosses the place before a run of markers.
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else [])])
+    out.decoder = _decoder(model)
     return out
 
 
-SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean, parity boolean"
-#: Distinct words whose ids a task remembers; when as many again have come, those not met since are forgotten.
-MEMORY = 500_000
+def separable(model: Model) -> bool:
+    """Whether no piece crosses the place before a run of markers and normalising keeps every letter."""
+    return not (model.charsmap or model.remove_extra_spaces) and model.add_dummy_prefix and model.escape_spaces and not any(MARK in p.text.lstrip(MARK) or p.kind == USER for p in model.pieces)
 
 
-def separable(model: Model) -> bool:
-    """Whether no piece crosses the place before a run of markers and normalising keeps every letter, so that
-    a text's ids are those of its words in turn."""
-    return not (model.charsmap or model.remove_extra_spaces) and model.add_dummy_prefix and model.escape_spaces and not any(MARK in p.text.lstrip(MARK) for p in model.pieces)
+def build_plain(model: Model):
+    """The same ids for texts without runs of blanks and without the marker, by the library's own marker splitting;
+    None where the model does not allow it."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    if not separable(model):
+        return None
+    out = Tokenizer(core_of(model))
+    out.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="always", split=True)
+    return out
+
+
+SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean, parity boolean"
+#: Letters of text that are encoded at a time (one longer text is taken alone): the tokens of a batch take many times as much memory.
+BATCH_LETTERS = 500_000
 
 
 class Codec:
-    """Encodes texts in batches, decodes the ids again and compares them with the sentencepiece library's."""
+    """Encodes batches of whole texts on several threads, decodes the ids again by the same library and compares
+    them with the sentencepiece library's ids of the whole text. It keeps nothing from one batch to the next."""
 
     def __init__(self, data: bytes, verify: bool) -> None:
-        self.model = parse_model(data)
-        self.tokenizer = build(self.model)
-        self.by_word = separable(self.model)
-        if self.by_word:
-            from tokenizers import Tokenizer
+        from tokenizers import decoders, normalizers
 
-            self.of_word = Tokenizer(core_of(self.model, 0))
+        self.model = parse_model(data)
+        self.tokenizer, self.plain = build(self.model), build_plain(self.model)
+        self.tokenizer.decoder = decoders.ByteFallback()  # markers become blanks for a whole text at once, in decode
+        self.own = {p.text: i for i, p in enumerate(self.model.pieces) if p.kind == USER}
+        if self.own:  # user-defined pieces are cut out of the normal text before anything is merged
+            self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")").split
+            self.normal, self.tokenizer.normalizer = self.tokenizer.normalizer.normalize_str, normalizers.Sequence([])
         self.peer = None
         if verify:
             from sentencepiece import SentencePieceProcessor
 
             self.peer = SentencePieceProcessor(model_proto=data)
-        self.memory: dict[str, tuple[bytes, bool | None]] = {}
-        self.older: dict[str, tuple[bytes, bool | None]] = {}
-        self.words = re.compile(" *[^ ]+| +").findall
-        self.letters = [bytes([int(p.text[3:5], 16)]) if p.kind == BYTE else p.text.replace(MARK, " ").encode() for p in self.model.pieces]
-
-    def compared(self, encodings: list, texts: list[str]) -> list[tuple[np.ndarray, bool | None]]:
-        ids = [e.ids for e in encodings]
-        peers = self.peer.encode(texts, num_threads=1) if self.peer else [None] * len(texts)
-        return [(np.array(a, "<i4"), None if b is None else a == b) for a, b in zip(ids, peers, strict=True)]
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words; each starts with a blank, as the encoder puts one before a text."""
-        got = self.compared(self.of_word.encode_batch_fast([w.replace(" ", MARK) for w in words], add_special_tokens=False), [w[1:] for w in words])
-        for w, (ids, same) in zip(words, got, strict=True):
-            self.memory[w] = ids.tobytes(), same
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool | None]]:
-        if not self.by_word:
-            return self.compared(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts)
-        split = [self.words(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        new = set()
-        for w in {w for words in split for w in words}:
-            if w not in self.memory:
-                if (x := self.older.get(w)) is None:
-                    new.add(w)
-                else:
-                    self.memory[w] = x
-        if new:
-            self.learn(sorted(new))
-        lookup, out = self.memory, []
-        if len(lookup) > MEMORY:
-            self.memory, self.older = {}, lookup
-        for t, words in zip(texts, split, strict=True):
-            got = [lookup[w] for w in words]
-            ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4")
-            blank = words and not words[-1].strip(" ")  # blanks at the end: compare the text itself
-            same = None if self.peer is None else self.peer.encode(t) == ids.tolist() if blank else all([g[1] for g in got])
-            out.append((ids, same))
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        if self.own:
+            parts = [[x for x in self.cut(self.normal(t)) if x] if t else [] for t in texts]
+            got = iter(self.tokenizer.encode_batch_fast([x for part in parts for x in part if x not in self.own], add_special_tokens=False))
+            return [[i for x in part for i in ([self.own[x]] if x in self.own else next(got).ids)] for part in parts]
+        easy = [self.plain is not None and t != "" and t[0] != " " and "  " not in t and MARK not in t for t in texts]
+        out: list[list[int]] = [[]] * len(texts)
+        for tokenizer, wanted in ((self.plain, True), (self.tokenizer, False)):
+            some = [i for i, e in enumerate(easy) if e is wanted]
+            if some:
+                for i, e in zip(some, tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
+                    out[i] = e.ids
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        if not self.by_word:
-            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
-        letters = self.letters
-        return b"".join([letters[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
+    def decode(self, ids: list[int]) -> str:
+        text = self.tokenizer.decode(ids, skip_special_tokens=False).replace(MARK, " ")
+        return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
 
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool | None]]:
+        """(ids, whether they decode to the text, whether sentencepiece gives them) of every text."""
+        for t, own in zip(texts, self.ids(texts), strict=True):
+            yield np.frombuffer(array("i", own), np.int32), self.decode(own) == t, None if self.peer is None else self.peer.encode(t) == own
 
-def encode_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", verify: bool = True, threads: int = 2) -> DataFrame:
-    """One row a document: the ids, whether they decode to the text, and whether sentencepiece gives them too (null if not verified).
 
-    Where words are separable, each word that a task meets is encoded once, by the tokenizers library in
-    batches, and verified once; else whole texts are.
-    """
+_codecs: dict[tuple, Codec] = {}
+
+
+def codec_of(data: bytes, verify: bool) -> Codec:
+    """The codec of a model, built once a worker; it keeps no texts."""
+    key = sha256(data).digest(), verify
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(data, verify)
+    return _codecs[key]
+
+
+def encode_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", verify: bool = True, threads: int = 2) -> DataFrame:
+    """One row a document: the ids, whether they decode to the text, and whether sentencepiece gives them too (null if not verified)."""
     data = Path(model_file).read_bytes()  # a few MB, the same for any corpus
 
     def make() -> Callable[..., Iterator[tuple]]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        codec = Codec(data, verify)
+        codec = codec_of(data, verify)
 
         def work(keys: list, texts: list) -> Iterator[tuple]:
+            whole = [t or "" for t in texts]
+            distinct = list(dict.fromkeys(whole))  # copies in one Arrow batch are encoded once
+            found: dict[str, tuple] = {}
             at = 0
-            while at < len(texts):  # a few MB of text at a time
+            while at < len(distinct):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 4_000_000):
-                    size += len(texts[end] or "")
+                while end < len(distinct) and (end == at or size < BATCH_LETTERS):
+                    size += len(distinct[end])
                     end += 1
-                part = [t or "" for t in texts[at:end]]
-                for k, t, (ids, same) in zip(keys[at:end], part, codec.encode(part), strict=True):
-                    yield k, len(ids), ids, sha256(ids.tobytes()).hexdigest(), codec.decode(ids) == t, same
+                part = distinct[at:end]
+                for t, (ids, back, same) in zip(part, codec.encode(part), strict=True):
+                    found[t] = len(ids), ids, sha256(ids.tobytes()).hexdigest(), back, same
                 at = end
+            return ((k, *found[t]) for k, t in zip(keys, whole, strict=True))
 
         return work
 
-    return map_columns(df, [F.col(key).cast("long"), F.col(text)], SCHEMA, make)
+    return map_columns(df, [F.col(key).try_cast("long"), F.col(text)], SCHEMA, make)
 
 
 def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -264,4 +275,4 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "ids", key: str = "doc
         tokenizer = build(parse_model(data))
         return lambda keys, rows: zip(keys, tokenizer.decode_batch([list(x or []) for x in rows], skip_special_tokens=False), strict=True)
 
-    return map_columns(df, [F.col(key).cast("long"), F.col(ids)], "doc_id long, text string", make)
+    return map_columns(df, [F.col(key).try_cast("long"), F.col(ids)], "doc_id long, text string", make)
