@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACES, keep
+from sparkloom.llm.common import SPACES, keep, let
 
 FIELD = "<*>"
 MIN_DOCS = 20
@@ -79,12 +79,15 @@ def recurring(lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
 
 
 def drop_recurring_lines(df: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed_share: float = FIXED_SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df with the recurring lines taken out of the text, and n_lines_dropped."""
+    """df with the recurring lines taken out of the text, and n_lines_dropped (added to a column of that name, if df has it)."""
     lines = keep(lines_of(df, text, key, depth), "lines")
     out = keep(recurring(lines, min_docs, fixed_share), "templates")
+    # both sides are tables, so that a frequent line's side can be split (AQE)
     gone = lines.select("d", "h", "pos", "leaf", "line").join(out, ["leaf", "line"], "left_semi").groupBy("d", "h").agg(F.collect_set("pos").alias("gone__"))
     gone = keep(gone.withColumnRenamed("d", "d__").withColumnRenamed("h", "h__"), "gone")
     joined = df.join(gone, F.col(key).eqNullSafe(F.col("d__")) & (F.xxhash64(F.col(text)) == F.col("h__")), "left")
-    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("gone__"), i))
+    left = let(F.split(F.col(text), "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone__")), lambda i: F.get(x, i)))
     new = F.when(F.col("gone__").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn(text, new).withColumn("n_lines_dropped", F.coalesce(F.size("gone__"), F.lit(0)).cast("long")).select(*df.columns, "n_lines_dropped")
+    before = F.coalesce(F.col("n_lines_dropped"), F.lit(0)) if "n_lines_dropped" in df.columns else F.lit(0)
+    dropped = (before + F.coalesce(F.size("gone__"), F.lit(0))).cast("long")
+    return joined.withColumn(text, new).withColumn("n_lines_dropped", dropped).select(*(c for c in df.columns if c != "n_lines_dropped"), "n_lines_dropped")
