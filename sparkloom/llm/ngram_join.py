@@ -31,8 +31,8 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 #: Members of a chunk, and hashes of a chunk.
-CHUNK_SETS = 2048
-CHUNK_HASHES = 2_000_000
+CHUNK_SETS = 1024
+CHUNK_HASHES = 1_000_000
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -84,7 +84,7 @@ def fingerprint(df: DataFrame, text: str, key: str, words: int, bands: int, rows
 
         return work
 
-    return map_columns(df, [F.col(key).cast("long"), F.md5(F.col(text).cast("binary")), F.col(text)], "doc_id long, h string, set string, n long, bands array<long>", make)
+    return map_columns(df, [F.col(key).try_cast("long"), F.md5(F.col(text).cast("binary")), F.col(text)], "doc_id long, h string, set string, n long, bands array<long>", make)
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
+    width = 1024
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (low, low + width))
         tile = np.zeros((len(sets), width), np.float32)
@@ -198,7 +198,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
 
         return work
 
-    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.md5(F.col(text).cast("binary")).alias("h"), F.col(text).alias("t"))
+    texts = df.select(F.col(key).try_cast("long").alias("doc_id"), F.md5(F.col(text).cast("binary")).alias("h"), F.col(text).alias("t"))
     match = wanted.select("set", F.col("doc_id").alias("d"), F.col("h").alias("g"))
     payload = map_columns(texts.join(match, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))), [F.col("set"), F.col("t")], "set string, grams binary", grams)
     payload = keep(payload.dropDuplicates(["set"]).join(wanted.select("set", "weight", "n", "bands"), "set"), "grams")
@@ -230,5 +230,5 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", **options)
     chosen = classes.where("class_key is not null").select("kept.doc_id", "kept.h").distinct().select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
     hashed = df.withColumn("text_hash__", F.md5(F.col(text).cast("binary")))
     words = F.coalesce(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) != ""
-    kept = hashed.where(words).join(chosen, F.col(key).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_hash__") == F.col("kept_h")), "left_semi").dropDuplicates([key, "text_hash__"])
+    kept = hashed.where(words).join(chosen, F.col(key).try_cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_hash__") == F.col("kept_h")), "left_semi").dropDuplicates([key, "text_hash__"])
     return kept.unionByName(hashed.where(~words)).select(df.columns)
