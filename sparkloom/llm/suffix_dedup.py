@@ -2,24 +2,27 @@
 
 1. Every window of ``length`` bytes is named by its least k-gram (its anchor), so equal windows have equal anchors
    at equal offsets; a window belongs to one anchor alone. Only anchors that occur twice go on.
-2. The windows of one anchor are a suffix bucket. Buckets are sorted one at a time (many small ones together),
-   from the bytes around the anchor alone. Suffixes at the places of a difference cover (``COVER`` modulo ``PERIOD``)
-   are ranked first, from right to left; any other suffix compares the few bytes up to its next cover place and
-   then that rank, so long ties cost no more than short ones and memory holds one bucket's bytes.
-3. A suffix repeats if it agrees with a neighbour in its sorted bucket over ``length`` bytes.
-
-Equal surroundings are sorted once with a count. A bucket of more than ``BUCKET`` distinct surroundings is not
-put into one task: its windows are grouped by their 128-bit hashes in a shuffle instead. Documents that are
-exact copies of each other are covered wholly; one of them stands for all when others are compared.
-
-Null and empty texts and texts under ``length`` bytes are never covered; repeated rows are exact copies; other
-columns are ignored; an empty table gives an empty result.
+2. The bytes around some anchors (whole anchors, many small ones together) make a text. The suffixes of it that start
+   at places of a difference cover modulo ``PERIOD`` are ranked once, by doubling. Then the windows are sorted as
+   suffixes, one block of leading bytes at a time: of two suffixes at any places, one shift brings both to places of
+   the cover, so a comparison takes the few bytes up to there and two ranks, however long the tie. Memory holds the
+   text, the ranks of the cover and one block.
+3. A window repeats if it agrees with a neighbour in the sorted block over ``length`` bytes.
+
+Equal surroundings are sorted once with a count. An anchor of more than ``BUCKET`` distinct surroundings would not fit
+a task: its windows go to finer buckets, one for each offset and content (128-bit hashes); those of one bucket agree
+wholly, so their number decides. Documents that are exact copies of each other are covered wholly; one of them stands
+for all when others are compared.
+
+Null and empty texts and texts under ``length`` bytes are never covered; repeated rows are exact copies; a key that
+is no number becomes null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b, md5, sha256
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +34,26 @@ from sparkloom.llm.fingerprints import INVERSE, U, mix, powers, prefix_sums
 
 LENGTH = 200
 GRAM = 64
-PERIOD = 16
-BUCKET = 40_000
-#: Surroundings that one sort takes at a time, unless a bucket has more.
-TOGETHER = 20_000
+#: Period of the difference cover, at most 8: a shift stays within the eight bytes that compare as one number.
+PERIOD = 3
+BUCKET = 16_000
+#: Surroundings that make a text, unless an anchor has more; suffixes of a block, unless one pair of leading bytes has more.
+TOGETHER = 8_000
+BLOCK = 200_000
 _PLACE_BITS = 30
 
 
 def difference_cover(period: int) -> list[int]:
-    """Few residues among which every difference modulo period occurs: small ones, then multiples of the root."""
+    """Few residues among which every difference modulo period occurs: for a small period the fewest, else small ones
+    and multiples of the root."""
+    if period < 8:
+        return next(list(c) for n in range(1, period + 1) for c in combinations(range(period), n) if len({(x - y) % period for x in c for y in c}) == period)
     root = int(period**0.5)
     while root * root < period:
         root += 1
     return sorted({*range(root), *(i % period for i in range(root, period + root, root))})
 
 
-COVER = difference_cover(PERIOD)
-
 
 def anchors(texts: list[bytes], length: int, gram: int) -> list[np.ndarray]:
     """For each text rows of (hash of the anchor, its place, first and last start of the windows it names)."""
@@ -82,57 +88,95 @@ def anchors(texts: list[bytes], length: int, gram: int) -> list[np.ndarray]:
     return out
 
 
-def sort_buckets(bucket: np.ndarray, around: np.ndarray, low: np.ndarray, high: np.ndarray, times: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Which windows repeat. Row i: bucket number, bytes around the anchor (the anchor at column length - gram),
-    offsets low..high of its windows before the anchor, and how many documents' places it stands for.
-    Returns a matrix rows x (length - gram + 1), by offset."""
-    rows, columns = around.shape
-    left = length - gram
-    wide = np.zeros((rows, columns + 2 * PERIOD), np.uint8)
-    wide[:, :columns] = around
-    step = 8
-    # eight bytes from each column on, as one number that sorts like them
-    eight = np.zeros((columns + PERIOD, rows), U)
-    for k in range(step):
-        eight |= wide[:, k : k + columns + PERIOD].T.astype(U) << U(8 * (step - 1 - k))
-    rank: dict[int, np.ndarray] = {}
-    blank = np.zeros(rows, np.int64)
-    for c in range(columns - 1, -1, -1):
-        if c % PERIOD not in COVER:
-            continue
-        far = rank.get(c + PERIOD, blank)
-        keys = (far, eight[c + 8], eight[c], bucket)
-        order = np.lexsort(keys)
-        new = np.zeros(rows, bool)
-        for key in keys:
-            sorted_key = key[order]
-            new[1:] |= sorted_key[1:] != sorted_key[:-1]
-        rank[c] = np.empty(rows, np.int64)
-        rank[c][order] = np.cumsum(new)
-    out = np.zeros((rows, left + 1), bool)
-    for offset in range(left + 1):
-        here = np.flatnonzero((low <= offset) & (offset <= high))
-        if not len(here):
-            continue
-        c = left - offset
-        skip = next(x for x in range(PERIOD) if (c + x) % PERIOD in COVER)
-        lead = eight[c][here] >> U(64 - 8 * skip) if skip else np.zeros(len(here), U)
-        tail = rank[c + skip][here] if c + skip in rank else blank[here]
-        order = here[np.lexsort((tail, lead, bucket[here]))]
-        a, b = order[:-1], order[1:]
-        same = bucket[a] == bucket[b]
-        at = 0
-        while at < length and len(a):
-            take = min(8, length - at)
-            differ = (eight[c + at][a] ^ eight[c + at][b]) >> U(64 - 8 * take) if take < 8 else eight[c + at][a] ^ eight[c + at][b]
-            alive = np.flatnonzero(same)
-            if not len(alive):
-                break
-            same &= differ == 0
-            at += take
-        out[a[same], offset] = True
-        out[b[same], offset] = True
-        out[here[times[here] > 1], offset] = True
+def leading(data: np.ndarray, length: int) -> np.ndarray:
+    """The eight bytes from each place on, as one number that sorts like them; room for ``length`` more places."""
+    wide = np.zeros(len(data) + length + 32, np.uint8)
+    wide[: len(data)] = data
+    out = np.zeros(len(wide) - 8, U)
+    for k in range(8):
+        out |= wide[k : k + len(out)].astype(U) << U(8 * (7 - k))
+    return out
+
+
+def cover_ranks(eight: np.ndarray, n: int, length: int, period: int, cover: list[int]) -> np.ndarray:
+    """Rank of the suffix at every place of the cover by at least ``length`` of its bytes; 0 at other places and beyond the end."""
+    width = 8 * period
+    places = np.flatnonzero(np.isin(np.arange(n) % period, cover))
+    rank = np.zeros(n + length + 2 * width, np.int64)
+
+    def set_ranks(order: np.ndarray, new: np.ndarray) -> int:
+        got = np.cumsum(new)
+        rank[places[order]] = got
+        return int(got[-1]) if len(got) else 0
+
+    keys = [eight[np.minimum(places + 8 * k, len(eight) - 1)] for k in reversed(range(period))]
+    order = np.lexsort(keys)
+    new = np.ones(len(places), bool)
+    if len(places):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    most = set_ranks(order, new)
+    while width < length and most < len(places):
+        key = rank[places] * np.int64(most + 1) + rank[np.minimum(places + width, len(rank) - 1)]
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        new[1:] = ordered[1:] != ordered[:-1]
+        most = set_ranks(order, new)
+        width *= 2
+    return rank
+
+
+def sorted_block(places: np.ndarray, eight: np.ndarray, rank: np.ndarray, period: int, cover: list[int]) -> np.ndarray:
+    """The places in the order of their suffixes. For each pair of residues there is a shift that brings both to the
+    cover; in that pair's order each suffix counts those of the other residue before it, and the counts add up to its place."""
+    residue = places % period
+    kinds = [r for r in range(period) if (residue == r).any()]
+    before, own = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for i, r in enumerate(kinds):
+        for q in kinds[i + 1 :] or ([r] if len(kinds) == 1 else []):
+            shift = next(x for x in range(period) if (r + x) % period in cover and (q + x) % period in cover)
+            some = np.flatnonzero((residue == r) | (residue == q))
+            at = places[some]
+            head = eight[at] >> U(64 - 8 * shift) if shift else np.zeros(len(at), U)
+            order = np.lexsort((rank[at + shift], head))
+            some = some[order]
+            first = residue[some] == r
+            upto = np.cumsum(first)
+            index = np.arange(len(some))
+            own[some] = np.where(first, upto - 1, index - upto)
+            if r != q:
+                before[some] += np.where(first, index + 1 - upto, upto)
+    return places[np.argsort(before + own, kind="stable")]
+
+
+def repeated_windows(pieces: list[bytes], low: np.ndarray, high: np.ndarray, times: np.ndarray, length: int, period: int = PERIOD, block: int = BLOCK) -> np.ndarray:
+    """Which windows repeat. Piece i holds the windows of offsets high..low before its anchor, one starting at each of its
+    first places, and stands for times[i] places of documents. A matrix pieces x offsets."""
+    cover = difference_cover(period)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    eight = leading(data, length)
+    rank = cover_ranks(eight, len(data), length, period, cover)
+    starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces])[:-1])).astype(np.int64)
+    counts = high - low + 1
+    row = np.repeat(np.arange(len(pieces)), counts)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    places, offset = starts[row] + within, high[row] - within
+    lead = (eight[places] >> U(48)).astype(np.uint16)
+    order = np.argsort(lead, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(lead[order])) + 1, [len(order)]))  # a block holds whole groups of leading bytes
+    again = np.zeros(len(data), bool)
+    at = 0
+    while at < len(cuts) - 1:
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + block, "right")) - 1)
+        line = sorted_block(places[order[cuts[at] : cuts[end]]], eight, rank, period, cover)
+        a, b = line[:-1], line[1:]
+        for k in range(0, length, 8):
+            take = min(8, length - k)
+            same = (eight[a + k] ^ eight[b + k]) >> U(64 - 8 * take) == 0
+            a, b = a[same], b[same]
+        again[a] = again[b] = True
+        at = end
+    out = np.zeros((len(pieces), int(high.max()) + 1 if len(high) else 0), bool)
+    out[row, offset] = again[places] | (times[row] > 1)
     return out
 
 
@@ -142,19 +186,12 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _sorter(length: int, gram: int) -> Callable:
+def _sorter(length: int) -> Callable:
     """Rows (g, low, high, around, times, u), sorted by g, to (g, low, high, u, runs of repeated offsets)."""
-    left = length - gram
-    columns = left + length
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        around = np.zeros((len(rows), columns), np.uint8)
-        for i, (_, _, high, text, _, _) in enumerate(rows):
-            piece = np.frombuffer(text, np.uint8)
-            around[i, left - high : left - high + len(piece)] = piece
-        names = np.array([r[0] for r in rows], np.int64)
-        number = np.cumsum(np.concatenate(([0], names[1:] != names[:-1])))
-        got = sort_buckets(number, around, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[4] for r in rows]), length, gram)
+        low, high, times = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 4))
+        got = repeated_windows([r[3] for r in rows], low, high, times, length)
         keep_rows = [(*r[:3], r[5], [{"a": a, "b": b} for a, b in _runs(got[i])]) for i, r in enumerate(rows) if got[i].any()]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in keep_rows], t) for c, t in enumerate(kinds)], ["g", "low", "high", "u", "runs"])
@@ -175,7 +212,7 @@ def _sorter(length: int, gram: int) -> Callable:
 
 def _named(df: DataFrame, text: str, key: str) -> DataFrame:
     """d, h, h2 (two hashes that name a document's text) and its bytes t."""
-    bare = df.select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    bare = df.select(F.col(key).try_cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     return bare.select("d", F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit(1)).alias("h2"), "t")
 
 
@@ -201,11 +238,12 @@ def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, b
     found = map_columns(named, [F.col(c) for c in ("d", "h", "h2", "t")], "d long, h long, h2 long, g array<long>, x array<long>", find)
     found = keep(found.withColumn("row", F.monotonically_increasing_id()), "anchors")
     heads = found.select("row", "d", "h", "h2")
-    groups = heads.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("row").alias("least")).where("n > 1")
+    groups = keep(heads.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("row").alias("least")).where("n > 1"), "groups")
     copies = keep(heads.join(groups, ["h", "h2"]).select("row", "d", "h", "h2", (F.col("row") == F.col("least")).alias("stands")), "copies")
     places = found.select("row", "h", F.explode(F.arrays_zip("g", "x")).alias("p")).select("row", "h", "p.g", "p.x")
     here = F.xxhash64("h", "x")  # the same place of a copy is the same place
-    twice = places.groupBy("g").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a <> b").select("g")
+    # a table of its own, so that the join below reads two shuffles and a hot anchor's side can be split (AQE)
+    twice = keep(places.groupBy("g").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a <> b").select("g"), "twice")
     wanted = places.select("row", "g", "x").join(twice, "g").groupBy("row").agg(F.collect_list(F.struct("g", "x")).alias("p"))
     wanted = keep(wanted.join(copies.where("not stands").select("row"), "row", "left_anti").join(heads, "row").drop("row"), "wanted")
 
@@ -226,7 +264,7 @@ def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, b
     big = keep(kinds.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("g"), "big")
     # a bucket sorts as one, so its rows meet in one task; their number is bounded by `bucket`
     sized = kinds.join(big, "g", "left_anti").select("g", "low", "high", "around", "times", "u").repartition("g").sortWithinPartitions("g")
-    sorted_ = sized.mapInArrow(_sorter(length, gram), "g long, low int, high int, u binary, runs array<struct<a:int,b:int>>")
+    sorted_ = sized.mapInArrow(_sorter(length), "g long, low int, high int, u binary, runs array<struct<a:int,b:int>>")
     repeats = keep(sorted_, "runs")
 
     def hashed() -> Callable[..., Iterator[tuple]]:
