@@ -1,14 +1,16 @@
 """Language-model scores from the lattice of all subword segmentations.
 
 The pieces are those of an existing tokenizer model (never trained here). A unigram model's scores are log
-probabilities and weight the pieces as they are; a merge model's scores are only ranks, so its pieces start
-from 1/(rank + 2). Expected piece counts over every training word (forward-backward, one round) then give the
-piece probabilities of this corpus; the end of a text is one more piece. A text's probability is the product
-over its words of the sum over all segmentations, by forward recursion in log space, times the end's.
+probabilities and weight the pieces as they are (``rounds`` 0 by default); at every word the text may end, with a
+probability that the training texts give. A merge model's scores are only ranks, so its pieces start from
+1/(rank + 2), and expected piece counts over every training word (forward-backward, one round by default) give the
+piece probabilities of this corpus; the end of a text is one more piece. A text's probability is the product over its
+words of the sum over all segmentations, by forward recursion in log space, times the end's.
 
 Words occur a thousandfold, so the recursion runs once for every distinct word. Words are counted with partial
 sums before the shuffle. The ``head_words`` most frequent words (a stated bound) travel to the tasks as one
-table; all rarer words are joined by a shuffle, so nothing is left out and no word is hot in the shuffle.
+table (words of over ``LONG_WORD`` letters by their hash); all rarer words are joined by a shuffle, so nothing is
+left out and no word is hot in the shuffle.
 
 Null and empty texts consist of the end alone; repeated rows are scored alike (rows, not doc_ids, are the
 unit); other columns are ignored; a null doc_id counts as the text "" for the fold; an empty table gives an
@@ -18,8 +20,10 @@ empty result; without training texts every count is 0.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from itertools import chain, compress, repeat
 from pathlib import Path
 
@@ -29,18 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import keep, map_columns
-from sparkloom.llm.sentencepiece_codec import Model, parse_model
+from sparkloom.llm.sentencepiece_codec import UNIGRAM, Model, parse_model
 
 MARK = "▁"
 LOG10 = math.log(10)
-#: Most frequent words sent to every task (at most this many rows, each of at most 64 letters).
+#: Most frequent words sent to every task (at most this many rows), and letters above which a hash stands for a word.
 HEAD_WORDS = 100_000
+LONG_WORD = 64
 #: Smoothing of the pieces' expected counts.
 PRIOR = 0.1
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
-#: A training word's letters that the expected counts take at a time.
-LONGEST = 4096
 #: Words of at most this many letters are summed side by side, longer ones letter by letter; the sums are the same.
 SIDE_BY_SIDE = 48
 #: Words that are summed side by side at a time.
@@ -161,8 +164,7 @@ class Lattice:
                     into[p] += part
         for n, w in enumerate(words):
             if len(w) > SIDE_BY_SIDE:
-                for part in range(0, len(w), LONGEST):
-                    self.expect(w[part : part + LONGEST], times[n], into)
+                self.expect(w, times[n], into)
 
     def forward(self, s: str) -> float:
         get, longest, n, exp, log = self.weights.get, self.longest, len(s), math.exp, math.log
@@ -185,40 +187,35 @@ class Lattice:
     def spelled(self, letter: str) -> list[str]:
         return [f"<0x{b:02X}>" for b in letter.encode("utf-8", "replace")]
 
+    def steps(self, s: str, j: int, scale: array) -> Iterator[tuple[int, float, str | None]]:
+        """(start, weight, piece or None) of the arcs that end at j; weights hold the factors of the places they pass."""
+        get, factor = self.linear.get, 1.0
+        for i in range(j - 1, max(-1, j - self.longest - 1), -1):
+            if (w := get(s[i:j])) is not None:
+                yield i, w * factor, s[i:j]
+            factor *= scale[i]
+        if get(s[j - 1]) is None:
+            yield j - 1, math.exp(sum(self.weights.get(p, -30.0) for p in self.spelled(s[j - 1]))), None
+
     def expect(self, s: str, times: float, into: dict[str, float]) -> None:
-        """Adds times the expected count of every piece of s. Sums are kept near 1 by a factor for each place."""
-        get, longest, n, exp = self.linear.get, self.longest, len(s), math.exp
-        a, scale, arcs = [1.0] + [0.0] * n, [1.0] * (n + 1), []
+        """Adds times the expected count of every piece of s, whatever its length. The forward sums are kept at 1 by a factor
+        for each place, so only the factors are held; the arcs are looked up again on the way back."""
+        n = len(s)
+        scale, back = array("d", bytes(8 * (n + 1))), array("d", bytes(8 * (n + 1)))
+        scale[0] = 1.0
         for j in range(1, n + 1):
-            # a[i] holds the sum up to i times the factors up to i; keep that product's meaning at j
-            total, factor, here = 0.0, 1.0, []
-            for i in range(j - 1, j - longest - 1 if j > longest else -1, -1):
-                piece = s[i:j]
-                w = get(piece)
-                if w is not None:
-                    here.append((i, w * factor, piece))
-                    total += a[i] * w * factor
-                factor *= scale[i]
-            if get(s[j - 1]) is None:
-                w = exp(sum(self.weights.get(p, -30.0) for p in self.spelled(s[j - 1])))
-                here.append((j - 1, w, None))
-                total += a[j - 1] * w
-            scale[j] = 1.0 / total
-            a[j] = 1.0
-            arcs.append(here)
-        b = [0.0] * n + [1.0]
+            scale[j] = 1.0 / sum(w for _, w, _ in self.steps(s, j, scale))
+        back[n] = 1.0
         for j in range(n, 0, -1):
-            up = b[j] * scale[j]
-            for i, w, piece in arcs[j - 1]:
+            up = back[j] * scale[j]
+            for i, w, piece in self.steps(s, j, scale):
                 part = w * up
-                b[i] += part
-                share = a[i] * part * times
-                if share > 1e-9:
-                    if piece is None:
-                        for p in self.spelled(s[j - 1]):
-                            into[p] += share
-                    else:
-                        into[piece] += share
+                back[i] += part
+                if piece is not None:
+                    into[piece] += part * times
+                else:
+                    for p in self.spelled(s[j - 1]):
+                        into[p] += part * times
 
 
 def held_out(key: Column) -> Column:
@@ -234,10 +231,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_BYTES).split()
 
 
-def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", fold: Callable[[Column], Column] = held_out, head_words: int = HEAD_WORDS, rounds: int = 1) -> DataFrame:
+def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", fold: Callable[[Column], Column] = held_out, head_words: int = HEAD_WORDS, rounds: int | None = None) -> DataFrame:
     """One row a document, see the contract of op9; score is log10 of the text's probability."""
     spark = df.sparkSession
     model = parse_model(Path(model_file).read_bytes())
+    rounds = (0 if model.kind == UNIGRAM else 1) if rounds is None else rounds
 
     def count() -> Callable[..., Iterator[tuple]]:
         counted: Counter = Counter()
@@ -286,9 +284,10 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
         total = sum(got.get(p, 0.0) + PRIOR for p in weights) + ends + PRIOR
         weights = {p: math.log((got.get(p, 0.0) + PRIOR) / total) for p in weights}
         end_weight = math.log((ends + PRIOR) / total)
-    if not rounds:
+    go_on = 0.0
+    if not rounds:  # the pieces keep their scores; a text ends or goes on before every word
         end_weight = math.log((ends + 0.5) / (n_tokens + 1))
-        weights = {p: w + math.log1p(-math.exp(end_weight)) for p, w in weights.items()}
+        go_on = math.log1p(-math.exp(end_weight))
     sent = spark.sparkContext.broadcast(weights)
     norm = n_tokens + 0.5 * (n_types + 1)
 
@@ -297,12 +296,14 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
 
         def work(words: list, counts: list) -> Iterator[tuple]:
             for w, c, lp in zip(words, counts, lattice.forward_all([MARK + w for w in words]), strict=True):
-                yield w, int(c > 0), math.log10((c + 0.5) / norm), lp / LOG10, c
+                yield w, int(c > 0), math.log10((c + 0.5) / norm), (lp + go_on) / LOG10, c
 
         return work
 
     rated = keep(map_columns(vocab, [F.col("word"), F.col("c")], "word string, known int, base double, lp double, c long", rate), "rated")
-    top = rated.where("length(word) <= 64").orderBy(F.desc("c"), "word").limit(head_words).select("word", "known", "base", "lp").toArrow()
+    short = F.length("word") <= LONG_WORD
+    name = F.when(short, F.col("word")).otherwise(F.concat(F.lit("\0"), F.md5("word")))  # no word holds this letter first and a hash after it
+    top = rated.orderBy(F.desc("c"), "word").limit(head_words).select(name.alias("word"), "known", "base", "lp").toArrow()
     head = spark.sparkContext.broadcast((top["word"].to_pylist(), *(top[c].to_numpy() for c in ("known", "base", "lp"))))
     end = (int(ends > 0), math.log10((ends + 0.5) / norm) if norm else 0.0, end_weight / LOG10)
 
@@ -314,6 +315,9 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
             for k, h, t in zip(keys, held, texts, strict=True):
                 words = words_of(t)
                 at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                for x in np.flatnonzero(at < 0):
+                    if len(words[x]) > LONG_WORD:
+                        at[x] = place(b"\0" + md5(words[x]).hexdigest().encode(), -1)
                 rare = Counter(compress(words, (at < 0).tolist()))
                 at = at[at >= 0]
                 known, base, lp = (e + v[at].sum().item() for e, v in zip(end, values, strict=True))
@@ -321,7 +325,7 @@ def score_texts(df: DataFrame, model_file: str, text: str = "text", key: str = "
 
         return work
 
-    first = map_columns(df, [F.col(key).cast("long"), fold(F.col(key)), F.col(text)], "doc_id long, held_out boolean, n_tokens long, known long, base double, lp double, word array<string>, tf array<long>", sums)
+    first = map_columns(df, [F.col(key).try_cast("long"), fold(F.col(key)), F.col(text)], "doc_id long, held_out boolean, n_tokens long, known long, base double, lp double, word array<string>, tf array<long>", sums)
     first = keep(first.withColumn("row", F.monotonically_increasing_id()), "sums")
     rest = first.select("row", F.explode(F.arrays_zip("word", "tf")).alias("r")).select("row", "r.word", "r.tf").join(rated.drop("c"), "word")
     parts = first.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "lp").unionByName(rest.select("row", (F.col("known") * F.col("tf")).alias("known"), (F.col("base") * F.col("tf")).alias("base"), (F.col("lp") * F.col("tf")).alias("lp")), allowMissingColumns=True)
