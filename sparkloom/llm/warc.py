@@ -7,8 +7,9 @@ target URI, and with the digests of the source beside their own. Identifiers are
 identifier and the kind, so a task that runs again makes the same records. ``parse`` and ``serialize`` read and
 write the WARC 1.1 format, gzip members included.
 
-A null or empty response block gives empty text and no outlinks; a missing header is left out, not invented;
-repeated rows give repeated records; records that are no response are passed over; other columns are ignored;
+A null or empty response block gives empty text and no outlinks; a missing header is left out, not invented; payloads
+are decoded as their headers say (chunks, gzip, deflate, charset); repeated rows give repeated records; a key that is
+no number becomes null; records that are no response are passed over; other columns are ignored;
 an empty table gives an empty result.
 """
 
@@ -22,16 +23,20 @@ import zlib
 from collections.abc import Callable, Iterator
 from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_columns
+from sparkloom.llm.common import map_columns, small_batches
 from sparkloom.llm.html_extract import BLOCKS
 
 VERSION = b"WARC/1.1"
 SCHEMA = "page_id long, kind string, record_id string, refers_to string, target_uri string, date string, source_block_digest string, source_payload_digest string, block_digest string, content_length long, headers map<string,string>, content string"
 _SPACE = uuid.UUID("6f0f4c0e-2a3b-5a77-9d7c-0c6a8b1f2e55")
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<head\b.*?</head\s*>")
+_HIDDEN = re.compile(r"(?i)<(?:(!--)|(script|style|noscript|template|head)\b)")
+_CHARSET = re.compile(r"""(?i)charset\s*=\s*["']?\s*([\w.:-]+)""")
+#: Bytes of a page in which its charset may be declared.
+DECLARED = 2048
 _BREAK = re.compile(rf"(?i)</?(?:br|{'|'.join(sorted(BLOCKS))})\b[^>]*>")
 _TAG = re.compile(r"<[!?/a-zA-Z][^>]*>")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
@@ -46,12 +51,77 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(0).join(parts))}>"
 
 
+def _shown(html: str) -> str:
+    """html without comments, scripts, styles and the head; one whose end is missing stays, and its end is looked for once."""
+    low = html.lower()
+    if len(low) != len(html):
+        low = re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), html)
+    out, at, kept, missing = [], 0, 0, set()
+    while m := _HIDDEN.search(html, at):
+        mark = "-->" if m[1] else f"</{m[2].lower()}"
+        end = -1 if mark in missing else low.find(mark, m.end())
+        close = end + 3 if m[1] else html.find(">", end) + 1
+        if end < 0 or not close:
+            missing.add(mark)
+            at = m.end()
+            continue
+        out += [html[kept : m.start()], " "]
+        at = kept = close
+    return "".join([*out, html[kept:]])
+
+
 def plain_text(html: str) -> str:
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", html)))  # a tag may span lines
+    text = _TAG.sub("", _BREAK.sub("\n", _shown(html)))  # a tag may span lines
     lines = (" ".join((unescape(x) if "&" in x else x).split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The chunks of a chunked body; what does not follow that form ends it."""
+    out, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:line].split(b";")[0].strip() or b"x", 16)
+        except ValueError:
+            break
+        if not size:
+            break
+        out.append(body[line + 2 : line + 2 + size])
+        at = line + 4 + size
+    return b"".join(out)
+
+
+def _inflated(body: bytes, kind: int) -> bytes:
+    """As much as can be inflated of a damaged stream."""
+    unpacker, out = zlib.decompressobj(kind), []
+    for at in range(0, len(body), 1 << 16):
+        try:
+            out.append(unpacker.decompress(body[at : at + (1 << 16)]))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
+def decoded(fields: list[tuple[str, str]], payload: bytes) -> str:
+    """Text of an HTTP payload: transfer and content encoding undone (gzip and deflate), letters by the charset of the
+    header or the page, UTF-8 by default. Encodings that are not known stay; bytes that are no letters become U+FFFD."""
+    named = {k.lower(): v.lower() for k, v in fields}
+    if "chunked" in named.get("transfer-encoding", ""):
+        payload = _unchunked(payload) or payload
+    for kind in reversed(named.get("content-encoding", "").split(",")):
+        if kind.strip() in ("gzip", "x-gzip"):
+            payload = _inflated(payload, 31) or payload
+        elif kind.strip() == "deflate":
+            payload = _inflated(payload, 15) or _inflated(payload, -15) or payload
+    found = _CHARSET.search(named.get("content-type", "")) or _CHARSET.search(payload[:DECLARED].decode("latin-1"))
+    charset = found[1].lower() if found else "utf-8"
+    charset = {"iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252"}.get(charset, charset)
+    try:
+        return payload.decode(charset, "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """(status, headers, payload) of an HTTP response; a block without a status line is all payload."""
     head, found, payload = block.partition(b"\r\n\r\n")
@@ -78,7 +148,7 @@ def derived(headers: dict[str, str], block: bytes | None) -> list[tuple[dict[str
     block = block or b""
     source = headers.get("WARC-Record-ID", "")
     status, fields, payload = http_parts(block)
-    html = payload.decode("utf-8", "replace")
+    html = decoded(fields, payload)
     title = _TITLE.search(html)
     lines = [f"via-record: {source}"]
     if title and title[1].strip():
@@ -115,32 +185,83 @@ def serialize(headers: dict[str, str], block: bytes, compress: bool = False) ->
 
 
 def _plain(data: bytes) -> bytes:
+    """Gzip members inflated one by one; a damaged member gives what can be read of it, and the next one is looked for."""
     out = []
     while data[:2] == b"\x1f\x8b":
         unpacker = zlib.decompressobj(31)
-        out.append(unpacker.decompress(data) + unpacker.flush())
-        data = unpacker.unused_data
+        try:
+            out.append(unpacker.decompress(data) + unpacker.flush())
+            data = unpacker.unused_data
+        except zlib.error:
+            out.append(_inflated(data, 31))
+            after = data.find(b"\x1f\x8b\x08", 3)
+            data = data[after:] if after > 0 else b""
     return b"".join(out) + data
 
 
+def _headers(head: bytes) -> dict[str, str]:
+    """Header fields of a record; the values of a repeated name are joined by a line feed."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        k, colon, v = line.partition(":")
+        if colon:
+            k, v = k.strip(), v.strip()
+            out[k] = f"{out[k]}\n{v}" if k in out else v
+    return out
+
+
+def _record(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
+    """(headers, start, end of the block) of the record at a place; None if its head is cut off or gives no length."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0:
+        return None
+    headers = _headers(data[at:end])
+    size = headers.get("Content-Length", "")
+    return (headers, end + 4, end + 4 + int(size)) if size.isdigit() else None
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Every record of a WARC file, gzip members or plain."""
+    """Every record of a WARC file, gzip members or plain. A record whose head is damaged is passed over; one whose block
+    is cut off is given with the field WARC-Truncated, so that it is not taken for whole."""
     data, at = _plain(data), 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        found = _record(data, at)
+        if found is None:
+            at += 5
+            continue
+        headers, start, end = found
+        if end > len(data):
+            headers = {**headers, "WARC-Truncated": headers.get("WARC-Truncated", "unspecified")}
+        yield headers, data[start:end]
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """headers and block of every record of the files at path."""
-
-    def make() -> Callable[..., Iterator[tuple]]:
-        return lambda files: (record for data in files for record in parse(data))
-
-    return map_columns(spark.read.format("binaryFile").load(path), [F.col("content")], "headers map<string,string>, block binary", make)
+    """headers and block of every record of the files at path, as a stream: Spark cuts the files (gzip members inflated
+    by its reader) at the mark that begins a record, and a task holds one record at a time. A mark inside a block does
+    not end it, as the block's length says; only where Spark splits a plain file just there is the rest passed over."""
+    pieces = spark.read.option("lineSep", "WARC/1.").text(path).select(F.col("value").cast("binary").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple]:
+            held = b""
+            for batch in batches:
+                for piece in batch.column(0).to_pylist():
+                    held = held + b"WARC/1." + piece if held else b"WARC/1." + piece
+                    found = _record(held, 0)
+                    if found and len(held) >= found[2]:
+                        yield found[0], held[found[1] : found[2]]
+                        held = b""
+                    elif not found or "WARC-Type" not in found[0]:
+                        held = b""  # no record begins here
+            if held and (found := _record(held, 0)) and "WARC-Type" in found[0]:
+                yield {**found[0], "WARC-Truncated": found[0].get("WARC-Truncated", "unspecified")}, held[found[1] :]
+
+        for headers, block in records():
+            yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], ["headers", "block"])
+
+    small_batches(spark)
+    return pieces.mapInArrow(run, "headers map<string,string>, block binary")
 
 
 def pages_to_responses(df: DataFrame, date: str = "2024-01-01T00:00:00Z", html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
@@ -149,7 +270,7 @@ def pages_to_responses(df: DataFrame, date: str = "2024-01-01T00:00:00Z", html:
     def make() -> Callable[..., Iterator[tuple]]:
         return lambda keys, urls, pages: ((k, *response_of(u, h, k, date)) for k, u, h in zip(keys, urls, pages, strict=True))
 
-    return map_columns(df, [F.col(key).cast("long"), F.col(url), F.col(html)], "page_id long, headers map<string,string>, block binary", make)
+    return map_columns(df, [F.col(key).try_cast("long"), F.col(url), F.col(html)], "page_id long, headers map<string,string>, block binary", make)
 
 
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
@@ -166,4 +287,4 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
 
         return work
 
-    return map_columns(records, [F.col(key).cast("long") if key in records.columns else F.lit(None).cast("long"), F.col("headers"), F.col("block")], SCHEMA, make)
+    return map_columns(records, [F.col(key).try_cast("long") if key in records.columns else F.lit(None).cast("long"), F.col("headers"), F.col("block")], SCHEMA, make)
