@@ -181,7 +181,7 @@ class Index:
 def find_leaks(df: DataFrame, items: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each row of df and item that match: doc_id, h (hash of the text), item_id, edits, n_item_words, end_word, similarity."""
     spark = df.sparkSession
-    items = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t"))
+    items = items.select(F.col(item_key).try_cast("long").alias("k"), F.col(item_text).alias("t"))
     blocks = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
     schema = "doc_id long, h long, item_id long, edits long, n_item_words long, end_word long"
     out = None
@@ -199,7 +199,7 @@ def find_leaks(df: DataFrame, items: DataFrame, share: float = SHARE, text: str
 
             return work
 
-        got = map_columns(df, [F.col(key).cast("long"), F.xxhash64(F.col(text)), F.col(text)], schema, make)
+        got = map_columns(df, [F.col(key).try_cast("long"), F.xxhash64(F.col(text)), F.col(text)], schema, make)
         out = got if out is None else out.unionByName(got)
     return out.withColumn("similarity", 1 - F.col("edits") / F.col("n_item_words"))
 
@@ -207,4 +207,4 @@ def find_leaks(df: DataFrame, items: DataFrame, share: float = SHARE, text: str
 def drop_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """df without the rows that match an item."""
     leaks = keep(find_leaks(df, items, text=text, key=key, **options).select(F.col("doc_id").alias("leak_id__"), F.col("h").alias("leak_h__")).distinct(), "leaks")
-    return df.join(leaks, F.col(key).cast("long").eqNullSafe(F.col("leak_id__")) & (F.xxhash64(F.col(text)) == F.col("leak_h__")), "left_anti")
+    return df.join(leaks, F.col(key).try_cast("long").eqNullSafe(F.col("leak_id__")) & (F.xxhash64(F.col(text)) == F.col("leak_h__")), "left_anti")

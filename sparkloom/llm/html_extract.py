@@ -237,7 +237,7 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", key: str =
         return work
 
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
-    parsed = map_columns(df, [F.col(key).cast("long"), F.col(url), host, F.col(html)], "page_id long, url string, host long, inside array<boolean>, blocks array<string>", read)
+    parsed = map_columns(df, [F.col(key).try_cast("long"), F.col(url), host, F.col(html)], "page_id long, url string, host long, inside array<boolean>, blocks array<string>", read)
     hosts = keep(df.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / CHUNK_PAGES).cast("int").alias("chunks")), "hosts")
     large = hosts.where("chunks > 1")
     common = keep(recurring_runs(df.select(host.alias("host"), F.col(html).alias("html")).join(large, "host", "left_semi")), "runs")

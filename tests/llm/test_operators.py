@@ -108,6 +108,22 @@ def test_suffix_dedup(docs, rows, length, gram, bucket):
     assert multiset(got.collect()) == want
 
 
+@pytest.mark.parametrize("period", [3, 5, 7])
+def test_blocks_are_sorted_by_ranks_of_the_cover(period):
+    rng = np.random.default_rng(period)
+    data = rng.integers(0, 2, 3000).astype(np.uint8)
+    data[1000:1700] = data[200:900]
+    data[2000:2500] = 7
+    length, cover = 60, suffix_dedup.difference_cover(period)
+    eight = suffix_dedup.leading(data, length)
+    rank = suffix_dedup.cover_ranks(eight, len(data), length, period, cover)
+    places = rng.permutation(len(data) - length)[:1200].astype(np.int64)
+    line = suffix_dedup.sorted_block(places, eight, rank, period, cover)
+    raw = data.tobytes()
+    got = [raw[p : p + length] for p in line]
+    assert sorted(line.tolist()) == sorted(places.tolist()) and got == sorted(got)
+
+
 def test_suffix_dedup_edges(spark):
     assert suffix_dedup.dedup_substrings(empty(spark)).count() == 0
     assert suffix_dedup.difference_cover(16) == [0, 1, 2, 3, 4, 8, 12]
@@ -420,10 +436,57 @@ def test_unigram_models():
     peer = sentencepiece.SentencePieceProcessor(model_proto=data)
     codec = sentencepiece_codec.Codec(data, True)
     given = ["ab abc", "a b c", "abab é b", "", "cab  bc"]
-    assert [x.tolist() for x, _ in codec.encode(given)] == [peer.encode(t) for t in given]
+    assert [x.tolist() for x, *_ in codec.encode(given)] == [peer.encode(t) for t in given]
     assert io and lattice_lm.start_weights(model)["▁a"] == pytest.approx(-2.5)
 
 
+def test_user_defined_pieces_come_first():
+    import struct
+
+    import sentencepiece
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    def field(number, wire, value):
+        return varint(number << 3 | wire) + (varint(len(value)) + value if wire == 2 else varint(value) if wire == 0 else value)
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("XY", 0.0, 4)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces += [(t, -float(i), 1) for i, t in enumerate(("ab", "▁ab", "aX", "▁", "a", "b", "X", "Y", "c"))]
+    data = b"".join(field(1, 2, field(1, 2, t.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, k)) for t, s, k in pieces)
+    data += field(2, 2, field(3, 0, 2) + field(35, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+    peer = sentencepiece.SentencePieceProcessor(model_proto=data)
+    codec = sentencepiece_codec.Codec(data, True)
+    given = ["ab aXY c", "XYXY", "aX XYab", "abc", ""]
+    for t, (ids, back, same) in zip(given, codec.encode(given), strict=True):
+        assert ids.tolist() == peer.encode(t) and same and back
+
+
+def test_line_dedup_twice(spark, docs):
+    once = line_templates.drop_recurring_lines(docs)
+    again = line_templates.drop_recurring_lines(once)
+    assert again.columns == once.columns
+    assert multiset(again.select("doc_id", "text", "n_lines_dropped").collect()) == multiset(once.select("doc_id", "text", "n_lines_dropped").collect())
+
+
+def test_cascade_takes_cheap_rules_first(spark, docs):
+    rules = {"repeats": quality.BASE["repeats"], "few_words": quality.BASE["few_words"], "symbols": quality.METHOD["symbols"]}
+    orders = {tuple(quality.plan_cascade(docs, rules)) for _ in range(3)}
+    assert len(orders) == 1 and next(iter(orders)).index("few_words") < next(iter(orders)).index("repeats")
+    with pytest.raises(ValueError, match="failed_rule"):
+        quality.apply_rules(docs.withColumn("failed_rule", docs.lang))
+
+
+def test_keys_that_are_no_numbers_become_null(spark):
+    frame = spark.createDataFrame([("a1", "some words stand here"), ("7", "some words stand here")], "doc_id string, text string")
+    assert sorted(r.doc_id or 0 for r in license_scan.scan_licenses(frame).collect()) == [0, 7]
+    assert sorted((r.doc_id or 0, r.class_size) for r in ngram_join.near_duplicates(frame).collect()) == [(0, 2), (7, 2)]
+
+
 def test_plain_text_drops_tags_over_several_lines():
     assert warc.plain_text("<p>a <a\nhref='x'\n>b</a> &amp;&#10;c</p><br\n/>d") == "a b & c\nd"
 
@@ -459,6 +522,79 @@ def test_lattice_sums_all_segmentations():
         assert letters == pytest.approx(2.0 * len(word))
 
 
+def lattice_sums(word, weights):
+    """(sum over all segmentations, expected count of every piece), by plain prefix and suffix sums."""
+    n = len(word)
+    arcs = []
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            if word[i:j] in weights:
+                arcs.append((i, j, math.exp(weights[word[i:j]]), [word[i:j]]))
+        if word[i] not in weights:
+            spelled = [f"<0x{b:02X}>" for b in word[i].encode()]
+            arcs.append((i, i + 1, math.exp(sum(weights[p] for p in spelled)), spelled))
+    a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for i, j, w, _ in sorted(arcs):
+        a[j] += a[i] * w
+    for i, j, w, _ in sorted(arcs, key=lambda x: -x[1]):
+        b[i] += b[j] * w
+    count = Counter()
+    for i, j, w, pieces in arcs:
+        for p in pieces:
+            count[p] += a[i] * w * b[j] / a[n]
+    return a[n], count
+
+
+def brute_scores(texts, held, weights, rounds):
+    words = [[x for x in re.split(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x] for t in texts]
+    ends = held.count(False)
+    train = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    if rounds:
+        got = Counter()
+        for w, c in train.items():
+            for p, x in lattice_sums("▁" + w, weights)[1].items():
+                got[p] += c * x
+        total = sum(got[p] + lattice_lm.PRIOR for p in weights) + ends + lattice_lm.PRIOR
+        weights = {p: math.log((got[p] + lattice_lm.PRIOR) / total) for p in weights}
+        end, on = (ends + lattice_lm.PRIOR) / total, 1.0
+    else:
+        end = (ends + 0.5) / (sum(train.values()) + ends + 1)
+        on = 1 - end
+    return [math.log10(end) + sum(math.log10(on * lattice_sums("▁" + w, weights)[0]) for w in ws) for ws in words]
+
+
+def unigram_model():
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    def field(number, wire, value):
+        return varint(number << 3 | wire) + (varint(len(value)) + value if wire == 2 else varint(value) if wire == 0 else value)
+
+    pieces = [("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(t, -1.5 - 0.1 * i, 1) for i, t in enumerate(("▁", "▁ta", "ta", "n", "t", "a", "ing", "in", "g", "er", "as", "il", "st", "o", "i", "r", "e", "s", "l"))]
+    data = b"".join(field(1, 2, field(1, 2, t.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, k)) for t, s, k in pieces)
+    return data + field(2, 2, field(3, 0, 1) + field(35, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+
+
+@pytest.mark.parametrize("kind", ["merges", "unigram"])
+def test_language_model_scores(spark, tmp_path, kind):
+    (tmp_path / "u.model").write_bytes(unigram_model())
+    path = PIECES if kind == "merges" else str(tmp_path / "u.model")
+    rng = random.Random(41)
+    given = [(i, prose(rng, 12) + (" Ü" if i % 3 else "") + (" " + "taning" * 20 if i % 5 == 0 else "")) for i in range(30)] + [(30, None), (31, "")]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in given]
+    weights = lattice_lm.start_weights(sentencepiece_codec.parse_model(Path(path).read_bytes()))
+    want = brute_scores([t for _, t in given], held, weights, int(kind == "merges"))
+    for head in (1000, 3):
+        got = {r.doc_id: r.score for r in lattice_lm.score_texts(spark.createDataFrame(given, "doc_id long, text string"), path, head_words=head).collect()}
+        assert [got[i] for i, _ in given] == pytest.approx(want, rel=1e-6)
+
+
 @pytest.mark.parametrize("head", [50_000, 5])
 def test_language_model(spark, docs, rows, head):
     got = lattice_lm.score_texts(docs, PIECES, head_words=head).collect()
@@ -577,6 +713,46 @@ def test_warc(spark, tmp_path):
     assert warc.derive(records.limit(0)).count() == 0
 
 
+def test_warc_damage(spark, tmp_path):
+    import gzip
+
+    heads = [{"WARC-Type": "response", "WARC-Record-ID": f"<urn:uuid:{i}>", "WARC-Concurrent-To": "a", "Content-Length": ""} for i in range(4)]
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n<p>one WARC/1.1 two</p>", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 3000, b"", b"HTTP/1.1 200 OK\r\n\r\nlast"]
+    whole = [warc.serialize({**h, "Content-Length": str(len(b))}, b) for h, b in zip(heads, blocks, strict=True)]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.warc").write_bytes(b"".join(whole))
+    got = warc.read_warc(spark, str(tmp_path / "plain")).collect()
+    assert [bytes(r.block) for r in got] == blocks
+    (tmp_path / "gz").mkdir()
+    (tmp_path / "gz" / "a.warc.gz").write_bytes(b"".join(gzip.compress(w) for w in whole))
+    assert sorted(bytes(r.block) for r in warc.read_warc(spark, str(tmp_path / "gz")).collect()) == sorted(blocks)
+    # a cut block, a cut head, a damaged member, a head without length
+    cut = list(warc.parse(b"".join(whole)[:-6]))
+    assert [b for _, b in cut[:3]] == blocks[:3] and cut[3][0]["WARC-Truncated"] == "unspecified"
+    assert [b for _, b in warc.parse(whole[0] + b"WARC/1.1\r\nWARC-Type: x")] == blocks[:1]
+    assert [b for _, b in warc.parse(b"WARC/1.1\r\nWARC-Type: x\r\n\r\nzz" + whole[3])] == blocks[3:]
+    packed = [gzip.compress(w) for w in whole]
+    packed[1] = packed[1][:40] + b"\xff\xff" + packed[1][44:]
+    assert [b for _, b in warc.parse(b"".join(packed)) if b != blocks[1]][-1] == blocks[3]
+    twice = b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Concurrent-To: a\r\nWARC-Concurrent-To: b\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert next(warc.parse(twice))[0]["WARC-Concurrent-To"] == "a\nb"
+
+
+def test_warc_payloads():
+    import gzip
+    import time
+    import zlib as z
+
+    html = "<html><head><meta charset='iso-8859-1'></head><p>café</p></html>"
+    latin = html.encode("cp1252")
+    chunks = b"5\r\n" + latin[:5] + b"\r\n" + f"{len(latin) - 5:x}".encode() + b";x=y\r\n" + latin[5:] + b"\r\n0\r\n\r\n"
+    for fields, payload in (([], latin), ([("Content-Type", "text/html; charset=ISO-8859-1")], latin), ([("Content-Encoding", "gzip")], gzip.compress(latin)), ([("content-encoding", "deflate")], z.compress(latin)), ([("Transfer-Encoding", "chunked")], chunks), ([("Content-Type", "text/html; charset=nosuch")], html.encode()), ([("Content-Encoding", "br")], latin)):
+        assert warc.plain_text(warc.decoded(fields, payload)) == "café"
+    began = time.process_time()
+    assert warc.plain_text("<script>a" * 20000).startswith("a") and time.process_time() - began < 2
+    assert warc.plain_text("a<!-- x -->b<SCRIPT>c</script >d<style>e") == "a b de"
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
