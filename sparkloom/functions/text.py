@@ -131,7 +131,8 @@ def opens_with(c: Column, markers: list[str], within: int = 60) -> Column:
 
 
 def damaged(c: Column) -> Column:
-    return c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]") | c.rlike("â€|Ã.")
+    """Control bytes, replacement letters, or UTF-8 read as Windows-1252."""
+    return c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]") | c.rlike("Ã[\\x{80}-\\x{bf}]|â€™|â€œ|â€\\x{9d}|Â ")
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:

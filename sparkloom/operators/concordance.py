@@ -53,3 +53,9 @@ def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, out
     first = df.groupBy(*keys, value).agg(F.min(order).alias("o__"))
     listed = F.array_sort(F.collect_list(F.struct("o__", F.col(value).alias("v"))))
     return first.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(out))
+
+
+def prioritised(first: DataFrame, second: DataFrame, key: str, text: str, name: str, other: str) -> DataFrame:
+    """All rows of the first source, and of the second those whose key the first lacks and whose text says something."""
+    more = second.join(first.select(key).distinct(), key, "left_anti").where(F.trim(text) != "")
+    return first.withColumn("provenance", F.lit(name)).unionByName(more.withColumn("provenance", F.lit(other)))

@@ -127,3 +127,15 @@ def assigned(counts: DataFrame, shares: dict[str, float] | None = None, most: in
         return pd.DataFrame(list(out.items()), columns=["grp", "split"])
 
     return counts.select("grp", "qa_type", "n", F.lit(0).alias("all")).groupBy("all").applyInPandas(walk, f"grp {kind}, split string")
+
+
+def balance(df: DataFrame, kind: str, split: str = "split") -> DataFrame:
+    """kind, train, val, test, val_off, test_off: a split is off where the kind's share is over twice or under half of that in
+    train (one percent there at least), or where it lacks a rarer kind that train has."""
+    names = ["train", "val", "test"]
+    wide = df.groupBy(kind).pivot(split, names).count().na.fill(0)
+    totals = wide.agg(*(F.greatest(F.sum(n), F.lit(1)).alias(f"{n}__") for n in names))
+    share = {n: 100.0 * F.col(n) / F.col(f"{n}__") for n in names}
+    base = share["train"]
+    off = lambda n: F.when((base >= 1) & ((share[n] > 2 * base) | (share[n] < 0.5 * base)), True).when((base < 1) & (F.col(n) == 0) & (F.col("train") > 0), True).otherwise(False)
+    return wide.join(F.broadcast(totals)).select(kind, *names, off("val").alias("val_off"), off("test").alias("test_off"))  # one row of totals

@@ -97,16 +97,17 @@ def split_leakage(t: Tables) -> DataFrame:
     return graph.leaks(graph.hash_split(t.events, "event_id", "20240701"), "user_id")
 
 
+_OFF = "case when {a} >= 1 and (100.0 * {x} / sum({x}) over () > 2 * {a} or 100.0 * {x} / sum({x}) over () < 0.5 * {a}) then true when {a} < 1 and {x} = 0 and train > 0 then true else false end"
+
+
 @register(
-    f"""with s as (select event_type, {_split_sql('user_id::varchar')} split from events),
-c as (select event_type, count_if(split = 'train') a, count_if(split = 'val') b, count_if(split = 'test') d from s group by 1)
-select event_type, a as train, b as val, d as test, (b / sum(b) over () > 2 * a / sum(a) over () or b / sum(b) over () < 0.5 * a / sum(a) over ()) as off_balance from c"""
+    f"""with s as (select event_type || (event_id % 40 = 0)::int::varchar || (event_id % 700 = 0)::int::varchar kind, {_split_sql('user_id::varchar')} split from events), c as (select kind, count_if(split = 'train') train, count_if(split = 'val') val, count_if(split = 'test') test from s group by 1)
+select kind, train, val, test, {_OFF.format(a='(100.0 * train / sum(train) over ())', x='val')} as val_off, {_OFF.format(a='(100.0 * train / sum(train) over ())', x='test')} as test_off from c"""
 )
 def split_balance(t: Tables) -> DataFrame:
-    wide = _events_split(t).groupBy("event_type").pivot("split", ["train", "val", "test"]).count().na.fill(0)
-    w = Window.partitionBy(F.lit(1))
-    a, b = F.col("train") / F.sum("train").over(w), F.col("val") / F.sum("val").over(w)
-    return wide.select("event_type", "train", "val", "test", ((b > 2 * a) | (b < 0.5 * a)).alias("off_balance"))
+    """Kinds whose share in a split is over twice or under half of that in train, or which a split lacks."""
+    flag = lambda m: (F.col("event_id") % m == 0).cast("int").cast("string")
+    return graph.balance(_events_split(t).withColumn("kind", F.concat("event_type", flag(40), flag(700))), "kind")
 
 
 @register(

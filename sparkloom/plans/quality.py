@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import concordance
+from sparkloom.operators.ranks import global_rank
 from sparkloom.plans.base import Tables, register
 
 
@@ -77,28 +79,50 @@ def duplicates(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.md5(F.col("text").cast("binary")).alias("text_hash")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@register("select doc_id, lang, source, 'primary' as provenance from documents where source = 'src0' union all select d.doc_id, d.lang, d.source, 'secondary' from documents d where source <> 'src0' and length(text) > 0 and (lang, n_chars) not in (select (lang, n_chars) from documents where source = 'src0')")
+_UNION = """with a as (select (p_partkey // 3 + 1)::varchar || case when p_partkey % 7 = 0 then 'A' else '' end k, 'one' s from part where p_partkey % 9 <> 0), b as (select (p_partkey // 3 + 1)::varchar || case when p_partkey % 7 = 0 then 'A' else '' end k, p_partkey % 8 = 0 as bare from part)"""
+
+
+@register(f"{_UNION}, u as (select k, 'one' provenance from a group by 1 union all select k, 'two' from b where k not in (select k from a) and not bare group by 1) select k as section, provenance, row_number() over (order by regexp_extract(k, '^[0-9]+')::int, k) as place from u")
 def prioritised_union(t: Tables) -> DataFrame:
-    """One source wins; the others fill the keys that it lacks."""
-    first = t.documents.where("source = 'src0'")
-    rest = t.documents.where("source <> 'src0' and length(text) > 0").join(first.select("lang", "n_chars").distinct(), ["lang", "n_chars"], "left_anti")
-    cols = ["doc_id", "lang", "source"]
-    return first.select(*cols, F.lit("primary").alias("provenance")).unionByName(rest.select(*cols, F.lit("secondary").alias("provenance")))
+    """The first source's keys, then those that it lacks from the second where that has a text, in natural order."""
+    k = F.col("p_partkey")
+    number = F.concat((F.floor(k / 3) + 1).cast("string"), F.when(k % 7 == 0, "A").otherwise("")).alias("section")
+    first = t.part.where("p_partkey % 9 <> 0").select(number, F.col("p_name").alias("text"))
+    second = t.part.select(number, F.when(k % 8 == 0, " ").otherwise(F.col("p_name")).alias("text"))
+    rows = concordance.prioritised(first, second, "section", "text", "one", "two").select("section", "provenance").distinct()
+    n = F.regexp_extract("section", "^([0-9]+)", 1).cast("int")
+    return global_rank(rows.withColumn("n", n), ["n", "section"], "place").drop("n")
+
+
+@register(f"{_UNION}, c as (select distinct k from b where not bare), d as (select distinct k from a) select count(*) filter (where c.k is not null and d.k is not null) as both, count(*) filter (where c.k is null) as only_first, count(*) filter (where d.k is null) as only_second, round(100.0 * count(*) filter (where c.k is not null and d.k is not null) / count(*), 6) as pct_of_union from d full join c on c.k = d.k")
+def source_overlap(t: Tables) -> DataFrame:
+    """How far two sources agree on their section numbers."""
+    k = F.col("p_partkey")
+    number = F.concat((F.floor(k / 3) + 1).cast("string"), F.when(k % 7 == 0, "A").otherwise("")).alias("k")
+    a, b = t.part.where("p_partkey % 9 <> 0").select(number).distinct().withColumn("a", F.lit(1)), t.part.where("p_partkey % 8 <> 0").select(number).distinct().withColumn("b", F.lit(1))
+    both = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return a.join(b, "k", "full_outer").agg(both.alias("both"), F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"), F.round(100.0 * both / F.count("*"), 6).alias("pct_of_union"))
 
 
 @register("select item_id, count(*) as n_docs from benchmark b join documents d on contains(d.text, b.text) group by 1")
 def contamination_check(t: Tables) -> DataFrame:
-    """Items that stand whole in a text. Both sides meet on the hash of the item's first eight words' run, found by
-    a join on word-run hashes; containment is verified after. Items of fewer words meet every text in blocks."""
+    """Items that stand whole in a text. The words of an item but its first and last stand whole in such a text, so runs
+    of up to eight of them are looked up by hash; ids alone meet, and each text is fetched once for each item found and
+    read. Items of one or two words have no such run: these few meet the texts themselves."""
     w = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    items = t.benchmark.select("item_id", F.col("text").alias("item")).withColumn("w", w(F.col("item")))
-    long_items = items.where(F.size("w") >= 10).select("item_id", "item", F.xxhash64(F.slice("w", 2, 8)).alias("k"))
-    runs = t.documents.select("text", w(F.col("text")).alias("w")).where(F.size("w") >= 8)
-    runs = runs.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.slice(F.col("w"), i, 8))))).alias("k"))
-    hits = runs.join(long_items, "k").where(F.contains("text", F.col("item"))).select("item_id")
-    short = items.where(F.size("w") < 10).select("item_id", "item")
-    some = t.documents.select("text").join(short, F.contains("text", F.col("item"))).select("item_id")
-    return hits.unionByName(some).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    items = t.benchmark.select("item_id", F.col("text").alias("item")).withColumn("w", w(F.col("item"))).withColumn("m", F.least(F.lit(8), F.size("w") - 2))
+    keyed = items.where("m > 0").select("item_id", "m", F.xxhash64(F.slice("w", F.lit(2), F.col("m"))).alias("k"))
+    texts = t.documents.select("doc_id", w(F.col("text")).alias("w"))
+    hits = None
+    for m in [r[0] for r in keyed.select("m").distinct().collect()]:  # at most eight lengths
+        runs = texts.where(F.size("w") >= m).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.slice("w", i, m))))).alias("k"))  # noqa: B023
+        part = runs.join(keyed.where(F.col("m") == m), "k").select("doc_id", "item_id")
+        hits = part if hits is None else hits.unionByName(part)
+    some = t.documents.select("text").join(items.where("m <= 0").select("item_id", "item"), F.contains("text", F.col("item"))).select("item_id")
+    if hits is not None:
+        met = hits.distinct().join(items.select("item_id", "item"), "item_id").join(t.documents.select("doc_id", "text"), "doc_id")
+        some = some.unionByName(met.where(F.contains("text", F.col("item"))).select("item_id"))
+    return some.groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 @register("select 'both' as side, count(*) as n from (select c_nationkey from customer intersect select s_nationkey from supplier) union all select 'only_customers', count(*) from (select c_nationkey from customer except select s_nationkey from supplier) union all select 'either', count(*) from (select c_nationkey from customer union select s_nationkey from supplier)")

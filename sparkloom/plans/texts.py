@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
+from sparkloom.operators import answers, parsing
+from sparkloom.operators.ranks import global_rank
 from sparkloom.plans.base import Tables, register
+from sparkloom.sources import files as sources
 
 _KEY = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -38,7 +41,7 @@ def strip_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
-@register(r"""select count(*) as n, count_if(regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]') or regexp_matches(text, 'â€|Ã.')) as damaged, count_if(trim(text) = '') as empty, count_if(length(text) < 80) as short, count_if(length(text) > 20000) as long from documents""")
+@register(r"""select count(*) as n, count_if(regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]') or regexp_matches(text, 'Ã[\x{80}-\x{bf}]|â€™|â€œ|â€\x{9d}|Â ')) as damaged, count_if(trim(text) = '') as empty, count_if(length(text) < 80) as short, count_if(length(text) > 20000) as long from documents""")
 def encoding_checks(t: Tables) -> DataFrame:
     c = F.col("text")
     return t.documents.agg(F.count("*").alias("n"), F.count_if(text.damaged(c)).alias("damaged"), F.count_if(F.trim(c) == "").alias("empty"), F.count_if(F.length(c) < 80).alias("short"), F.count_if(F.length(c) > 20000).alias("long"))
@@ -72,8 +75,9 @@ _METRIC = r"list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}
 
 
 def _pairs(t: Tables) -> DataFrame:
-    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", nxt.alias("pred"), F.col("text").alias("gold")).where("pred is not null")
+    """Gold and prediction by position: a turn and the one after it."""
+    after = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
+    return t.conversations.select("conv_id", "turn", F.col("text").alias("gold")).join(after, ["conv_id", "turn"])
 
 
 @register(
@@ -103,38 +107,38 @@ def agreement(t: Tables) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 9))
 
 
-_GUARD = r"(?i)(how (do|can) i (avoid|hide)|guarantee|avoid being)"
+_GUARD = "(?i)\\b(be my (lawyer|advocate|counsel)|represent me|are you a lawyer|should i plead|will i (be convicted|go to (jail|prison))|what will my sentence|loophole|get (away with|off)|avoid (being )?(convict|prosecut|arrest|liab)|evade|how (do|can) i (avoid|escape|beat)|fake|false (alibi|evidence)|bribe|give me legal advice|advise me on my)\\b"
+#: Questions that the guard catches and some that it lets through.
+GUARDED = ["How can I avoid jail?", "Tell me a loophole", "loopholes", "Can I avoid being convicted?", "my friend gets off", "They get off", "is bribery bad", "I may evade it", "what is theft"]
+_GUARDED = "[" + ", ".join(f"'{q}'" for q in GUARDED) + "]"
 
 
-@register(rf"select conv_id, turn, regexp_matches(text, '{_GUARD}') as refused, case when regexp_matches(text, '{_GUARD}') then 'I cannot help with that.' else text end as answer from conversations where role = 'user'")
+@register(f"with q as (select conv_id, turn, text || ' ' || ({_GUARDED})[conv_id % {len(GUARDED)} + 1] t from conversations where role = 'user') select conv_id, turn, regexp_matches(t, '{_GUARD}') as refused, case when regexp_matches(t, '{_GUARD}') then '{answers.REFUSAL.replace(chr(39), chr(39) * 2)}' else t end as answer from q")
 def scope_guard(t: Tables) -> DataFrame:
-    hit = F.col("text").rlike(_GUARD)
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", hit.alias("refused"), F.when(hit, "I cannot help with that.").otherwise(F.col("text")).alias("answer"))
+    asked = F.concat("text", F.lit(" "), F.get(F.array(*map(F.lit, GUARDED)), (F.col("conv_id") % len(GUARDED)).cast("int")))
+    hit = answers.refused(asked)
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", hit.alias("refused"), F.when(hit, answers.REFUSAL).otherwise(asked).alias("answer"))
 
 
-_SENTENCES = r"""s as (select doc_id, string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1)) x from documents), u as (select doc_id, unnest(x) s, unnest(range(1, len(x) + 1)) pos from s),
-k as (select *, length(regexp_replace(s, '[^\p{L}]', '', 'g')) / length(s) letters from u where length(s) between 60 and 400)"""
+_FURNITURE = r"(?i)Page\s+\d+\s+of\s+\d+|Signature\s+Not\s+Verified|Digitally\s+signed(?:\s+by)?[^.]{0,60}|Date:\s*\d{4}\.\d{2}\.\d{2}[^ ]*|Reason:\s*$|\b(?:SLP|S\.L\.P|Criminal Appeal|Crl\.?\s*A)\s*\(?(?:Crl|Criminal|C)?\.?\)?\s*(?:No)?\.?\s*\(?s?\)?\.?\s*\d[\d/ ]*(?:of\s+\d{4})?"
+_USABLE = rf"length(s) between 60 and 400 and length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) / length(s) >= 0.62 and length(regexp_replace(s, '[^\p{{Nd}}]', '', 'g')) / length(s) <= 0.10 and not regexp_matches(s, '{_FURNITURE}')"
+_SENTENCES = r"""s as (select doc_id, string_split(regexp_replace({x}, '([.;])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) x from documents), u as (select doc_id, trim(unnest(x), ' ' || chr(10) || chr(9) || chr(13)) s, unnest(range(1, len(x) + 1)) pos from s)"""
 
 
-def _usable(t: Tables) -> DataFrame:
-    cut = t.documents.select("doc_id", F.posexplode(F.split("text", r"(?<=[.;])\s+")).alias("pos", "s")).where("length(s) between 60 and 400")
-    return cut.withColumn("letters", F.length(F.regexp_replace("s", r"[^\p{L}]", "")) / F.length("s")).where("letters >= 0.62")
-
-
-@register(f"with {_SENTENCES} select doc_id, count(*) as n from k where letters >= 0.62 group by 1")
+@register(f"with {_SENTENCES.format(x='text')} select doc_id, count(*) as n from u where {_USABLE} group by 1")
 def usable_sentences(t: Tables) -> DataFrame:
-    return _usable(t).groupBy("doc_id").agg(F.count("*").alias("n"))
+    cut = t.documents.select("doc_id", F.explode(F.split("text", r"(?<=[.;])\s+(?=[A-Z(])")).alias("s")).withColumn("s", text.strip(F.col("s")))
+    return cut.where(parsing.usable_sentence(F.col("s"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @register(
-    f"""with {_SENTENCES}, r as (select *, row_number() over (partition by doc_id order by length(s) desc, pos) r from k where letters >= 0.62)
-select doc_id, substr(string_agg(s, ' ' order by pos), 1, 700) as summary from r where r <= 3 group by 1"""
+    f"""with {_SENTENCES.format(x='text[length(text) // 3 + 1:]')}, k as (select *, 1 + 2 * list_contains(regexp_split_to_array(s, '[^\\p{{L}}\\p{{N}}_]+'), 'the')::int score from u where {_USABLE} and regexp_matches(s, '[aeiou]')),
+r as (select *, row_number() over (partition by doc_id order by score desc, pos) r from k), j as (select doc_id, string_agg(s, ' ' order by pos) t from r where r <= 3 group by 1), c as (select doc_id, case when length(t) > 700 then regexp_replace(t[1:700], ' [^ ]*$', '') || ' ...' else t end t from j)
+select doc_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g')) as summary from c"""
 )
 def extractive_summary(t: Tables) -> DataFrame:
-    best = Window.partitionBy("doc_id").orderBy(F.desc(F.length("s")), "pos")
-    top = _usable(t).withColumn("r", F.row_number().over(best)).where("r <= 3")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"])
-    return top.groupBy("doc_id").agg(F.substring(F.array_join(listed, " "), 1, 700).alias("summary"))
+    """Summaries of all documents; these name no court, so any vowel marks a sentence as one that decides."""
+    return parsing.holding_summary(t.documents, "doc_id", "text", F.array(F.lit("the")), markers="[aeiou]")
 
 
 @register("select p_brand as brand, cast(regexp_extract(p_brand, '([0-9]+)', 1) as int) as number, min(p_name) as first_name, count(*) as n from part group by 1, 2 order by number")
@@ -149,13 +153,14 @@ def roman_numerals(t: Tables) -> DataFrame:
     return t.region.select(F.col("r_regionkey").alias("k"), numeral.alias("numeral"), text.roman(numeral).alias("value"))
 
 
-@register("""with n as (select item_id, text, row_number() over (order by item_id) - 1 i, count(*) over () c from benchmark), b as (select *, i // (((c + 3) // 4)::bigint) b from n) select b::bigint as batch, string_agg((i + 1) || '. ' || text, chr(10) order by i) as prompt from b group by 1""")
+_HEAD = "Answer each question on a line of its own, as <number>. <answer>."
+
+
+@register(f"""with n as (select item_id, text, row_number() over (order by item_id) - 1 i, count(*) over () c from benchmark), b as (select *, i // (((c + 3) // 4)::bigint) b from n) select b::bigint as batch, '{_HEAD}' || chr(10) || string_agg((i + 1) || '. ' || text, chr(10) order by i) as prompt from b group by 1""")
 def prompt_batches(t: Tables) -> DataFrame:
-    """Numbered prompts in four batches; the benchmark is a small dimension, ranked in one window."""
-    n = t.benchmark.withColumn("i", F.row_number().over(Window.orderBy("item_id")) - 1).withColumn("c", F.count("*").over(Window.partitionBy(F.lit(1))))
-    batch = F.floor(F.col("i") / F.ceil(F.col("c") / 4))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: F.concat((x["i"] + 1).cast("string"), F.lit(". "), x["text"]))
-    return n.groupBy(batch.alias("batch")).agg(F.array_join(lines, "\n").alias("prompt"))
+    """Numbered prompts in four files, each under the same instruction."""
+    rows = global_rank(t.benchmark.select("item_id", "text"), ["item_id"], "i")
+    return sources.prompts(rows, "i", "text", rows.count(), 4, _HEAD)
 
 
 @register("select c_mktsegment as kind, array_to_string((list(c_custkey order by c_custkey))[1:5], ', ') as refs, min(c_custkey) as first, count(*) as n from customer group by 1")

@@ -89,4 +89,4 @@ def json_fields(t: Tables) -> DataFrame:
 def stream_windowed_counts(t: Tables) -> DataFrame:
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(t._folder + "/events.parquet*")
-    return questions.run_once(t.spark, questions.windowed_counts(stream))
+    return questions.run_once(t.spark, questions.windowed_counts(stream), ["start", "event_type"])

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+from functools import reduce
+from pathlib import Path
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranks import global_rank
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -47,6 +55,68 @@ def write_splits(df: DataFrame, path: str, column: str = "split") -> None:
     df.write.partitionBy(column).parquet(path)
 
 
+def write_index_files(df: DataFrame, path: str, row: list[str], index: list[str], order: str, split: str = "split") -> None:
+    """For each split a folder of rows and one of their index, aligned by the row number in both."""
+    numbered = global_rank(df, [split, order], "row_id")
+    for name, columns in (("rows", row), ("index", index)):
+        numbered.select("row_id", split, *columns).write.partitionBy(split).json(f"{path}/{name}")
+
+
+def prompts(df: DataFrame, number: str, text: str, n: int, batches: int, head: str) -> DataFrame:
+    """batch (from 0), prompt: rows numbered from 1, in batches of the same size, under one instruction."""
+    size = max(1, -(-n // batches))
+    batch = F.floor((F.col(number) - 1) / size)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("i"), F.col(text).alias("t")))), lambda x: F.concat(x["i"].cast("string"), F.lit(". "), x["t"]))
+    return df.groupBy(batch.alias("batch")).agg(F.concat(F.lit(head + "\n"), F.array_join(lines, "\n")).alias("prompt"))
+
+
 def write_prompts(df: DataFrame, path: str) -> None:
     """One text file line a prompt batch."""
     df.select(F.regexp_replace("prompt", "\n", "\\\\n").alias("value")).write.text(path)
+
+
+def to_fetch(urls: DataFrame, landed: DataFrame, force: bool = False) -> DataFrame:
+    """urls (url, path) whose file has not landed or is empty; all of them if forced. landed: path, bytes."""
+    return urls if force else urls.join(landed.where("bytes > 0").select("path"), "path", "left_anti")
+
+
+def merged_manifest(*parts: DataFrame) -> DataFrame:
+    """path, url, retrieved, bytes, sha256 of the last retrieval of each path, whatever manifest has it."""
+    rows = reduce(DataFrame.unionByName, parts)
+    fields = ["url", "retrieved", "bytes", "sha256"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*fields), F.struct("retrieved", "sha256")).alias("m")).select("path", "m.*")
+
+
+def write_json(rows: list[dict] | dict, path: str) -> None:
+    """A small report as indented JSON; it is one file for people to read, not a table."""
+    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=2), encoding="utf-8")
+
+
+def write_vectors(df: DataFrame, path: str, key: str, vector: str, parts: int = 16) -> None:
+    """A vector index: rows dealt by the hash of their key, vectors beside what describes them."""
+    df.where(F.col(vector).isNotNull()).repartition(parts, key).write.parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, expected: int) -> DataFrame:
+    """The index at path, or an error if it does not hold as many rows as its description says."""
+    found = spark.read.parquet(path)
+    if (n := found.count()) != expected:
+        raise ValueError(f"the index holds {n} rows, its description {expected}")
+    return found
+
+
+def counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Writes df and gives the number of rows written, counted on the way."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
+def empty_if_missing(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What read gives, or a table without rows where its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import drop, shared_dir
+
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts and sums by window and type; rows later than the watermark are dropped by Spark."""
@@ -18,8 +21,16 @@ def first_seen(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_once(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything that a stream has now, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def run_once(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Everything that a stream has now, as a table: each batch adds the rows that it changed to files in the shared
+    folder, and of the rows of one key the last batch's stays."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+
+    def add(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/rows")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(add).trigger(availableNow=True).start().awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    found = spark.read.parquet(f"{path}/rows").groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("x"))
+    return found.select(*keys, "x.*").select(*stream.columns)
