@@ -19,6 +19,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -123,13 +124,14 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for _, a, b in found]
 
 
-def core_of(model: Model):
-    """The merges or the unigram lattice, with byte fallback. Words hardly repeat often enough to pay for a cache."""
+def core_of(model: Model, whole: bool = False):
+    """The merges or the unigram lattice, with byte fallback. Words hardly repeat often enough to pay for a cache.
+    whole: a word that is a piece is taken without its merges (see ``build_plain``)."""
     from tokenizers import models
 
     unknown = next((i for i, p in enumerate(model.pieces) if p.kind == UNKNOWN), None)
     if model.kind == BPE:
-        return models.BPE({p.text: i for i, p in enumerate(model.pieces)}, merges_of(model), unk_token=None if unknown is None else model.pieces[unknown].text, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
+        return models.BPE({p.text: i for i, p in enumerate(model.pieces)}, merges_of(model), unk_token=None if unknown is None else model.pieces[unknown].text, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0, ignore_merges=whole)
     elif model.kind == UNIGRAM:
         return models.Unigram([(p.text, p.score) for p in model.pieces], unknown, model.byte_fallback)
     raise ValueError(f"model kind {model.kind} is neither unigram nor merges")
@@ -165,20 +167,27 @@ def separable(model: Model) -> bool:
 
 
 def build_plain(model: Model):
-    """The same ids for texts without runs of blanks and without the marker, by the library's own marker splitting;
-    None where the model does not allow it."""
+    """The same ids for marked texts (a marker before the text and for every blank, no runs of markers), by the library's
+    own marker splitting; None where the model does not allow it. If the merges lead to every piece, as is tried for
+    each, a word that is a piece needs no merging."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     if not separable(model):
         return None
     out = Tokenizer(core_of(model))
-    out.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="always", split=True)
+    if model.kind == BPE:
+        pieces = [p.text for p in model.pieces if p.kind == NORMAL]
+        if all(len(e.ids) == 1 for e in out.encode_batch_fast(pieces, add_special_tokens=False)):
+            out = Tokenizer(core_of(model, whole=True))
+    out.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=True)
     return out
 
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean, parity boolean"
 #: Letters of text that are encoded at a time (one longer text is taken alone): the tokens of a batch take many times as much memory.
 BATCH_LETTERS = 500_000
+#: Letters after which the text for the comparison is cut at the next blank, where no piece crosses: the peer sorts what it is given.
+STRETCH = 200
 
 
 class Codec:
@@ -211,10 +220,23 @@ class Codec:
         for tokenizer, wanted in ((self.plain, True), (self.tokenizer, False)):
             some = [i for i, e in enumerate(easy) if e is wanted]
             if some:
-                for i, e in zip(some, tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
+                given = [MARK + texts[i].replace(" ", MARK) if wanted else texts[i] for i in some]
+                for i, e in zip(some, tokenizer.encode_batch_fast(given, add_special_tokens=False), strict=True):
                     out[i] = e.ids
         return out
 
+    def peer_ids(self, text: str) -> list[int]:
+        """The sentencepiece library's ids of a whole text. Where no piece crosses the place before a blank, a text without
+        runs of blanks is given in stretches that begin after one, as the library puts a blank before each."""
+        if self.plain is None or len(text) < 2 * STRETCH or "  " in text or MARK in text or text[-1] == " ":
+            return self.peer.encode(text)
+        parts, at = [], 0
+        while (cut := text.find(" ", at + STRETCH)) >= 0:
+            parts.append(text[at:cut])
+            at = cut + 1
+        parts.append(text[at:])
+        return list(chain.from_iterable(map(self.peer.encode, parts)))
+
     def decode(self, ids: list[int]) -> str:
         text = self.tokenizer.decode(ids, skip_special_tokens=False).replace(MARK, " ")
         return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
@@ -222,7 +244,7 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool | None]]:
         """(ids, whether they decode to the text, whether sentencepiece gives them) of every text."""
         for t, own in zip(texts, self.ids(texts), strict=True):
-            yield np.frombuffer(array("i", own), np.int32), self.decode(own) == t, None if self.peer is None else self.peer.encode(t) == own
+            yield np.frombuffer(array("i", own), np.int32), self.decode(own) == t, None if self.peer is None else self.peer_ids(t) == own
 
 
 _codecs: dict[tuple, Codec] = {}
