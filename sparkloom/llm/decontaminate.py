@@ -35,6 +35,8 @@ WALKS = 4
 TABLES = 32
 PLACES = 4
 BLOCK_ITEMS = 20_000
+#: Letters of text that are searched at a time, unless one text is longer.
+BATCH_LETTERS = 2_000_000
 #: Words of the longest piece; at this length the tables find more than ``RECALL`` of the matches at the full radius.
 PIECE_WORDS = 22
 RECALL = 0.95
@@ -193,9 +195,16 @@ def find_leaks(df: DataFrame, items: DataFrame, share: float = SHARE, text: str
             index = Index(sent.value, share)
 
             def work(keys: list, hashes: list, texts: list) -> Iterator[tuple]:
-                for doc, i, _, edits, stop in index.find(texts):
-                    item, w = index.items[i]
-                    yield keys[doc], hashes[doc], item, edits, len(w), stop
+                at = 0
+                while at < len(texts):
+                    end, size = at, 0
+                    while end < len(texts) and (end == at or size < BATCH_LETTERS):
+                        size += len(texts[end] or "")
+                        end += 1
+                    for doc, i, _, edits, stop in index.find(texts[at:end]):
+                        item, w = index.items[i]
+                        yield keys[at + doc], hashes[at + doc], item, edits, len(w), stop
+                    at = end
 
             return work
 

@@ -32,7 +32,7 @@ CHUNK_PAGES = 256
 RUN = 16
 MIN_PAGES = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
 #: Elements left out with all they hold, elements whose text is no markup, block elements.
 LEFT_OUT = {"nav", "footer", "aside", "form", "noscript", "template", "iframe", "svg", "button", "select", "textarea", "dialog", "menu", "head", "title", "object", "canvas", "audio", "video"}
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed"}
@@ -69,16 +69,21 @@ def blocks_of(html: str | None) -> list[tuple[bool, str]]:
         if text:
             out.append((inside > 0, text))
 
-    lowered = None
+    lowered, more_cdata = None, True
     while at < size:
         m = _TOKEN.match(html, at)
         at = m.end()
         name = m[2]
         if name is None:
-            if not skip and (html[m.start()] != "<" or m.end() == m.start() + 1):
+            if m[0].startswith("<![CDATA[") and more_cdata:
+                end = html.find("]]>", m.start() + 9)
+                more_cdata = end >= 0  # the end is looked for once
+                if more_cdata:
+                    if not skip:
+                        piece.append(html[m.start() + 9 : end])
+                    at = end + 3
+            elif not skip and (html[m.start()] != "<" or m.end() == m.start() + 1):
                 piece.append(m[0])
-            elif not skip and m[0].startswith("<![CDATA["):
-                piece.append(m[0][9:-3])
             continue
         name, closing = name.lower(), bool(m[1])
         if name in RAW and not closing and not m[3].endswith("/"):

@@ -3,10 +3,10 @@
 A notice of n letters may differ by ``edits`` insertions, deletions or substitutions. By the pigeonhole
 principle, a text within e edits of it holds at least one of e+1 pieces of it unchanged, so those pieces are
 searched first, by one automaton; only around their hits does the regex library's bounded-error matching
-run, and it reports the span and the number of edits.
+run, and it reports the span and the number of edits. A match begins and ends with a word.
 
 Null and empty texts have no words, no labels and score 0; texts are read whole; repeated rows are scanned
-alike; other columns are ignored; an empty table gives an empty result.
+alike; a key that is no number becomes null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +47,30 @@ NOTICES = [
     ("isc", "permission to use copy modify and or distribute this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved"),
+    ("apache-2", "http www apache org licenses license 2 0"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied"),
+    ("isc", "the software is provided as is and the author disclaims all warranties"),
+    ("zlib", "this software is provided as is without any express or implied warranty"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", "either version 2 of the license or at your option any later version"),
+    ("gpl-3", "either version 3 of the license or at your option any later version"),
+    ("gfdl", "gnu free documentation license"),
+    ("cddl", "common development and distribution license"),
+    ("eupl", "european union public licence"),
+    ("artistic-2", "the artistic license 2 0"),
+    ("bsl-1", "boost software license version 1 0"),
+    ("ofl-1.1", "sil open font license version 1 1"),
+    ("ms-pl", "microsoft public license"),
+    ("python-2", "python software foundation license version 2"),
+    ("odbl", "open data commons open database license"),
+    ("pddl", "open data commons public domain dedication and license"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-nd", "creative commons attribution noderivatives"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives"),
 ]
 
 
@@ -66,7 +90,7 @@ class Scanner:
 
     def __init__(self, phrases: Mapping[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES, edits: Callable[[str], int] = edits_of) -> None:
         self.phrases = [(label, b" " + phrase.encode() + b" ") for label, phrase in phrases.items()]
-        self.notices = [(label, text, edits(text), regex.compile(rf"(?be)(?:{regex.escape(text)}){{e<={edits(text)}}}")) for label, text in notices]
+        self.notices = [(label, text, edits(text), regex.compile(rf"(?be)(?<![^ ])(?:{regex.escape(text)}){{e<={edits(text)}}}(?![^ ])")) for label, text in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, e, _) in enumerate(self.notices):
             for at, piece in pieces(text, e):
@@ -103,7 +127,9 @@ class Scanner:
             for k, at in where:
                 _, notice, e, _ = self.notices[k]
                 start = last + 1 - n - at
-                low, high = max(0, start - e), min(len(text), start + len(notice) + e)
+                # an area ends with a word, where a match may end
+                low, high = max(0, text.rfind(" ", 0, max(0, start - e)) + 1), text.find(" ", min(len(text), start + len(notice) + e))
+                high = len(text) if high < 0 else high
                 mine = spans.setdefault(k, [])
                 if mine and low <= mine[-1][1]:
                     mine[-1][0], mine[-1][1] = min(low, mine[-1][0]), max(high, mine[-1][1])
@@ -120,7 +146,12 @@ class Scanner:
                         e = sum(m.fuzzy_counts)
                         out.append((label, m.start(), m.end(), e, 1.0 - e / len(notice)))
                         rest += [(low, m.start()), (m.end(), high)]
-        return sorted(out)
+        # where notices overlap by more than half, the one with the fewest edits explains the place
+        kept: list[tuple[str, int, int, int, float]] = []
+        for x in sorted(out, key=lambda x: (x[3], x[1], -x[2], x[0])):
+            if not any(y[3] < x[3] and y[0] != x[0] and 2 * (min(x[2], y[2]) - max(x[1], y[1])) > x[2] - x[1] for y in kept):
+                kept.append(x)
+        return sorted(kept)
 
     def scan(self, text: str | None) -> tuple:
         words = self.normal(text)

@@ -164,8 +164,27 @@ def test_license_seeds_lose_nothing():
                 i = rng.randrange(len(s))
                 s[i : i + rng.randint(0, 1)] = rng.choice(["", "q", "z"])
             words = scanner.normal("start " + "".join(s) + " end")
-            plain = regex.search(rf"(?:{regex.escape(notice)}){{e<={e}}}", words.decode())
-            assert bool(plain) <= any(x[0] == label for x in scanner.fuzzy(words))
+            plain = regex.search(rf"(?<![^ ])(?:{regex.escape(notice)}){{e<={e}}}(?![^ ])", words.decode())
+            assert bool(plain) <= any(x[0] == label or x[3] <= e for x in scanner.fuzzy(words))
+            if not e or notice in words.decode():
+                assert any(x[0] == label for x in scanner.fuzzy(words))
+
+
+def test_notices_end_with_words_and_the_best_one_explains_a_place():
+    scanner = license_scan.Scanner()
+    assert scanner.fuzzy(b"small rights reserved seats") == []
+    assert {x[0] for x in scanner.fuzzy(b"licensed under cc by sa 4 0")} == {"cc-by-sa"}
+    assert {x[0] for x in scanner.fuzzy(b"licensed under cc by nd 4 0")} <= {"cc-by-nc", "cc-by-sa", "cc-by"}
+    assert {x[0] for x in scanner.fuzzy(b"it is licensed under the gnu general public license version 3 here")} >= {"gpl-3"}
+
+
+def test_unclosed_cdata_is_read_once():
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_texts([html_extract.blocks_of("<article>" + "<![CDATA[x " * 20000 + "<p>end</article>")])[0].endswith("end")
+    assert time.process_time() - began < 3
+    assert html_extract.main_texts([html_extract.blocks_of("<article><p>a<![CDATA[b < c]]> d</article>")]) == ["ab < c d"]
 
 
 def test_adjacent_notices_each_give_a_span():
