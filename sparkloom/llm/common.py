@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -30,6 +31,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Caches of operators in a Python worker; one is emptied when a task of another operator begins.
+CACHES: list[dict] = []
+
+
+def release() -> None:
+    """Hands memory that a worker no longer needs back to the system: workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU allocator
+        pass
+
+
+def stretches(texts: list, letters: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of neighbours that hold about so many letters; one longer text stands alone."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < letters):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 def small_batches(spark: SparkSession) -> None:
     """Long texts: keep Arrow batches small unless the session asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -48,6 +75,9 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, make: Callabl
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cache in CACHES:
+            if cache is not getattr(make, "cache", None):
+                cache.clear()
         work = make()
 
         def parts() -> Iterator[Iterable[tuple]]:
@@ -68,6 +98,8 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, make: Callabl
                     out = []
             if out:
                 yield packed(out)
+        del work
+        release()
 
     return rows.mapInArrow(run, kind)
 

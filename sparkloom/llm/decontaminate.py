@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keep, map_columns
+from sparkloom.llm.common import keep, map_columns, stretches
 from sparkloom.llm.fingerprints import U, mix
 from sparkloom.llm.license_scan import _WORD_BYTES
 
@@ -195,16 +195,10 @@ def find_leaks(df: DataFrame, items: DataFrame, share: float = SHARE, text: str
             index = Index(sent.value, share)
 
             def work(keys: list, hashes: list, texts: list) -> Iterator[tuple]:
-                at = 0
-                while at < len(texts):
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size < BATCH_LETTERS):
-                        size += len(texts[end] or "")
-                        end += 1
+                for at, end in stretches(texts, BATCH_LETTERS):
                     for doc, i, _, edits, stop in index.find(texts[at:end]):
                         item, w = index.items[i]
                         yield keys[at + doc], hashes[at + doc], item, edits, len(w), stop
-                    at = end
 
             return work
 

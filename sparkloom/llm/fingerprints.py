@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from sparkloom.llm.common import stretches
+
 U = np.uint64
 #: Multiplier of the byte positions and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -44,16 +46,11 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the text) of every white-space separated word, lower case."""
-    hashes, where, at = [], [], 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size < TOGETHER):
-            size += len(texts[end] or "")
-            end += 1
+    hashes, where = [], []
+    for at, end in stretches(texts, TOGETHER):
         h, w = _hash_some(texts[at:end])
         hashes.append(h)
         where.append(w + at)
-        at = end
     return (np.concatenate(hashes), np.concatenate(where)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
 
 

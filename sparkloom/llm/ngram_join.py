@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, keep, map_columns
-from sparkloom.llm.fingerprints import U, mix, shingles
+from sparkloom.llm.common import components, keep, map_columns, release, stretches
+from sparkloom.llm.fingerprints import TOGETHER, U, mix, shingles
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -70,6 +70,10 @@ def fingerprint(df: DataFrame, text: str, key: str, words: int, bands: int, rows
 
     def make() -> Callable[..., Iterator[tuple]]:
         def work(keys: list, hashed: list, texts: list) -> Iterator[tuple]:
+            for at, end in stretches(texts, TOGETHER):
+                yield from some(keys[at:end], hashed[at:end], texts[at:end])
+
+        def some(keys: list, hashed: list, texts: list) -> Iterator[tuple]:
             grams, where = shingles(texts, words)
             starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else np.array([], int)
             of = where[starts] if len(starts) else []
@@ -166,6 +170,8 @@ def _verifier(threshold: float) -> Callable:
                 rows.append(row)
         if rows:
             yield done()
+        rows = []
+        release()
 
     return run
 
@@ -192,6 +198,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
 
     def grams() -> Callable[..., Iterator[tuple]]:
         def work(names: list, texts: list) -> Iterator[tuple]:
+            for at, end in stretches(texts, TOGETHER):
+                yield from some(names[at:end], texts[at:end])
+
+        def some(names: list, texts: list) -> Iterator[tuple]:
             found, where = shingles(texts, words)
             for i, (a, b) in enumerate(np.stack((np.searchsorted(where, np.arange(len(texts))), np.searchsorted(where, np.arange(len(texts)), "right")), 1)):
                 yield names[i], np.unique(found[a:b]).tobytes()

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_columns
+from sparkloom.llm.common import CACHES, map_columns, stretches
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -185,7 +185,7 @@ def build_plain(model: Model):
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean, parity boolean"
 #: Letters of text that are encoded at a time (one longer text is taken alone): the tokens of a batch take many times as much memory.
-BATCH_LETTERS = 500_000
+BATCH_LETTERS = 250_000
 #: Letters after which the text for the comparison is cut at the next blank, where no piece crosses: the peer sorts what it is given.
 STRETCH = 200
 
@@ -248,6 +248,7 @@ class Codec:
 
 
 _codecs: dict[tuple, Codec] = {}
+CACHES.append(_codecs)
 
 
 def codec_of(data: bytes, verify: bool) -> Codec:
@@ -272,20 +273,14 @@ def encode_texts(df: DataFrame, model_file: str, text: str = "text", key: str =
             whole = [t or "" for t in texts]
             distinct = list(dict.fromkeys(whole))  # copies in one Arrow batch are encoded once
             found: dict[str, tuple] = {}
-            at = 0
-            while at < len(distinct):
-                end, size = at, 0
-                while end < len(distinct) and (end == at or size < BATCH_LETTERS):
-                    size += len(distinct[end])
-                    end += 1
-                part = distinct[at:end]
-                for t, (ids, back, same) in zip(part, codec.encode(part), strict=True):
+            for at, end in stretches(distinct, BATCH_LETTERS):
+                for t, (ids, back, same) in zip(distinct[at:end], codec.encode(distinct[at:end]), strict=True):
                     found[t] = len(ids), ids, sha256(ids.tobytes()).hexdigest(), back, same
-                at = end
             return ((k, *found[t]) for k, t in zip(keys, whole, strict=True))
 
         return work
 
+    make.cache = _codecs
     return map_columns(df, [F.col(key).try_cast("long"), F.col(text)], SCHEMA, make)
 
 

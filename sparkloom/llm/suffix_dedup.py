@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keep, map_columns
+from sparkloom.llm.common import keep, map_columns, release
 from sparkloom.llm.fingerprints import INVERSE, U, mix, powers, prefix_sums
 
 LENGTH = 200
@@ -206,6 +206,8 @@ def _sorter(length: int) -> Callable:
                 rows.append(row)
         if rows:
             yield work(rows)
+        rows = []
+        release()
 
     return run
 
