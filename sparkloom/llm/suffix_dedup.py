@@ -98,30 +98,42 @@ def leading(data: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def cover_ranks(eight: np.ndarray, n: int, length: int, period: int, cover: list[int]) -> np.ndarray:
-    """Rank of the suffix at every place of the cover by at least ``length`` of its bytes; 0 at other places and beyond the end."""
+def cover_ranks(eight: np.ndarray, wanted: np.ndarray, length: int, period: int, cover: list[int]) -> np.ndarray:
+    """Rank of the suffix by at least ``length`` of its bytes, at every place of the cover that a wanted place or one less
+    than a period after it has; 0 elsewhere. Widths double, the last step overlaps; each width is ranked only where a
+    later one asks for it."""
     width = 8 * period
-    places = np.flatnonzero(np.isin(np.arange(n) % period, cover))
-    rank = np.zeros(n + length + 2 * width, np.int64)
-
-    def set_ranks(order: np.ndarray, new: np.ndarray) -> int:
-        got = np.cumsum(new)
-        rank[places[order]] = got
-        return int(got[-1]) if len(got) else 0
-
-    keys = [eight[np.minimum(places + 8 * k, len(eight) - 1)] for k in reversed(range(period))]
+    steps = []  # (step to the second half, width after it)
+    while width < length:
+        step = min(width, -(-(length - width) // period) * period)
+        steps.append(step)
+        width += step
+    room = len(eight)
+    in_cover = np.isin(np.arange(room) % period, cover)
+    need = np.zeros(room, bool)
+    for x in range(period):
+        need[np.minimum(wanted + x, room - 1)] = True
+    asked = [need & in_cover]
+    for step in reversed(steps):
+        more = asked[-1].copy()
+        more[step:] |= asked[-1][:-step]
+        asked.append(more)
+    rank = np.zeros(room, np.int64)
+    places = np.flatnonzero(asked.pop())
+    keys = [eight[np.minimum(places + 8 * k, room - 1)] for k in reversed(range(period))]
     order = np.lexsort(keys)
     new = np.ones(len(places), bool)
     if len(places):
         new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    most = set_ranks(order, new)
-    while width < length and most < len(places):
-        key = rank[places] * np.int64(most + 1) + rank[np.minimum(places + width, len(rank) - 1)]
+    rank[places[order]] = np.cumsum(new)
+    for step in steps:
+        places = np.flatnonzero(asked.pop())
+        key = rank[places] << np.int64(32) | rank[np.minimum(places + step, room - 1)]
         order = np.argsort(key, kind="stable")
         ordered = key[order]
+        new = np.ones(len(places), bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        most = set_ranks(order, new)
-        width *= 2
+        rank[places[order]] = np.cumsum(new)
     return rank
 
 
@@ -154,12 +166,12 @@ def repeated_windows(pieces: list[bytes], low: np.ndarray, high: np.ndarray, tim
     cover = difference_cover(period)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     eight = leading(data, length)
-    rank = cover_ranks(eight, len(data), length, period, cover)
     starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces])[:-1])).astype(np.int64)
     counts = high - low + 1
     row = np.repeat(np.arange(len(pieces)), counts)
     within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     places, offset = starts[row] + within, high[row] - within
+    rank = cover_ranks(eight, places, length, period, cover)
     lead = (eight[places] >> U(48)).astype(np.uint16)
     order = np.argsort(lead, kind="stable")
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(lead[order])) + 1, [len(order)]))  # a block holds whole groups of leading bytes

@@ -116,8 +116,8 @@ def test_blocks_are_sorted_by_ranks_of_the_cover(period):
     data[2000:2500] = 7
     length, cover = 60, suffix_dedup.difference_cover(period)
     eight = suffix_dedup.leading(data, length)
-    rank = suffix_dedup.cover_ranks(eight, len(data), length, period, cover)
     places = rng.permutation(len(data) - length)[:1200].astype(np.int64)
+    rank = suffix_dedup.cover_ranks(eight, places, length, period, cover)
     line = suffix_dedup.sorted_block(places, eight, rank, period, cover)
     raw = data.tobytes()
     got = [raw[p : p + length] for p in line]
