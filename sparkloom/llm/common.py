@@ -5,17 +5,17 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkloom.operators import graph
+from sparkloom.operators.graph import drop, shared_dir
+
 #: The white space that separates words in most operators (fixed set): space and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows an Arrow batch may hold; texts can be long, so it is small.
@@ -104,24 +104,6 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, make: Callabl
     return rows.mapInArrow(run, kind)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where the session names none, one of this process
-    if it runs in this process alone, else an error: other machines would not see it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _own_dir()
-    return found.rstrip("/")
-
-
-@cache
-def _own_dir() -> str:
-    found = tempfile.mkdtemp(prefix="tables-")
-    atexit.register(shutil.rmtree, found, True)
-    return found
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors and gives the planner true sizes."""
     spark = df.sparkSession
@@ -135,28 +117,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session has ended: the cluster's own clean-up takes the folder
-        pass
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node of an undirected edge list; root is the least node it is connected with.
-
-    Every round takes the least label among the neighbours, then the label of the label, so that
-    chains shorten by doubling. Each round is written to the shared folder.
-    """
-    both = keep(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).where("x <> y").distinct(), "edges")
-    label = keep(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "label")
-    while True:
-        near = both.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = keep(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")), "label")
-        changed = new.where("was <> root").limit(1).count()
-        label = new.select("node", "root")
-        if not changed:
-            return label
+    """(node, root) of every node of an undirected edge list; root is the least node it is connected with."""
+    return graph.components(edges, a, b).withColumnRenamed("grp", "root")

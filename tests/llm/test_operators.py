@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from sparkloom.llm import decontaminate, html_extract, lattice_lm, license_scan, line_templates, ngram_join, quality, sentencepiece_codec, suffix_dedup, warc
+from sparkloom.llm import decontaminate, html_extract, lattice_lm, license_scan, line_templates, ngram_join, quality, queries, sentencepiece_codec, suffix_dedup, warc
 from sparkloom.llm.common import components
 from sparkloom.llm.queries import PIECES
 
@@ -772,6 +772,19 @@ def test_warc_payloads():
     assert warc.plain_text("a<!-- x -->b<SCRIPT>c</script >d<style>e") == "a b de"
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_with_sql(spark, sf, name):
+    import duckdb
+
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute(queries.ORACLES[name]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = [sorted(tuple("~" if x != x or x is None else str(int(x)) if isinstance(x, (int, float)) else str(x) for x in r) for r in f[sorted(f.columns)].itertuples(index=False)) for f in (got, want)]
+    assert rows[0] == rows[1]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
