@@ -71,7 +71,8 @@ def _shown(html: str) -> str:
 
 
 def plain_text(html: str) -> str:
-    text = _TAG.sub("", _BREAK.sub("\n", _shown(html)))  # a tag may span lines
+    """Text of a page, a line for each block; line ends of the source are blanks."""
+    text = _TAG.sub("", _BREAK.sub("\n", " ".join(_shown(html).split())))
     lines = (" ".join((unescape(x) if "&" in x else x).split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 

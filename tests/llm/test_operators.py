@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 from html import unescape
+from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
@@ -732,6 +733,47 @@ def test_warc(spark, tmp_path):
     assert warc.derive(records.limit(0)).count() == 0
 
 
+class Page(HTMLParser):
+    """Text lines and links of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.links, self.hidden = [""], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden += 1
+        if tag == "a" and not self.hidden:
+            self.links += [v for k, v in attrs if k == "href"]
+        if tag == "br" or tag in html_extract.BLOCKS:
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden -= 1
+        if tag in html_extract.BLOCKS:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.lines[-1] += data
+
+
+def test_warc_conversions_of_pages(spark, sf):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = warc.derive(warc.pages_to_responses(spark.read.parquet(f"{sf}/pages.parquet"))).collect()
+    assert len(got) == 2 * len(pages)
+    for r in got:
+        page = Page()
+        page.feed(pages[r.page_id].html)
+        page.close()
+        if r.kind == "conversion":
+            assert r.content == "\n".join(x for x in (" ".join(line.split()) for line in page.lines) if x)
+        else:
+            assert re.findall(r"outlink: (.*)\r\n", r.content) == [v for v in page.links if v is not None]
+            assert f"via-record: {r.refers_to}\r\n" in r.content and r.target_uri == pages[r.page_id].url
+
+
 def test_warc_damage(spark, tmp_path):
     import gzip
 
