@@ -105,7 +105,8 @@ def map_columns(df: DataFrame, columns: list[Column], schema: str, make: Callabl
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors and gives the planner true sizes."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors and gives the planner true
+    sizes. ``graph.forget`` deletes the table once its last reader has been written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
@@ -114,9 +115,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     spark._jvm.System.gc()  # shuffle files that nothing refers to any more go now
     atexit.register(drop, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node of an undirected edge list; root is the least node it is connected with."""
-    return graph.components(edges, a, b).withColumnRenamed("grp", "root")
+    """(node, root) of every node with an edge to another one; root is the least node it is connected with."""
+    return graph.components(edges.where(F.col(a) != F.col(b)), a, b).withColumnRenamed("grp", "root")

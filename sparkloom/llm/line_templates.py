@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import SPACES, keep, let
+from sparkloom.operators.graph import forget
 
 FIELD = "<*>"
 MIN_DOCS = 20
@@ -75,16 +76,19 @@ def recurring(lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
     grown = sure.where(F.col("most") >= min_docs).select("leaf", "t").unionByName(docs.where(F.col("docs") >= min_docs).select("leaf", "t"))
     found = pairs.join(grown, ["leaf", "t"], "left_semi").select("leaf", "kind").distinct()
     more = parts.where(F.col("docs") < min_docs).join(found, ["leaf", "kind"], "left_semi").select("leaf", "line")
-    return counted.where(F.col("docs") >= min_docs).select("leaf", "line").unionByName(more)
+    out = keep(counted.where(F.col("docs") >= min_docs).select("leaf", "line").unionByName(more), "templates")
+    forget(seen, crowded, texts, parts, pairs)
+    return out
 
 
 def drop_recurring_lines(df: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed_share: float = FIXED_SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df with the recurring lines taken out of the text, and n_lines_dropped (added to a column of that name, if df has it)."""
     lines = keep(lines_of(df, text, key, depth), "lines")
-    out = keep(recurring(lines, min_docs, fixed_share), "templates")
+    out = recurring(lines, min_docs, fixed_share)
     # both sides are tables, so that a frequent line's side can be split (AQE)
     gone = lines.select("d", "h", "pos", "leaf", "line").join(out, ["leaf", "line"], "left_semi").groupBy("d", "h").agg(F.collect_set("pos").alias("gone__"))
     gone = keep(gone.withColumnRenamed("d", "d__").withColumnRenamed("h", "h__"), "gone")
+    forget(lines, out)
     joined = df.join(gone, F.col(key).eqNullSafe(F.col("d__")) & (F.xxhash64(F.col(text)) == F.col("h__")), "left")
     left = let(F.split(F.col(text), "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone__")), lambda i: F.get(x, i)))
     new = F.when(F.col("gone__").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import components, keep, map_columns, release, stretches
 from sparkloom.llm.fingerprints import TOGETHER, U, mix, shingles
+from sparkloom.operators.graph import forget
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -224,6 +225,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
     )
     dealt = dealt.repartition("band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j")
     found = keep(dealt.mapInArrow(_verifier(threshold), "set string, links long, root string"), "links")
+    forget(members, wanted, payload)
     label = components(found.select(F.col("set").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     info = sets.select("set", "weight", "first", "from").join(links, "set", "left").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import keep, map_columns, release
 from sparkloom.llm.fingerprints import INVERSE, U, mix, powers, prefix_sums
+from sparkloom.operators.graph import forget
 
 LENGTH = 200
 GRAM = 64
@@ -260,6 +261,7 @@ def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, b
     twice = keep(places.groupBy("g").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a <> b").select("g"), "twice")
     wanted = places.select("row", "g", "x").join(twice, "g").groupBy("row").agg(F.collect_list(F.struct("g", "x")).alias("p"))
     wanted = keep(wanted.join(copies.where("not stands").select("row"), "row", "left_anti").join(heads, "row").drop("row"), "wanted")
+    forget(found, groups, twice)
 
     def surround() -> Callable[..., Iterator[tuple]]:
         def work(keys: list, names: list, names2: list, texts: list, lists: list) -> Iterator[tuple]:
@@ -274,6 +276,7 @@ def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, b
     same = F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("i")) & (F.col("h2") == F.col("i2"))
     joined = named.join(wanted.select(F.col("d").alias("e"), F.col("h").alias("i"), F.col("h2").alias("i2"), "p"), same)
     around = keep(map_columns(joined, [F.col(c) for c in ("d", "h", "h2", "t", "p")], "d long, h long, h2 long, g long, at long, low int, high int, around binary, u binary", surround), "around")
+    forget(wanted)
     kinds = keep(around.groupBy("g", "low", "high", "u").agg(F.first("around").alias("around"), F.count("*").alias("times")), "kinds")
     big = keep(kinds.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("g"), "big")
     # a bucket sorts as one, so its rows meet in one task; their number is bounded by `bucket`
@@ -296,7 +299,9 @@ def repeated_spans(df: DataFrame, text: str, key: str, length: int, gram: int, b
     spans = around.drop("around").join(runs, ["g", "low", "high", "u"]).select("d", "h", "h2", "at", F.explode("runs").alias("r"))
     spans = spans.select("d", "h", "h2", F.struct((F.col("at") - F.col("r.b")).alias("a"), (F.col("at") - F.col("r.a") + length).alias("b")).alias("s"))
     whole = copies.select("d", "h", "h2", F.lit(True).alias("whole")).distinct()
-    return spans.unionByName(whole, allowMissingColumns=True).groupBy("d", "h", "h2").agg(F.coalesce(F.max("whole"), F.lit(False)).alias("whole"), F.collect_list("s").alias("spans"))
+    out = keep(spans.unionByName(whole, allowMissingColumns=True).groupBy("d", "h", "h2").agg(F.coalesce(F.max("whole"), F.lit(False)).alias("whole"), F.collect_list("s").alias("spans")), "spans")
+    forget(copies, around, kinds, big, repeats)
+    return out
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -317,7 +322,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def dedup_substrings(df: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, with_text) of every row."""
-    spans = keep(repeated_spans(df, text, key, length, gram, bucket).toDF("e", "i", "i2", "whole", "spans"), "spans")
+    spans = repeated_spans(df, text, key, length, gram, bucket).toDF("e", "i", "i2", "whole", "spans")
     same = F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("i")) & (F.col("h2") == F.col("i2"))
     joined = _named(df, text, key).join(spans, same, "left")
 
