@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where the session names none, one of this process
     if it runs in this process alone, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (folder or _own_dir()).rstrip("/")
 
@@ -35,7 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` whose last reader has been written."""
+    for df in tables:
+        drop(df.sparkSession, df.kept_at)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -50,15 +59,17 @@ def drop(spark: SparkSession, path: str) -> None:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, grp): grp is the least node connected with node. Each round halves long chains."""
     arcs = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    label = cut(arcs.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("grp")))
+    kept = label = cut(arcs.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("grp")))
     while True:
         near = arcs.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("grp").alias("near"))
         step = label.join(near, "node").select("node", F.col("grp").alias("was"), F.least("grp", "near").alias("grp"))
         far = label.select(F.col("node").alias("grp"), F.col("grp").alias("far"))
         new = cut(step.join(far, "grp", "left").select("node", "was", F.least("grp", F.coalesce("far", "grp")).alias("grp")))
         moved = new.where("was <> grp").limit(1).count()
-        label = new.select("node", "grp")
+        forget(kept)
+        kept, label = new, new.select("node", "grp")
         if not moved:
+            forget(arcs)
             return label
 
 
