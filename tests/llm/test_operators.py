@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sparkloom.llm import decontaminate, html_extract, lattice_lm, license_scan, line_templates, ngram_join, quality, queries, sentencepiece_codec, suffix_dedup, warc
@@ -823,7 +824,7 @@ def test_queries_with_sql(spark, sf, name):
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = con.execute(queries.ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = [sorted(tuple("~" if x != x or x is None else str(int(x)) if isinstance(x, (int, float)) else str(x) for x in r) for r in f[sorted(f.columns)].itertuples(index=False)) for f in (got, want)]
+    rows = [sorted(tuple("~" if pd.isna(x) else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in f[sorted(f.columns)].itertuples(index=False)) for f in (got, want)]
     assert rows[0] == rows[1]
 
 
