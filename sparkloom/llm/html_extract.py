@@ -125,8 +125,9 @@ def blocks_of(html: str | None) -> list[tuple[bool, str]]:
 
 
 def covered(streams: list[list[str]], run: int = RUN, min_pages: int = MIN_PAGES, contents: list | None = None) -> list[np.ndarray]:
-    """For each page, which tokens lie in a run of ``run`` tokens that min_pages distinct pages share; pages of equal
-    contents (by default, their streams) are one."""
+    """For each page, which tokens lie in a run of at least ``run`` tokens that min_pages distinct pages share; pages of
+    equal contents (by default, their streams) are one. A longer run is covered by its runs of ``run`` tokens, so the
+    suffixes are sorted by that many tokens and no more."""
     sizes = [len(s) for s in streams]
     total = sum(sizes)
     if not total:
