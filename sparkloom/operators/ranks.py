@@ -39,3 +39,8 @@ def stratified(df: DataFrame, kind: str, key: str, total: int, seed: str) -> Dat
     h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
     ranked = df.withColumn("r__", F.row_number().over(Window.partitionBy(kind).orderBy(h, key))).where(F.col("r__") <= total + 1)
     return ranked.join(counts.select(kind, share.alias("take__")), kind).where("r__ <= take__").drop("r__", "take__")
+
+
+def only(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows of the named kinds, all of them where no kind is named."""
+    return df.where(F.col(column).isin(names)) if names else df

@@ -16,7 +16,7 @@ from sparkloom.plans.base import Tables, register
 from sparkloom.plans.chunks import _CASES, _REFERENCE, _SCHEDULE, _STATUTE, corpus, named_sql
 from sparkloom.plans.code import CODE
 from sparkloom.plans.graphs import _split_sql
-from sparkloom.plans.questions import CLASSIFICATION, OLD_TO_NEW, SCOPE, TRANSITION, _q, full_cases, say_sql
+from sparkloom.plans.questions import CLASSIFICATION, DATASET, OLD_TO_NEW, SCOPE, TRANSITION, _q, full_cases, say_sql
 from sparkloom.plans.scoring import query_refs_sql
 
 _FACTS = f"""rel as (select old_act, old_section, new_act, new_section, min(rid) rid from mapping where rid is not null group by all),
@@ -103,6 +103,9 @@ n3 as (select 'no_single' qa_type, unnest(['Which single ' || {named_sql(chunks.
   from (select i.*, listed, n.title from into2 i join lst using (node) join new_s n on n.act = i.new_act and n.section = i.new_section and n.title <> '' where not blocked order by md5('no_single:' || node), node limit 250))"""
 
 
+_NEG_DATASET = f"{DATASET}, {_NEG}"
+
+
 def negations(t: Tables) -> tuple[DataFrame, DataFrame]:
     found = groups(t)
     return hard.negations(facts(t), code.mapping(t), code.sections(t), found, held_out(t, found))

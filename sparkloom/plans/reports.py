@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import refs, text
-from sparkloom.operators import answers, chunks, ranks
+from sparkloom.operators import answers, chunks, concordance, metrics, parsing, ranks
 from sparkloom.operators.layout import REFERENCE
-from sparkloom.plans import answering, code, hard
-from sparkloom.plans.answering import _HITS, _PARSED, _PROFILE, cite_sql
+from sparkloom.plans import answering, code, hard, scoring
+from sparkloom.plans import parsing as plan_parsing
+from sparkloom.plans.answering import _ALL, _HITS, _PARSED, _PROFILE, cite_sql
 from sparkloom.plans.base import Tables, register
 from sparkloom.plans.chunks import _CASES, _SCHEDULE, _STATUTE, full_cases
 from sparkloom.plans.code import CODE
 from sparkloom.plans.questions import DATASET, dataset
-from sparkloom.plans.scoring import refs_sql
+from sparkloom.plans.scoring import _SCORED, refs_sql
 from sparkloom.sources import files
 
 
@@ -171,3 +172,56 @@ def printed_answers(t: Tables) -> DataFrame:
     to = F.transform(F.coalesce("to", F.array().cast("array<string>")), answers.cite)
     return p.select("ref", answers.printed(answers.cite(F.col("ref")), to).alias("printed"))
 
+
+@register("select s_nationkey::varchar as old_section, array_to_string(list_sort(list((s_suppkey + 1)::varchar)), '|') as sections from supplier where (s_suppkey + 1) % 3 = 0 group by 1")
+def xref_edges(t: Tables) -> DataFrame:
+    """Back references printed on the section pages: each old section with the sections that name it."""
+    rows = parsing.anchor_sections(plan_parsing._chapter_pages(t)).where("xref_section is not null")
+    return concordance.adjacency(rows, "xref_section", "section").select(F.col("xref_section").alias("old_section"), F.array_join("refs", "|").alias("sections"))
+
+
+@register(f"with recursive {hard._NEG_DATASET} select kind, n, round(100.0 * n / sum(n) over (), 6) as pct, source from (select qa_type kind, count(*) n, 'base' as source from qa group by 1 union all select qa_type, count(*), 'negation' from (select qa_type from n1 union all select qa_type from n2 union all select qa_type from n3) group by 1)")
+def training_mix(t: Tables) -> DataFrame:
+    """The questions and the negations put together: rows and share of each kind."""
+    both = dataset(t).select("qa_type", F.lit("base").alias("source")).unionByName(hard.negations(t)[0].select("qa_type", F.lit("negation").alias("source")))
+    counts = both.groupBy(F.col("qa_type").alias("kind"), "source").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))
+    return counts.join(F.broadcast(total)).select("kind", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("pct"), "source")  # one row of totals
+
+
+#: Question, words that its answer must hold, words that it must not hold.
+PROBES = {"x0": ("Name a section", "§"), "x1": ("words of its heading", "§"), "x2": ("Name a section", "§"), "x3": ("Name a section", "§"), "x4": ("no record", "licensed"), "x6": ("not a licensed advocate", "§"), "o5": ("can't help", "§"), "o3": ("IPC §2", "no record")}
+
+
+@register("select * from (values " + ", ".join(f"('{q}', true)" for q in PROBES) + ") v(qid, passed)")
+def answer_probes(t: Tables) -> DataFrame:
+    """Answers that must hold some words and must not hold others."""
+    probes = t.spark.createDataFrame([(q, [a], [b]) for q, (a, b) in PROBES.items()], "qid string, must array<string>, never array<string>")
+    return metrics.probed(answering.engine_answers(t), probes, "qid", "answer").select("qid", "passed")
+
+
+@register(f"with {CODE}, {_SCORED}, s as (select coalesce(kind, 'all') k, count(*) n, round(100 * avg(f1), 3) f1 from scored group by rollup (kind)) select '{{' || string_agg('\"' || k || '\":{{\"n\":' || n || ',\"f1\":' || f1 || '}}', ',' order by k) || '}}' as document from s")
+def results_document(t: Tables) -> DataFrame:
+    """The summary of scores as one document, by kind."""
+    scored = metrics.summarise(metrics.score(scoring._systems(t)), ["kind"])
+    entry = F.struct(F.coalesce("kind", F.lit("all")).alias("k"), F.struct("n", F.round("f1", 3).alias("f1")).alias("v"))
+    return scored.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("document"))
+
+
+@register(r"select (['IPC', 'CRPC', 'IEA'])[p_partkey % 3 + 1] as act, count(distinct p_partkey // 6 + 1) as n, max(p_partkey // 6 + 1)::int as last from part group by 1")
+def old_universe(t: Tables) -> DataFrame:
+    """Distinct section numbers of each old act, however their cells are written."""
+    k = F.col("p_partkey")
+    n = (F.floor(k / 6) + 1).cast("string")
+    cell = F.when(k % 2 == 0, F.concat(F.lit(" "), n, F.lit("(2)"))).otherwise(F.concat(n, F.lit(", para 1")))
+    rows = t.part.select(F.get(F.array(*map(F.lit, code.OLD)), (k % 3).cast("int")).alias("act"), text.section_number(cell).alias("section")).where("section <> ''")
+    return rows.groupBy("act").agg(F.count_distinct("section").alias("n"), F.max(F.col("section").cast("int")).alias("last"))
+
+
+@register(f"with {_ALL}, top1 as (select qid, text from chosen join docs using (chunk_id) join rq using (qid) where r = 1 and not refused) select qid, case when length(text) <= 1720 then text else regexp_replace(substr(text, 1, 1720), ' [^ ]*$', '') || ' [...]' end as context from top1")
+def single_passage(t: Tables) -> DataFrame:
+    """Contexts of one passage, under the whole budget."""
+    docs = answering._chunks(t)
+    asked = answering.asked(t).where(~answers.refused(F.coalesce("question", F.lit(""))))
+    chosen = answers.select_chunks(asked, docs, answers.counterparts(code.mapping(t)), answering._hits(t), 1)
+    return answers.build_context(chosen.join(asked.select("qid"), "qid", "left_semi"), docs, 1).select("qid", "context")
