@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text
 from sparkloom.operators import answers, concordance, gate, graph, hard, layout, metrics, parsing, qa, ranks, retrieval
 from sparkloom.sources import files
+from sparkloom.streaming import questions
 
 
 def walk(groups, shares):
@@ -218,6 +219,23 @@ def test_sinks_and_manifests(spark, tmp_path):
     assert [r.url for r in files.to_fetch(urls, landed).collect()] == ["w"] and files.to_fetch(urls, landed, True).count() == 2
 
 
+def test_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00", "a", 1.0), (1, "2024-01-01 10:05:00", "a", 1.0), (2, "2024-01-02 10:00:00", "b", 2.0)], "event_id int, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    once = questions.run_once(spark, questions.first_seen(stream(), "event_id"), ["event_id"])
+    assert sorted(r.event_id for r in once.collect()) == [1, 2]
+    counts = questions.run_once(spark, questions.windowed_counts(stream()), ["start", "event_type"])
+    assert sorted((r.event_type, r.n, r.total) for r in counts.collect()) == [("a", 2, 2.0), ("b", 1, 2.0)]
+
+
+def test_shown_and_only(spark):
+    rows = spark.createDataFrame([("a", 50.0), ("b", None)], "k string, p double")
+    label, bar = metrics.shown(F.col("p"), 10)
+    assert [(r.l, r.b) for r in rows.select(label.alias("l"), bar.alias("b")).collect()] == [("   50.0%", "#####"), ("     n/a", "")]
+    assert [r.k for r in ranks.only(rows, "k", ["b"]).collect()] == ["b"] and ranks.only(rows, "k", []).count() == 2
+
+
 def test_small_functions(spark):
     row = spark.createDataFrame([("No. It is not so", "12. Text", "12", "A. b")], "a string, b string, c string, d string")
     got = row.select(text.opens_with(F.col("a"), ["no."]).alias("o"), qa.strip_leading_number(F.col("b"), F.col("c")).alias("s"), qa.lower_first(F.col("d")).alias("l")).first()
