@@ -52,12 +52,16 @@ def profiles(mapping: DataFrame, sections: DataFrame, schedule: DataFrame) -> Da
 
 
 def heading_search(questions: DataFrame, sections: DataFrame) -> DataFrame:
-    """qid, headings: sections whose heading holds every word of a question that names no section, five at most. Words
-    of headings and questions meet in an index, so no question meets all headings."""
+    """qid, headings: sections whose heading holds every word of a question that names no section, five at most. A question
+    meets the headings of its rarest word alone, which are then held against all its words."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    asked = questions.select("qid", words(F.col("question")).alias("w")).where(F.size("w") > 0).select("qid", F.size("w").alias("m"), F.explode("w").alias("word"))
-    titles = sections.where("title <> ''").select(F.concat_ws(" ", "act", "section").alias("ref"), "title", F.explode(words(F.col("title"))).alias("word"))
-    met = asked.join(titles, "word").groupBy("qid", "ref", "m").agg(F.count("*").alias("n"), F.min("title").alias("title")).where("n = m")
+    titles = sections.where("title <> ''").select(F.concat_ws(" ", "act", "section").alias("ref"), "title", words(F.col("title")).alias("has"))
+    index = titles.select("ref", F.explode("has").alias("word"))
+    asked = questions.select("qid", words(F.col("question")).alias("w")).where(F.size("w") > 0)
+    known = asked.select("qid", F.explode("w").alias("word")).join(index.groupBy("word").agg(F.count("*").alias("n")), "word")
+    rarest = known.groupBy("qid").agg(F.min(F.struct("n", "word")).alias("x"), F.count("*").alias("m"))
+    open_ = asked.join(rarest, "qid").where(F.col("m") == F.size("w")).select("qid", "w", F.col("x.word").alias("word"))
+    met = open_.join(index, "word").join(titles, "ref").where(F.size(F.array_except("w", "has")) == 0)
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("ref"))).where(F.col("r") <= MOST_TITLES)
     line = F.concat(cite(F.col("ref")), F.lit(" "), "title")
     return best.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "; ").alias("headings"))
