@@ -94,4 +94,4 @@ def corpus(t: Tables) -> DataFrame:
 
 @register(f"with {CORPUS} select doc_type, act, count(*) as n, max(length(text)) as longest, count_if(len(equivalent_sections) > 0) as linked from corpus group by 1, 2")
 def corpus_stats(t: Tables) -> DataFrame:
-    return corpus(t).groupBy("doc_type", "act").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.count_if(F.size("equivalent_sections") > 0).alias("linked"))
+    return corpus(t).groupBy("doc_type", "act").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"), F.count_if(F.size("equivalent_sections") > 0).alias("linked"))

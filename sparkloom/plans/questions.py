@@ -131,4 +131,4 @@ _register("qa_dataset", f"with {DATASET} {_OUT} qa", dataset)
 
 @register(f"with {DATASET} select qa_type, count(*) as n, max(length(instruction)) as instruction_chars, max(length(output)) as output_chars from qa group by 1")
 def qa_stats(t: Tables) -> DataFrame:
-    return dataset(t).groupBy("qa_type").agg(F.count("*").alias("n"), F.max(F.length("instruction")).alias("instruction_chars"), F.max(F.length("output")).alias("output_chars"))
+    return dataset(t).groupBy("qa_type").agg(F.count("*").alias("n"), F.max(F.length("instruction")).cast("long").alias("instruction_chars"), F.max(F.length("output")).cast("long").alias("output_chars"))

@@ -160,4 +160,4 @@ def worst_rows(t: Tables) -> DataFrame:
 def length_report(t: Tables) -> DataFrame:
     """Rows over a limit on either side."""
     q, g = F.length("q"), F.length("gold")
-    return _systems(t).groupBy("kind").agg(F.count("*").alias("n"), F.max(q).alias("longest_source"), F.count_if(q > 60).alias("sources_over"), F.max(g).alias("longest_target"), F.count_if(g > 320).alias("targets_over"))
+    return _systems(t).groupBy("kind").agg(F.count("*").alias("n"), F.max(q).cast("long").alias("longest_source"), F.count_if(q > 60).alias("sources_over"), F.max(g).cast("long").alias("longest_target"), F.count_if(g > 320).alias("targets_over"))
