@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, html_extract, lattice_lm, license_scan, line_templates, ngram_join, quality, sentencepiece_codec, suffix_dedup, warc
+from sparkloom.llm import centroids, decontaminate, divergence, html_extract, lattice_lm, license_scan, line_templates, ngram_join, quality, sentencepiece_codec, shards, suffix_dedup, warc
 from sparkloom.llm.common import table
 
 #: Where the public tokenizer's model lies; every operator takes the path as a parameter.
@@ -55,6 +55,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_places(table(spark, sf_dir, "documents"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact part of op5 by itself, which SQL can express."""
     return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -66,11 +78,28 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_derivatives, op2_sentencepiece, op3_line_templates, op4_suffix_dedup, op5_license_scan, op6_decontaminate, op7_quality_cascade, op8_html_extract, op9_lattice_lm, op10_ngram_join, license_base, lm_base)
+    f.__name__: f for f in (op1_warc_derivatives, op2_sentencepiece, op3_line_templates, op4_suffix_dedup, op5_license_scan, op6_decontaminate, op7_quality_cascade, op8_html_extract, op9_lattice_lm, op10_ngram_join, op11_source_audit, op12_sort_means, op13_sharding, license_base, lm_base)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+
+
+def _means_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain k-means: every vector against every centroid in every round."""
+    steps = [f"""with v as (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) x from embeddings
+  where len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+c0 as (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), x) - 1 k, x c from v qualify k < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as (select r, any_value(vec_id) vec_id, any_value(x) x, arg_min(k, (d, k)) k, min(d) d
+  from (select r, vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint d from v, c{i}) group by r)""")
+        if i < rounds:
+            steps.append(f"""m{i} as (select k, list(f order by j) c from (select k, j, ((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*))::bigint f from (select k, unnest(x) y, unnest(range(64)) j from a{i}) group by 1, 2) group by 1),
+c{i + 1} as (select k, coalesce(m{i}.c, c{i}.c) c from c{i} left join m{i} using (k))""")
+    return ",\n".join(steps) + f"""
+select a.vec_id, a.k::int as cluster, a.d as distance, (sum(a.d) over (partition by a.k))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia, sha256(array_to_string(c.c, ',')) as centroid_sha256 from a{rounds} a join c{rounds} c using (k)"""
+
+
 ORACLES: dict[str, str] = {
     "op7_quality_cascade": rf"""
 with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
@@ -136,6 +165,23 @@ s as (select r, min(i) a, max(i) + 200 e from b group by r, b),
 c as (select r, a, e, coalesce(lag(e) over (partition by r order by a), 0) p from s),
 k as (select d.r, sum(e - a) n_removed, count(*) n_spans, string_agg(x[2 * p + 1 : 2 * a], '' order by a) || any_value(x)[2 * max(e) + 1 :] kept from c join d using (r) group by 1)
 select doc_id, cast(length(x) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256 from d left join k using (r)""",
+    "op11_source_audit": r"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+t as (select r, lang, source, unnest(w) term from d),
+k as (select lang, term, count(*)::hugeint n from t group by 1, 2 having count(distinct r) >= 3),
+c as (select lang, source, term, count(*)::hugeint n from t semi join k using (lang, term) group by 1, 2, 3),
+l as (select lang, count(*)::hugeint v, sum(n) n_all from k group by 1),
+g as (select lang, source, coalesce(v, 0) v, coalesce(x.n_all, 0) n_all, coalesce(l.n_all, 0) lang_all
+  from (select distinct lang, source from d) left join (select lang, source, sum(n) n_all from c group by 1, 2) x using (lang, source) left join l using (lang)),
+s as (select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.n_all + g.v) p, 1 + 1000000000 * (k.n + 1) // (g.lang_all + g.v) q
+  from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) f from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+found as (select a.lang, a.source, 'pair' part, b.source item, coalesce(pairs.f, 0) f from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // q from s where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by f desc, item) n from found)
+select lang, source, part, item, f::bigint as value, n::int as rank from ranked where part = 'pair' or n <= 200""",
+    "op12_sort_means": _means_sql(),
     "lm_base": r"""
 with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w,
   list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda s: ascii(s)::bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))) crc from documents),
