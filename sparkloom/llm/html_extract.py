@@ -1,8 +1,10 @@
 """Main text of web pages: page structure first, then a host's suffix array over what structure cannot tell.
 
 A page is read as a stream of tags and text. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out with all they hold; where the page marks its article (article
-or main element), the article's blocks are its text. The blocks of a page without such a mark, and the blocks
+scripts, styles and reader comments are left out with all they hold: by their tag, or by a whole name in their class, id,
+role or label (a part of a name between hyphens does not count, and an element that holds over half of the article's
+letters, of the page's where none is marked, stays in spite of its names, unless they are those of comments). Where the page
+marks its article (article or main element), the article's blocks are its text. The blocks of a page without such a mark, and the blocks
 outside it, go to the host's token stream: streams of a host of at most ``CHUNK_PAGES`` pages are concatenated
 and sorted by prefix doubling up to ``RUN`` tokens; a run of that length that ``MIN_PAGES`` distinct pages of the
 host share is boilerplate, tokens it covers are removed and unique runs stay. Pages of equal blocks count as one. A larger host is cut into chunks of
@@ -38,36 +40,56 @@ LEFT_OUT = {"nav", "footer", "aside", "form", "noscript", "template", "iframe",
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "article", "main", "section", "header", "footer", "nav", "aside", "form", "figure", "figcaption", "address", "hr", "body", "html", "details", "summary", "fieldset", "center"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Whole names in class, id, role or aria-label that mark what is no article; names of reader comments.
 _MARKED = re.compile(
-    r"""(?:^|[\s"'=_-])(ads?|adverts?|advertis\w+|adbox|banner|sponsor\w*|promo\w*|sidebar|side-bar|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|signup|popup|modal|overlay|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|reply|respond|social|share|sharing|related|recommend\w*|widget|pagination|pager|skip-link)(?=$|[\s"'_-])""",
-    re.I,
+    r"""ads?|ad-?(?:box|banner|block|container|slot|unit|wrapper)|adverts?|advertis(?:ement|ements|ing)|banner|(?:ad|cookie|promo|top)-banner|sponsor(?:ed|s)?|sponsored-(?:content|links|post)|promo(?:s|tion|tions)?
+    |side-?bar|(?:left|right|page|site)-side-?bar|cookies?|cookie-?(?:bar|consent|notice|popup)|consent|gdpr|notices?|alerts?|alert-(?:danger|info|warning)|complementary|search|search-(?:box|form)
+    |newsletter|newsletter-(?:form|signup)|subscribe|sign-?up|popup|modal|overlay|menu|(?:main|site|top)-menu|nav-?bar|navigation|nav|(?:main|site|top)-nav(?:igation)?|breadcrumbs?
+    |footer|contentinfo|(?:page|site)-(?:footer|header)|masthead|topbar|toolbar|social|social-(?:icons|links|media|share)|share|sharing|share-(?:buttons|links)
+    |related|related-(?:articles|content|links|posts|stories)|recommended|recommendations|recommended-(?:articles|posts)|widget|widget-area|pagination|pager|skip-link""",
+    re.I | re.X,
 )
+_COMMENTS = re.compile(r"comments?|comment-?(?:list|section|form|area)|comments-(?:area|list|section)|disqus|disqus_thread|replies|reply|respond", re.I)
 _LABEL = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_SPACE = re.compile(r"[\s​]+")
+_SPACE = re.compile(r"\s+")
+
+
+def _names(attributes: str) -> list[str]:
+    return " ".join(x.strip("\"'") for x in _LABEL.findall(attributes)).split()
 
 
 def _left_out(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element goes whatever it holds."""
     if name in LEFT_OUT or (name == "header" and not inside):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    return bool(_HIDDEN.search(attributes)) or any(_MARKED.search(m) for m in _LABEL.findall(attributes))
+    return bool(_HIDDEN.search(attributes)) or any(_COMMENTS.fullmatch(n) for n in _names(attributes))
+
+
+def _marked(name: str, attributes: str) -> bool:
+    """Whether an element's names speak against it: it goes unless it holds most of the article."""
+    return bool(attributes) and name not in ("html", "body", "article", "main") and any(_MARKED.fullmatch(n) for n in _names(attributes))
 
 
 def blocks_of(html: str | None) -> list[tuple[bool, str]]:
     """(is in the article, text) of every block that is not left out."""
     html = html or ""
-    out: list[tuple[bool, str]] = []
+    found: list[tuple[bool, str, tuple[int, ...]]] = []
     piece: list[str] = []
     inside, skip, depth = 0, "", 0
     at, size = 0, len(html)
+    regions, open_ = 0, []  # marked elements: [tag, depth, number, articles around it]
 
     def flush() -> None:
         text = _SPACE.sub(" ", unescape("".join(piece))).strip()
         piece.clear()
         if text:
-            out.append((inside > 0, text))
+            found.append((inside > 0, text, tuple(r[2] for r in open_)))
+
+    def nearest(name: str) -> int | None:
+        return next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
 
     lowered, more_cdata = None, True
     while at < size:
@@ -112,16 +134,38 @@ def blocks_of(html: str | None) -> list[tuple[bool, str]]:
             piece.append(" ")
         if closing:
             if name in ("article", "main"):
+                while open_ and open_[-1][3] >= inside > 0:  # left open inside the article
+                    open_.pop()
                 inside = max(0, inside - 1)
+            elif (i := nearest(name)) is not None:
+                open_[i][1] -= 1
+                if not open_[i][1]:
+                    flush()
+                    del open_[i:]
         elif name not in VOID and not m[3].endswith("/"):
             if _left_out(name, m[3], inside > 0):
                 flush()
                 skip, depth = name, 1
             elif name in ("article", "main"):
                 inside += 1
+            elif _marked(name, m[3]):
+                flush()
+                regions += 1
+                open_.append([name, 1, regions, inside])
+            elif (i := nearest(name)) is not None:
+                open_[i][1] += 1
     if not skip:
         flush()
-    return out
+    if not regions:
+        return [(own, text) for own, text, _ in found]
+    article = any(own for own, _, _ in found)
+    total, held = 0, [0] * (regions + 1)
+    for own, text, of in found:
+        if own or not article:
+            total += len(text)
+            for r in of:
+                held[r] += len(text)
+    return [(own, text) for own, text, of in found if all(2 * held[r] > total for r in of)]
 
 
 def covered(streams: list[list[str]], run: int = RUN, min_pages: int = MIN_PAGES, contents: list | None = None) -> list[np.ndarray]:

@@ -9,7 +9,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from sparkloom.llm import centroids, divergence, queries, shards
+from sparkloom.llm import centroids, divergence, html_extract, queries, shards
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard string, slot string, row string, h string, bucket int, term string"
 
@@ -197,3 +197,28 @@ def test_the_walk_stops_early_and_keeps_ties():
 
 def test_the_queries_are_registered():
     assert {"op11_source_audit", "op12_sort_means", "op13_sharding"} <= set(queries.QUERIES)
+
+
+BODY = "<p>Whole body of the page, with more words than any box beside it has.</p>"
+
+
+@pytest.mark.parametrize("names", ["article-body ad-free", "post social-enabled", "content notice-board", "entry related-topics", "story-widget-2", "body-alert-level", "main-column shared", "comment-free", "navigate", "widget", "promo"])
+def test_names_do_not_take_the_article(spark, names):
+    """Parts of a name say nothing, and a marked element that holds the article stays."""
+    html = f'<article><h1>Title</h1><div class="{names}">{BODY}<div>more</div></div><p>end</p></article><footer>x</footer>'
+    got = html_extract.extract_text(spark.createDataFrame([(1, "http://a.org/1", html)], "page_id long, url string, html string")).first()
+    assert got.text == "Title\nWhole body of the page, with more words than any box beside it has.\nmore\nend"
+
+
+def test_boxes_go_by_whole_names():
+    boxes = ["ad", "cookie-banner", "related-posts", "newsletter-signup", "left x sidebar", "comments", "site-footer", "share-buttons"]
+    html = "<article>" + "".join(f'<p>kept {i} and more words here</p><div class="{b}"><div>gone</div><section><div class="ad">gone</div></section>gone</div>' for i, b in enumerate(boxes)) + "</article>"
+    assert html_extract.main_texts([html_extract.blocks_of(html)]) == ["\n".join(f"kept {i} and more words here" for i in range(len(boxes)))]
+    talk = '<article><p>Short.</p><div id="comments">' + "<p>a long reply of a reader</p>" * 20 + "</div></article>"
+    assert html_extract.main_texts([html_extract.blocks_of(talk)]) == ["Short."]
+    open_ = "<article><p>All of this stays here.</p><div class=ad>gone</article><article><p>second</p></article>"
+    assert html_extract.main_texts([html_extract.blocks_of(open_)]) == ["All of this stays here.\nsecond"]
+
+
+def test_a_zero_width_blank_is_no_blank():
+    assert html_extract.main_texts([html_extract.blocks_of("<article><p>foo&#8203;bar&nbsp; baz</p></article>")]) == ["foo\u200bbar baz"]
