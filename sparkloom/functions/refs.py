@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +31,15 @@ NEW_OF = {"IPC": "BNS", "CRPC": "BNSS", "IEA": "BSA"}
 FIRST_YEAR = 1000
 
 _NAMES = "|".join(name.replace(".", r"\.") for name in sorted(ACTS, key=len, reverse=True))
-_LIST = r"[0-9]+[A-Za-z]{0,2}(?:\s*(?:,|and|&)\s*[0-9]+[A-Za-z]{0,2})*"
+#: White space and digits of every script: patterns set Java's U flag, which lacks the four separators.
+SPACE = r"[\s\x1c-\x1f]"
+_LIST = rf"\d+[A-Za-z]{{0,2}}(?:{SPACE}*(?:,|and|&){SPACE}*\d+[A-Za-z]{{0,2}})*"
 #: Fixed formats: an act, perhaps its year, perhaps the word section, then numbers; or numbers "of" an act.
-ACT_FIRST = rf"(?i)({_NAMES})\b[ ,]*(?:[0-9]{{4}}[ ,]*)?(?:Sections?|ss?\.)?\s*({_LIST})"
-SECTION_FIRST = rf"(?i)Sections?\s*({_LIST})(?:\s*\([0-9a-z]+\))*\s*of\s+(?:the\s+)?({_NAMES})\b"
-SECTION_FIRST_PLAIN = rf"(?i)Sections?\s*({_LIST})\s*of\s+(?:the\s+)?({_NAMES})\b"
-ACT_ALONE = rf"(?i)\b({_NAMES})\b"
-SECTION_ALONE = rf"(?i)\bSections?\s*({_LIST})"
+ACT_FIRST = rf"(?iU)({_NAMES})\b[ ,]*(?:\d{{4}}[ ,]*)?(?:Sections?|ss?\.)?{SPACE}*({_LIST})"
+SECTION_FIRST = rf"(?iU)Sections?{SPACE}*({_LIST})(?:{SPACE}*\([0-9a-z]+\))*{SPACE}*of{SPACE}+(?:the{SPACE}+)?({_NAMES})\b"
+SECTION_FIRST_PLAIN = rf"(?iU)Sections?{SPACE}*({_LIST}){SPACE}*of{SPACE}+(?:the{SPACE}+)?({_NAMES})\b"
+ACT_ALONE = rf"(?iU)\b({_NAMES})\b"
+SECTION_ALONE = rf"(?iU)\bSections?{SPACE}*({_LIST})"
 CHUNK = r"(?i)^(?:schedule_)?(bns|bnss|bsa|ipc|crpc|iea)_([0-9]+[a-z]{0,2})$"
 
 
@@ -44,10 +49,18 @@ def canon(name: Column) -> Column:
     return F.element_at(known, F.upper(name))
 
 
+@cache
+def _digits() -> tuple[str, str]:
+    """Every decimal digit, and the ASCII digits that they stand for."""
+    found = [chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
 def numbers(listed: Column) -> Column:
-    """Section numbers of a list such as '415, 417 and 420A'; years are none."""
-    parts = F.transform(F.split(listed, r"\s*(?:,|and|&)\s*"), lambda x: F.upper(F.trim(x)))
-    return F.filter(parts, lambda x: x.rlike(r"^[0-9]+[A-Z]{0,2}$") & (F.regexp_extract(x, "^([0-9]+)", 1).cast("double") < FIRST_YEAR))
+    """Section numbers of a list such as '415, 417 and 420A', as they are written; years are none."""
+    parts = F.transform(F.split(listed, rf"(?U){SPACE}*(?:,|and|&){SPACE}*"), lambda x: F.upper(F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")))
+    value = lambda x: F.translate(F.regexp_extract(x, r"(?U)^(\d+)", 1), *_digits()).cast("double")
+    return F.filter(parts, lambda x: x.rlike(r"(?U)^\d+[A-Z]{0,2}$") & (value(x) < FIRST_YEAR))
 
 
 def _cited(c: Column, pattern: str, act: int, listed: int) -> Column:

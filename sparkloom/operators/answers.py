@@ -52,17 +52,28 @@ def profiles(mapping: DataFrame, sections: DataFrame, schedule: DataFrame) -> Da
 
 
 def heading_search(questions: DataFrame, sections: DataFrame) -> DataFrame:
-    """qid, headings: sections whose heading holds every word of a question that names no section, five at most. A question
-    meets the headings of its rarest word alone, which are then held against all its words."""
+    """qid, headings: sections whose heading holds every word of a question that names no section, five at most, by their
+    reference.
+
+    Words are ordered by the number of headings that hold them, the rarest first. A question of two words or more meets the
+    headings of its two rarest words together, which are then held against all its words; a heading goes to each pair of its
+    words. Of the headings of a word, and of a pair, only the first five are wanted by a question that has no other words, so
+    these are cut before they meet the questions, however many headings hold the word."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     titles = sections.where("title <> ''").select(F.concat_ws(" ", "act", "section").alias("ref"), "title", words(F.col("title")).alias("has"))
-    index = titles.select("ref", F.explode("has").alias("word"))
+    one = F.transform("has", lambda x: F.struct(x.alias("a"), x.alias("b")))
+    two = F.flatten(F.transform("has", lambda x: F.transform(F.filter("has", lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    index = titles.select("ref", F.inline(F.concat(one, two)))
+    counts = titles.select(F.explode("has").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     asked = questions.select("qid", words(F.col("question")).alias("w")).where(F.size("w") > 0)
-    known = asked.select("qid", F.explode("w").alias("word")).join(index.groupBy("word").agg(F.count("*").alias("n")), "word")
-    rarest = known.groupBy("qid").agg(F.min(F.struct("n", "word")).alias("x"), F.count("*").alias("m"))
-    open_ = asked.join(rarest, "qid").where(F.col("m") == F.size("w")).select("qid", "w", F.col("x.word").alias("word"))
-    met = open_.join(index, "word").join(titles, "ref").where(F.size(F.array_except("w", "has")) == 0)
-    best = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("ref"))).where(F.col("r") <= MOST_TITLES)
+    known = asked.select("qid", F.explode("w").alias("word")).join(counts, "word")
+    rare = known.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2).alias("x"), F.count("*").alias("m"))  # the words of one question
+    x, y = F.col("x")[0]["word"], F.coalesce(F.get("x", 1), F.get("x", 0))["word"]
+    keyed = asked.join(rare, "qid").where(F.col("m") == F.size("w")).select("qid", "w", "m", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = index.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("ref"))).where(F.col("r") <= MOST_TITLES).drop("r")
+    few = keyed.where("m <= 2").join(first, ["a", "b"]).select("qid", "ref")
+    more = keyed.where("m > 2").join(index, ["a", "b"]).join(titles.select("ref", "has"), "ref").where(F.size(F.array_except("w", "has")) == 0).select("qid", "ref")
+    best = few.unionByName(more).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("ref"))).where(F.col("r") <= MOST_TITLES).join(titles.select("ref", "title"), "ref")
     line = F.concat(cite(F.col("ref")), F.lit(" "), "title")
     return best.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "; ").alias("headings"))
 

@@ -9,7 +9,6 @@ import tempfile
 import uuid
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +72,41 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return label
 
 
+def _least_neighbours(arcs: DataFrame, heavy: int) -> DataFrame:
+    """arcs (x, y) with low: the least of x and of its neighbours. Neighbours are reduced before the shuffle; arcs of nodes with
+    more than ``heavy`` of them meet their node's row by broadcast (there are fewer such nodes than arcs / heavy), so no
+    task gathers them."""
+    low = cut(arcs.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("low"), F.count("*").alias("n")))
+    hubs = F.broadcast(low.where(F.col("n") > heavy).select("x", F.col("low").alias("hub_low")))
+    marked = arcs.join(hubs, "x", "left")
+    light = marked.where("hub_low is null").join(low.where(F.col("n") <= heavy).select("x", "low"), "x").select("x", "y", "low")
+    return light.unionByName(marked.where("hub_low is not null").select("x", "y", F.col("hub_low").alias("low")))
+
+
+def star_components(edges: DataFrame, a: str, b: str, heavy: int = 100_000) -> DataFrame:
+    """(node, grp): grp is the least node connected with node, by alternating large-star and small-star rounds: first every
+    node hands its larger neighbours to the least node that it knows, then its smaller ones, until all hang on their least
+    node. Rounds grow with the square of the logarithm of the nodes at most, on chains too; a node's arcs are spread over the
+    tasks, however many it has. Loops name a node, nulls none."""
+    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    state = cut(pairs.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    mark = _mark(state)
+    while True:
+        both = state.unionByName(state.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        large = cut(_least_neighbours(both, heavy).where("y > x").select(F.col("y").alias("x"), F.col("low").alias("y")).distinct())
+        small = _least_neighbours(large, heavy)
+        new = cut(small.where("y <> low").select(F.col("y").alias("x"), F.col("low").alias("y")).unionByName(small.select("x", F.col("low").alias("y"))).distinct())
+        forget(state, large)
+        state, was, mark = new, mark, _mark(new)
+        if mark == was:
+            return nodes.join(state.withColumnRenamed("x", "node"), "node", "left").select("node", F.coalesce("y", "node").alias("grp"))
+
+
+def _mark(arcs: DataFrame) -> tuple:
+    return tuple(arcs.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
+
+
 def hash_split(df: DataFrame, grp: str, seed: str, train: float = 0.85, val: float = 0.10) -> DataFrame:
     """split by the hash of the group: no group lies in two splits, at any size and without a driver step."""
     share = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(grp).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -84,25 +118,30 @@ def leaks(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
 
 
-def greedy_assign(groups: list[tuple[str, dict[str, int]]], shares: dict[str, float]) -> dict[str, str]:
+def greedy_assign(groups: list[tuple[str, dict[str, int]]], shares: dict[str, float], settled: dict[str, dict[str, int]] | None = None) -> dict[str, str]:
     """Stratified assignment of a bounded list of (group, rows by kind), the largest first: each goes to the
-    split that it fills least, by its kinds and by rows; ties go to the first split."""
+    split that it fills least, by its kinds and by rows; ties go to the first split. settled: rows by kind that the splits
+    already hold."""
+    filled = {s: dict((settled or {}).get(s, {})) for s in shares}
     total: dict[str, int] = {}
-    for _, kinds in groups:
+    for kinds in [*(k for _, k in groups), *filled.values()]:
         for k, n in kinds.items():
             total[k] = total.get(k, 0) + n
     rows = sum(total.values()) or 1
-    filled = {s: dict.fromkeys(total, 0) for s in shares}
+    held = {s: sum(filled[s].values()) for s in shares}
     out = {}
     for name, kinds in sorted(groups, key=lambda g: (-sum(g[1].values()), g[0])):
-        def cost(s: str, kinds: dict[str, int] = kinds) -> float:
-            worst = max((filled[s][k] + n) / max(1e-9, total[k] * shares[s]) for k, n in kinds.items())
-            return worst + 0.25 * (sum(filled[s].values()) + sum(kinds.values())) / max(1e-9, rows * shares[s])
+        size = sum(kinds.values())
+
+        def cost(s: str, kinds: dict[str, int] = kinds, size: int = size) -> float:
+            worst = max((filled[s].get(k, 0) + n) / max(1e-9, total[k] * shares[s]) for k, n in kinds.items())
+            return worst + 0.25 * (held[s] + size) / max(1e-9, rows * shares[s])
 
         best = min(shares, key=cost)
         out[name] = best
+        held[best] += size
         for k, n in kinds.items():
-            filled[best][k] += n
+            filled[best][k] = filled[best].get(k, 0) + n
     return out
 
 
@@ -121,25 +160,6 @@ def deal(df: DataFrame, key: str, seed: str, first: float = 0.7, second: float =
     return placed.select(*df.columns, kind.alias("condition"))
 
 
-def assigned(counts: DataFrame, shares: dict[str, float] | None = None, most: int = 5_000_000) -> DataFrame:
-    """grp, split by ``greedy_assign`` from counts (grp, qa_type, n). Each choice rests on all before it, so the counts go
-    through one task; above ``most`` of them that would not do, and ``hash_split`` is the operator to take."""
-    shares = shares or {"train": 0.85, "val": 0.10, "test": 0.05}
-    n = counts.count()
-    if n > most:
-        raise ValueError(f"{n} counts are too many for one task; use hash_split")
-    kind = counts.schema["grp"].dataType.simpleString()
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        groups: dict = {}
-        for g, k, c in zip(part["grp"], part["qa_type"], part["n"], strict=True):
-            groups.setdefault(g, {})[k] = int(c)
-        out = greedy_assign(list(groups.items()), shares)
-        return pd.DataFrame(list(out.items()), columns=["grp", "split"])
-
-    return counts.select("grp", "qa_type", "n", F.lit(0).alias("all")).groupBy("all").applyInPandas(walk, f"grp {kind}, split string")
-
-
 def balance(df: DataFrame, kind: str, split: str = "split") -> DataFrame:
     """kind, train, val, test, val_off, test_off: a split is off where the kind's share is over twice or under half of that in
     train (one percent there at least), or where it lacks a rarer kind that train has."""

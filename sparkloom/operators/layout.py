@@ -17,9 +17,13 @@ WORD = "struct<x0:double,x1:double,size:double,text:string>"
 #: Tolerances and gaps in points, column dividers of the schedule, its columns.
 SAME_LINE, HEADING_GAP, ENTRY_GAP, HEADING_NEAR, DIVIDER_NEAR, DIVIDER_LEAST = 2.2, 11.5, 12.0, 12.0, 35.0, 3.0
 DIVIDERS = [45.0, 88.0, 188.0, 283.0, 364.0, 448.0, 570.0]
+DIVIDERS_2 = [45.0, 320.0, 400.0, 465.0, 570.0]
+COLUMNS_2 = ["offence_description", "cognizable", "bailable", "triable_by"]
+HEADING_WORDS = ["offence", "cognizable", "non-cognizable", "or", "bailable", "non-bailable", "by", "what", "court", "triable"]
 COLUMNS = ["section_ref", "offence_description", "punishment", "cognizable", "bailable", "triable_by"]
 #: Fixed formats: furniture of the schedule and of the acts, references, classes, chapters, schedules, marginal citations.
 SCHEDULE_NOISE = r"(?i)GAZETTE OF INDIA|^_+$|^[0-9]+$|^1 2 3 4 5 6$|^1 2 3 4$|^Sec\. [0-9]+\]|^\[Part"
+FIRST_SCHEDULE, OTHER_LAWS = r"(?i)^THE\s+FIRST\s+SCHEDULE", "(?i)CLASSIFICATION OF OFFENCES AGAINST OTHER LAWS"
 REFERENCE = r"^[0-9]+[A-Z]?\s*(?:\(\s*[0-9]+\s*\))*\s*(?:\(\s*[a-z]+\s*\))*\s*$"
 CLASSES = {"cognizable": r"(?i)\b(Cognizable|Non-cognizable|According)\b", "bailable": r"(?i)\b(Bailable|Non-bailable|According)\b"}
 ACT_NOISE = re.compile(r"^(_+|\d+\s*$|.*THE GAZETTE OF INDIA.*|\[?PART\s+II.*|SEC\.\s*\d.*|MINISTRY OF LAW AND JUSTICE.*|\(Legislative Department\).*)$", re.I)
@@ -177,42 +181,101 @@ def heading_blocks(tops: list[float], texts: list[str]) -> list[dict]:
     return [b for b in out if not CITATION.fullmatch(b["text"].strip())]
 
 
+class ActReader:
+    """Reads the lines of one act in order: holds the lines of one page, the headings left over from the page before and the
+    section that is open, whatever the length of the act."""
+
+    def __init__(self) -> None:
+        self.doc, self.page, self.lines = None, None, []
+        self.pending: list[dict] = []
+        self.chapter, self.ended, self.current, self.n = None, False, None, 0
+
+    def eval(self, row) -> Iterator[tuple]:
+        if self.lines and row["page"] != self.page:
+            yield from self._page()
+        self.doc, self.page = row["doc"], row["page"]
+        self.lines.append((row["top"], row["band"], row["text"] or ""))
+
+    def terminate(self) -> Iterator[tuple]:
+        yield from self._page()
+        yield from self._close()
+
+    def _close(self) -> Iterator[tuple]:
+        if self.current is not None:
+            section, title, chapter, page, texts = self.current
+            yield self.doc, section, title, chapter, page, " ".join(texts)
+        self.current = None
+
+    def _page(self) -> Iterator[tuple]:
+        margin = [(top, t) for top, band, t in self.lines if band == "margin" and top is not None and not ACT_NOISE.match(t) and not CITATION.fullmatch(t.strip())]
+        heads = heading_blocks([a for a, _ in margin], [b for _, b in margin])
+        for top, band, line in self.lines:
+            line = line.strip()
+            if band != "body" or not line or ACT_NOISE.match(line) or self.ended:
+                continue
+            if SCHEDULES.match(line):
+                yield from self._close()
+                self.ended = True
+            elif m := CHAPTER.fullmatch(line):
+                self.chapter = m[1]
+            elif line.startswith(f"{self.n + 1}."):
+                yield from self._close()
+                self.n += 1
+                self.current = str(self.n), self._heading(heads, top).rstrip("."), self.chapter, self.page, [line]
+            elif self.current is not None:
+                self.current[4].append(line)
+        self.pending, self.lines = [h for h in heads if not h["used"]], []
+
+    def _heading(self, heads: list[dict], top: float | None) -> str:
+        near = min((h for h in heads if not h["used"]), key=lambda h: abs(h["top"] - top), default=None) if top is not None else None
+        if near is not None and abs(near["top"] - top) <= HEADING_NEAR:
+            near["used"] = True
+            return near["text"]
+        return self.pending.pop(0)["text"] if self.pending else ""
+
+
 def act_sections(lines: DataFrame) -> DataFrame:
     """doc, section, title, chapter_no, page, text: sections of an act from lines (doc, page, top, band, text; band is body or
     margin). A section begins at a line with the next number; its heading is the nearest one of the margin not yet
     taken, at most twelve points away, else the first one left over from the page before; schedules end the act.
-    Each step rests on all before it, so an act is one group."""
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        found: list[dict] = []
-        pending: list[dict] = []
-        chapter, ended, current = None, False, None
-        for page, rows in part.sort_values(["page", "top"]).groupby("page", sort=True):
-            margin = [(a, b) for a, b, band in zip(rows["top"], rows["text"], rows["band"], strict=True) if band == "margin" and not ACT_NOISE.match(b) and not CITATION.fullmatch(b.strip())]
-            heads = heading_blocks([a for a, _ in margin], [b for _, b in margin])
-            for top, line, band in zip(rows["top"], rows["text"], rows["band"], strict=True):
-                line = line.strip()
-                if band != "body" or not line or ACT_NOISE.match(line) or ended:
-                    continue
-                if SCHEDULES.match(line):
-                    ended, current = True, None
-                elif m := CHAPTER.fullmatch(line):
-                    chapter = m[1]
-                elif line.startswith(f"{len(found) + 1}."):
-                    near = min((h for h in heads if not h["used"]), key=lambda h: abs(h["top"] - top), default=None)
-                    title = ""
-                    if near is not None and abs(near["top"] - top) <= HEADING_NEAR:
-                        near["used"], title = True, near["text"]
-                    elif pending:
-                        title = pending.pop(0)["text"]
-                    current = {"section": str(len(found) + 1), "title": title.rstrip("."), "chapter": chapter, "page": page, "text": line}
-                    found.append(current)
-                elif current is not None:
-                    current["text"] += " " + line
-            pending = [h for h in heads if not h["used"]]
-        doc = part["doc"].iloc[0]
-        return pd.DataFrame([(doc, f["section"], f["title"], f["chapter"], f["page"], f["text"]) for f in found], columns=["doc", "section", "title", "chapter", "page", "text"])
-
+    Each step rests on all before it, so a table function (``ActReader``) reads an act in order, one page at a time."""
     kind = lines.schema["doc"].dataType.simpleString()
-    found = lines.select("doc", "page", "top", "band", "text").groupBy("doc").applyInPandas(walk, f"doc {kind}, section string, title string, chapter string, page int, text string")
+    rows = lines.select("doc", F.col("page").cast("int").alias("page"), F.col("top").cast("double").alias("top"), "band", "text")
+    reader = F.udtf(ActReader, returnType=f"doc {kind}, section string, title string, chapter string, page int, text string")
+    found = reader(rows.asTable().partitionBy("doc").orderBy("page", "top", "band", "text"))
     return found.select("doc", "section", "title", text.roman(F.col("chapter")).alias("chapter_no"), "page", text.clean_text(F.col("text")).alias("text"))
+
+
+def schedule_bounds(lines: DataFrame) -> DataFrame:
+    """doc, first, second: page and top of the first line that opens the schedule, and of the heading of its second part."""
+    at = F.struct("page", "top")
+    line = text.strip(F.col("text"))
+    return lines.groupBy("doc").agg(F.min(F.when(line.rlike(FIRST_SCHEDULE), at)).alias("first"), F.min(F.when(line.rlike(OTHER_LAWS), at)).alias("second"))
+
+
+def schedule_part1(lines: DataFrame) -> DataFrame:
+    """``schedule_rows`` of the first part: lines from the page on which the schedule opens up to the heading of the second
+    part, to the end where there is none. A document without a schedule has no rows."""
+    bounds = schedule_bounds(lines).where("first is not null")
+    inside = (F.col("page") >= F.col("first.page")) & (F.col("second").isNull() | (F.struct("page", "top") < F.col("second")))
+    return schedule_rows(lines.join(bounds, "doc").where(inside).select(*lines.columns))
+
+
+def schedule_part2(lines: DataFrame) -> DataFrame:
+    """doc, entry and four columns of the second part: the lines below its heading on that page. An entry begins with a line that
+    has both classes, or after a gap; the column headings, known by their words, are none."""
+    bounds = schedule_bounds(lines).where("second is not null")
+    below = lines.join(bounds, "doc").where((F.col("page") == F.col("second.page")) & (F.col("top") > F.col("second.top")) & ~text.strip(F.col("text")).rlike(SCHEDULE_NOISE))
+    parts = split_columns(F.col("words"), F.array(*map(F.lit, DIVIDERS_2)), len(COLUMNS_2))
+    rows = below.select("doc", "page", "top", *(c.alias(n) for c, n in zip(parts, COLUMNS_2, strict=True)))
+    said = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *COLUMNS_2)), F.lit("([a-z-]+)"), F.lit(1)))
+    heading = (F.size(said) > 0) & (F.size(F.array_except(said, F.array(*map(F.lit, HEADING_WORDS)))) == 0)
+    rows = rows.where((F.concat(*COLUMNS_2) != "") & ~heading)
+    order = Window.partitionBy("doc").orderBy("top")
+    before = F.lag("top").over(order)
+    opens = before.isNull() | ((F.col("cognizable") != "") & (F.col("bailable") != "")) | (F.col("top") - before > ENTRY_GAP)
+    entry = F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    listed = F.array_sort(F.collect_list(F.struct("top", *COLUMNS_2)))
+    out = rows.withColumn("opens", opens).withColumn("entry", entry).groupBy("doc", "entry").agg(listed.alias("x"))
+    whole = lambda n: text.clean_text(join_wrapped(F.filter(F.transform("x", lambda v: v[n]), lambda v: v != "")))
+    return out.select("doc", "entry", *((F.regexp_replace(whole(n), r"\.+$", "") if n != COLUMNS_2[0] else whole(n)).alias(n) for n in COLUMNS_2))

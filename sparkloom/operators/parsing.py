@@ -19,7 +19,7 @@ CROSS = r"(?i)<span class=\"caps\">(IPC|CRPC|BNS|BNSS|BSA)</span>\s*Section\s*<a
 #: Fixed formats of results, judgments and citations in them.
 RESULT = r"(?s)(<article class=\"result\".*?</article>)"
 RESULT_LINK = r"(?s)href=\"/doc(?:fragment)?/([0-9]+)/?[^\"]*\"[^>]*>(.*?)</a>"
-CITED = r"(?i)[Ss]ections?\s+([0-9]+[A-Z]{0,2})(?:\s*\([^)]{1,8}\))?\s*(?:of\s+(?:the\s+)?)?(IPC|I\.P\.C|Indian Penal Code|CrPC|Cr\.P\.C|Code of Criminal Procedure|Evidence Act|Indian Evidence Act|BNS|BNSS|BSA)"
+CITED = r"(?iU)[Ss]ections?\s+(\d+[A-Z]{0,2})(?:\s*\([^)]{1,8}\))?\s*(?:of\s+(?:the\s+)?)?(IPC|I\.P\.C|Indian Penal Code|CrPC|Cr\.P\.C|Code of Criminal Procedure|Evidence Act|Indian Evidence Act|BNS|BNSS|BSA)"
 #: Fixed formats of table cells, classes and replies.
 NO_OLD = r"(?i)^(new(ly)?( added| provision| sub-?section)?|-+|nil|n/?a|none)\.?$"
 NUMBERED = r"^\s*(?:\*\*)?([0-9]{1,3})(?:\*\*)?\s*[.)\-:]\s*(.*)$"

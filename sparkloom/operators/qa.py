@@ -19,6 +19,7 @@ OLD_OF = {new: old for old, new in NEW_OF.items()}
 
 #: Days and the law that holds on them.
 DAYS = [("2 March 2019", "old"), ("14 August 2021", "old"), ("30 June 2024", "old"), ("1 July 2024", "new"), ("2 July 2024", "new"), ("15 August 2024", "new"), ("9 January 2025", "new"), ("28 February 2023", "old"), ("31 December 2024", "new"), ("1 January 2020", "old"), ("20 November 2025", "new"), ("5 May 2022", "old")]
+COMMENCED = "2024-07-01"
 CODES = [("IPC", "BNS"), ("CrPC", "BNSS"), ("Indian Evidence Act", "BSA")]
 #: General questions on the transition.
 GENERAL = [
@@ -43,6 +44,12 @@ SCOPE = [
     ("Is it okay to bribe an investigating officer to close a case?", "No, and I won't help with that. Bribery of a public servant is an offence, and so is causing disappearance of evidence. I can explain the relevant provisions if that is useful. " + DISCLAIMER),
     ("What are your limitations?", "I answer questions about Indian criminal law using the text of the BNS, BNSS and BSA, their correspondence with the IPC, CrPC and Indian Evidence Act, and summaries of reported decisions. I do not give legal advice, I cannot represent anyone, and my coverage of case law is limited. " + DISCLAIMER),
 ]
+#: The same of any section: question, answer before the disclaimer.
+SCOPE_SECTIONS = [
+    ("How can I avoid being convicted under BNS Section {sec} for {subject}?", "I can't help with avoiding liability for an offence. What I can do is set out what BNS Section {sec} provides and what courts have said about its ingredients, so you understand the provision. "),
+    ("Tell me a loophole in BNS Section {sec} so my friend gets off.", "I won't suggest ways to evade liability. I can explain what BNS Section {sec} ({subject}) provides and which IPC provision it replaced. "),
+    ("What will my sentence be if I am convicted under BNS {sec}?", "I can't predict the sentence in any particular case - that depends on the facts and the court's discretion. I can tell you the punishment the section itself prescribes. "),
+]
 
 
 def say(template: str, **parts: Column) -> Column:
@@ -154,16 +161,26 @@ def removed(mapping: DataFrame) -> DataFrame:
 
 
 def transition(df: DataFrame) -> DataFrame:
-    """Days by codes, and the general questions; df gives the session."""
-    spark = df.sparkSession
-    days = spark.createDataFrame([(i, d, w) for i, (d, w) in enumerate(DAYS)], "i int, day string, law string")
-    codes = spark.createDataFrame([(j, a, b, FULL[b]) for j, (a, b) in enumerate(CODES)], "j int, old string, new string, full string")
-    rows = days.join(F.broadcast(codes))  # twelve by three
+    """The fixed days by codes, and the general questions; df gives the session."""
+    days = df.sparkSession.createDataFrame(DAYS, "day string, law string")
+    return transition_days(days).unionByName(_fixed(df, "transition", "transition_general", GENERAL))
+
+
+def days_of(dates: DataFrame, date: str) -> DataFrame:
+    """day (as it is written), law of every date that occurs."""
+    known = dates.select(F.to_date(date).alias("d")).where("d is not null").distinct()
+    return known.select(F.date_format("d", "d MMMM yyyy").alias("day"), F.when(F.col("d") >= F.lit(COMMENCED).cast("date"), "new").otherwise("old").alias("law"))
+
+
+def transition_days(days: DataFrame) -> DataFrame:
+    """Which code applies on each of the days (day, law)."""
+    codes = F.inline(F.array(*(F.struct(F.lit(a).alias("old"), F.lit(b).alias("new"), F.lit(FULL[b]).alias("full")) for a, b in CODES)))
+    rows = days.select("day", "law", codes)
     part = {"day": F.col("day"), "old": F.col("old"), "new": F.col("new"), "full": F.col("full")}
     answer = F.when(F.col("law") == "new", say("The {new} applies. The {full} came into force on 1 July 2024, so an offence committed on {day} is dealt with under the {new} and not the {old}.", **part)).otherwise(say("The {old} applies. The new codes came into force only on 1 July 2024, so a matter arising on {day} continues under the {old}.", **part))
     asked = ["An offence was committed on {day}. Does the {old} or the {new} apply?", "For an incident on {day}, should a case be registered under the {old} or the {new}?", "Which applies to conduct on {day} - the {old} or the {new}?"]
     group = F.concat_ws("_", F.lit("transition"), F.replace("day", F.lit(" "), F.lit("-")), F.lower("new"))
-    return family(rows, "transition", group, group, [say(q, **part) for q in asked], 2, answer).unionByName(_fixed(df, "transition", "transition_general", GENERAL))
+    return family(rows, "transition", group, group, [say(q, **part) for q in asked], 2, answer)
 
 
 def _fixed(df: DataFrame, kind: str, group: str, rows: list[tuple[str, str]]) -> DataFrame:
@@ -175,6 +192,14 @@ def scope(df: DataFrame) -> DataFrame:
     return _fixed(df, "scope", "scope", SCOPE)
 
 
+def scope_sections(sections: DataFrame) -> DataFrame:
+    """Questions outside the scope on every titled section (section, title) of the BNS, and their refusals."""
+    rows = sections.where(F.length("title") >= 6)
+    part = {"sec": F.col("section"), "subject": lower_first(F.col("title"))}
+    group = F.concat(F.lit("bns_"), F.lower("section"))
+    return reduce(DataFrame.unionByName, (family(rows, "scope", F.concat(F.lit(f"scope{i}:"), group), group, [say(q, **part)], 1, say(a + DISCLAIMER, **part)) for i, (q, a) in enumerate(SCOPE_SECTIONS)))
+
+
 def case_law(cases: DataFrame) -> DataFrame:
     """cases with new_sections; rows of one judgment share a group."""
     doc = F.regexp_extract("source_url", "/doc/([0-9]+)", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import answers, chunks
+from sparkloom.operators import answers, chunks, lexical
 from sparkloom.operators.qa import say
 from sparkloom.plans import code
 from sparkloom.plans.base import Tables, register
@@ -95,18 +95,16 @@ def _chunks(t: Tables) -> DataFrame:
     return both.select("chunk_id", "text")
 
 
+#: Chunks that a search gives a question.
+FOUND = 3
+
+
 def _hits(t: Tables) -> DataFrame:
-    """Two hits a question: the provisions that follow the key of the question in its act."""
-    q = asked(t).where("qid not like 'x%'")
-    k = F.regexp_extract("qid", "([0-9]+)$", 1).cast("long")
-    act = F.when(F.col("qid").startswith("o"), F.lower(F.get(F.array(*map(F.lit, code.OLD)), (k % 3).cast("int")))).otherwise(F.lower(F.regexp_extract("qid", "^n([A-Z]+)", 1)))
-    n = F.when(F.col("qid").startswith("o"), F.floor(k / 3) + 1).otherwise(k + 1)
-    return q.select("qid", F.posexplode(F.array(*(F.concat_ws("_", act, (n + i).cast("string")) for i in (1, 2)))).alias("rank", "chunk_id"))
+    return lexical.search(lexical.index(_chunks(t)), asked(t), FOUND).select("qid", "chunk_id", "rank")
 
 
-_HITS = """hits as (select qid, case when qid like 'o%' then (['ipc', 'crpc', 'iea'])[k % 3 + 1] || '_' || (k // 3 + 1 + i) else lower(regexp_extract(qid, '^n([A-Z]+)', 1)) || '_' || (k + 1 + i) end chunk_id, i - 1 as rank from (select qid, regexp_extract(qid, '([0-9]+)$', 1)::bigint k, unnest([1, 2]) i from asked where qid not like 'x%'))"""
-_CHOSEN = f"""docs as (select chunk_id, text from statute union all select chunk_id, text from sched),
-keyed as (select chunk_id, upper(regexp_replace(regexp_replace(chunk_id, '^schedule_', ''), '_', ' ')) ref from docs where regexp_matches(chunk_id, '(?i)^(schedule_)?(bns|bnss|bsa|ipc|crpc|iea)_\\d+[a-z]{{0,2}}$')),
+_HITS = f"docs as (select chunk_id, text from statute union all select chunk_id, text from sched), {lexical.bm25_sql('docs', 'asked', FOUND)}"
+_CHOSEN = f"""keyed as (select chunk_id, upper(regexp_replace(regexp_replace(chunk_id, '^schedule_', ''), '_', ' ')) ref from docs where regexp_matches(chunk_id, '(?i)^(schedule_)?(bns|bnss|bsa|ipc|crpc|iea)_\\d+[a-z]{{0,2}}$')),
 links2 as (select o ref, n other, rid from lk union all select n, o, rid from lk), oth as (select ref, other, row_number() over (partition by ref order by rid) - 1 j from links2),
 nm as (select qid, unnest(refs) ref, unnest(range(len(refs))) i from rq), parts as (select qid, chunk_id, 1 lv, i, 0 j from nm join keyed using (ref)
 union all select qid, chunk_id, 2, i, j from nm join oth using (ref) join keyed k on k.ref = oth.other union all select qid, chunk_id, 3, rank, 0 from hits where chunk_id in (select chunk_id from docs)),
@@ -114,6 +112,12 @@ one as (select qid, chunk_id, min((lv, i, j)) o from parts group by 1, 2), chose
 _ALL = f"{CODE}, {_PROFILE}, {_STATUTE}, {_SCHEDULE}, {_PARSED}, {_HITS}, {_CHOSEN}"
 
 
+@register(f"with {_ALL} select qid, chunk_id, round(score, 8) as score, rank from hits")
+def lexical_topk(t: Tables) -> DataFrame:
+    """The chunks of the highest BM25 score of every question."""
+    return lexical.search(lexical.index(_chunks(t)), asked(t), FOUND).withColumn("score", F.round("score", 8))
+
+
 @register(f"with {_ALL} select qid, chunk_id, r::int as r from chosen")
 def select_chunks(t: Tables) -> DataFrame:
     return answers.select_chunks(asked(t), _chunks(t), answers.counterparts(code.mapping(t)), _hits(t))

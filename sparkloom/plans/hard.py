@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import opens_with
-from sparkloom.operators import answers, chunks, graph, hard, qa
+from sparkloom.operators import answers, chunks, graph, hard, lexical, qa, retrieval, splits
+from sparkloom.operators.graph import cut
 from sparkloom.operators.ranks import global_rank
 from sparkloom.plans import code
 from sparkloom.plans.answering import _PROFILE
@@ -16,7 +17,7 @@ from sparkloom.plans.base import Tables, register
 from sparkloom.plans.chunks import _CASES, _REFERENCE, _SCHEDULE, _STATUTE, corpus, named_sql
 from sparkloom.plans.code import CODE
 from sparkloom.plans.graphs import _split_sql
-from sparkloom.plans.questions import CLASSIFICATION, DATASET, OLD_TO_NEW, SCOPE, TRANSITION, _q, full_cases, say_sql
+from sparkloom.plans.questions import DATASET, _q, dataset, full_cases, say_sql
 from sparkloom.plans.scoring import query_refs_sql
 
 _FACTS = f"""rel as (select old_act, old_section, new_act, new_section, min(rid) rid from mapping where rid is not null group by all),
@@ -138,20 +139,22 @@ def validate_negation(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-_GROUNDED = f"""base as (select * from {OLD_TO_NEW} union all select * from {TRANSITION} union all select * from {CLASSIFICATION} union all select * from {SCOPE}),
-cdocs as (select chunk_id, source_url from statute union all select chunk_id, source_url from sched_all union all select chunk_id, source_url from case_rows union all select chunk_id, source_url from reference),
-tg as (select seq qid, instruction question, output, qa_type, case when qa_type = 'scope' then null when qa_type = 'transition' then 'transition_commencement' when qa_type = 'offence_classification' and 'schedule_' || source_chunk_id in (select chunk_id from cdocs) then 'schedule_' || source_chunk_id when source_chunk_id in (select chunk_id from cdocs) then source_chunk_id end target from base),
+_GROUNDED = """base as (select family || ':' || seq seq, instruction, output, qa_type, source_chunk_id from qa),
+cdocs as (select chunk_id, source_url, text from statute union all select chunk_id, source_url, text from sched_all union all select chunk_id, source_url, text from case_rows union all select chunk_id, source_url, text from reference),
+by_doc as (select 'case_' || regexp_extract(source_url, '/doc/([0-9]+)', 1) d, chunk_id case_chunk from cdocs where regexp_extract(source_url, '/doc/([0-9]+)', 1) <> ''), cids as (select distinct chunk_id from cdocs),
+tg as (select seq qid, instruction question, output, qa_type, case when qa_type = 'scope' then null when qa_type = 'transition' then 'transition_commencement' when starts_with(source_chunk_id, 'case_') then case_chunk
+  when qa_type = 'offence_classification' and one.chunk_id is not null then one.chunk_id when two.chunk_id is not null then two.chunk_id end target
+  from base left join by_doc on d = source_chunk_id left join cids one on one.chunk_id = 'schedule_' || source_chunk_id left join cids two on two.chunk_id = source_chunk_id),
 rk as (select *, row_number() over (order by md5('deal:' || qid), qid) r, count(*) over () n from tg),
 dl as (select *, case when r <= floor(n * 0.7) and target is null then case when ('0x' || substr(md5('deal:' || qid), 1, 8))::bigint < 0.67 * 4294967296.0 then 'distractor' else 'none' end when r <= floor(n * 0.7) then 'positive' when r <= floor(n * 0.7) + floor(n * 0.2) then 'distractor' else 'none' end condition from rk)"""
-_FULL = f"{CODE}, {_STATUTE}, {_SCHEDULE}, {_CASES}, {_REFERENCE}"
+_FULL = f"{DATASET}, {_STATUTE}, {_SCHEDULE}, {_REFERENCE}"
 
 
 def _grounded(t: Tables) -> DataFrame:
-    m, s = code.mapping(t), code.sections(t)
-    rows = reduce(DataFrame.unionByName, (qa.old_to_new(m), qa.transition(m), qa.offence_classification(code.schedule(t), s.where("act = 'BNS'")), qa.scope(m)))
-    rows = rows.select(F.col("seq").alias("qid"), F.col("instruction").alias("question"), "output", "qa_type", "source_chunk_id")
+    """The questions of all families with the chunk that grounds each answer and the condition that it is dealt."""
+    rows = dataset(t).select(F.concat_ws(":", F.col("family").cast("string"), "seq").alias("qid"), F.col("instruction").alias("question"), "output", "qa_type", "source_chunk_id")
     met = hard.grounding(rows, corpus(t).select("chunk_id", "source_url")).withColumn("h", F.md5(F.concat(F.lit("deal:"), "qid")))
-    ranked = global_rank(met, ["h", "qid"], "r").drop("h")
+    ranked = cut(global_rank(met, ["h", "qid"], "r").drop("h"))
     return hard.dealt(ranked, ranked.count(), "deal")
 
 
@@ -160,7 +163,9 @@ def context_deal(t: Tables) -> DataFrame:
     return _grounded(t).select("qid", F.coalesce("target", F.lit("")).alias("target"), "condition")
 
 
-_CHITS = "chits as (select qid, 'schedule_bns_' || i chunk_id, rank from (select qid, unnest([length(question) % 40 + 1, length(question) % 40 + 2, length(question) % 40 + 3, length(question) % 40 + 4, length(question) % 40 + 5]) i, unnest([0, 1, 2, 3, 4]) rank from dl))"
+#: Chunks that a search gives a question, and the share of the chunks beyond which a word is not searched for.
+FOUND, COMMON = 12, 0.05
+_CHITS = "asked_c as (select qid, question from dl where condition <> 'none'), " + lexical.bm25_sql("cdocs", "asked_c", FOUND, COMMON, "chits")
 _CTX = f"""{_CHITS}, ky as (select chunk_id, upper(regexp_replace(regexp_replace(chunk_id, '^schedule_', ''), '_', ' ')) ref from cdocs where regexp_matches(chunk_id, '(?i)^(schedule_)?(bns|bnss|bsa|ipc|crpc|iea)_\\d+[a-z]{{0,2}}$')),
 lx as (select o ref, n other, rid from lk union all select n, o, rid from lk), ox as (select ref, other, row_number() over (partition by ref order by rid) - 1 j from lx),
 rf as (select *, {query_refs_sql('question')} refs, {query_refs_sql('output')} orefs from dl where condition <> 'none'), nx as (select qid, unnest(refs) ref, unnest(range(len(refs))) i from rf),
@@ -175,13 +180,30 @@ zx as (select qid, condition, target, (case when condition = 'positive' and not
 
 @register(f"with {_FULL}, {_PROFILE}, {_GROUNDED}, {_CTX} select qid, case when condition = 'distractor' and len(ids) = 0 then 'none' else condition end as context_type, array_to_string(ids, ',') as ids, coalesce(list_contains(ids, target), false) as gold_in_context from zx")
 def context_rows(t: Tables) -> DataFrame:
-    rows = _grounded(t)
-    n = F.length("question") % 40
-    hits = rows.select("qid", F.posexplode(F.array(*(F.concat(F.lit("schedule_bns_"), (n + i).cast("string")) for i in range(1, 6)))).alias("rank", "chunk_id"))
-    out = hard.context_rows(rows.select("qid", "question", "output", "target", "condition"), corpus(t).select("chunk_id"), answers.counterparts(code.mapping(t)), hits)
+    """Contexts of all questions, out of what a search finds. Words of over a twentieth of the chunks are not searched for: a
+    question that has only such words has no hits."""
+    rows = cut(_grounded(t).select("qid", "question", "output", "target", "condition"))
+    docs = cut(corpus(t).select("chunk_id", "text"))
+    hits = lexical.search(lexical.index(docs, COMMON), rows.where("condition <> 'none'").select("qid", "question"), FOUND).select("qid", "chunk_id", "rank")
+    out = hard.context_rows(rows, docs.select("chunk_id"), answers.counterparts(code.mapping(t)), hits)
     return out.withColumn("ids", F.array_join("ids", ","))
 
 
+_RECALL_KINDS = ["section_text", "old_to_new", "offence_classification"]
+_RECALL = f"""rq_ as (select qid, question, qa_type kind, target from dl where qa_type in ({', '.join(f"'{k}'" for k in _RECALL_KINDS)}) and target is not null), {lexical.bm25_sql('cdocs', 'rq_', 5, COMMON, 'rhits')},
+pos as (select kind, coalesce(rank + 1, 99) p from rq_ left join rhits on rhits.qid = rq_.qid and chunk_id = target)"""
+
+
+@register(f"with {_FULL}, {_GROUNDED}, {_RECALL} select kind, round(100 * avg((p <= 1)::int), 4) as r1, round(100 * avg((p <= 3)::int), 4) as r3, round(100 * avg((p <= 5)::int), 4) as r5, count(*) as n, 100 * avg((p <= 3)::int) >= 80 as passed from pos group by rollup (kind)")
+def recall_by_kind(t: Tables) -> DataFrame:
+    """How often a search finds the chunk that grounds a question's answer among the first 1, 3 and 5, by kind of question and
+    for all (kind null), and whether the kind would pass the gate of 80 percent among three."""
+    rows = cut(_grounded(t).where(F.col("qa_type").isin(_RECALL_KINDS) & F.col("target").isNotNull()).select("qid", "question", F.col("qa_type").alias("kind"), F.col("target").alias("pid")))
+    hits = lexical.search(lexical.index(corpus(t).select("chunk_id", "text"), COMMON), rows, 5)
+    found = retrieval.recall(hits.select("qid", F.col("chunk_id").alias("pid"), "rank"), rows.select("qid", "pid", "kind"))
+    return found.select("kind", "r1", "r3", "r5", "n", (F.col("r3") >= 80).alias("passed"))
+
+
 @register()
 def greedy_split(t: Tables) -> DataFrame:
     """Groups to splits by the kinds of rows that they hold: sequential, over one row a group and kind, which are as many
@@ -190,4 +212,4 @@ def greedy_split(t: Tables) -> DataFrame:
     rows = reduce(DataFrame.unionByName, (qa.old_to_new(m), qa.new_to_old(m), qa.case_law(full_cases(t)))).select("qa_type", "source_chunk_id")
     found = groups(t)
     counts = rows.join(found.withColumnRenamed("node", "source_chunk_id"), "source_chunk_id", "left").groupBy(F.coalesce("grp", "source_chunk_id").alias("grp"), "qa_type").agg(F.count("*").alias("n"))
-    return graph.assigned(counts)
+    return splits.assigned(counts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import layout
+from sparkloom.operators.graph import cut
 from sparkloom.operators.qa import say
 from sparkloom.plans.base import Tables, register
 
@@ -53,6 +54,37 @@ def schedule_parse(t: Tables) -> DataFrame:
     return layout.schedule_rows(layout.page_lines(_printed(t))).drop("entry")
 
 
+def _whole_schedule(t: Tables) -> DataFrame:
+    """The printed pages behind a page of other matter, with the schedule's title, and a page of its second part after them."""
+    word = lambda page, top, x0, value: F.struct(page.alias("page"), F.lit(float(top)).alias("top"), _word(x0, F.lit(value) if isinstance(value, str) else value).alias("w"))
+    first, last = F.lit(0), (F.floor(F.col("n") / 20) + 3).cast("int")
+    n = F.col("c_nationkey").cast("string")
+    matter = [word(first, 100, 50, "7(1)"), word(first, 100, 95, "of"), word(first, 100, 195, "another"), word(first, 100, 300, "table")]
+    title = [word(F.lit(1), 30, x, v) for x, v in ((100, "THE"), (130, "FIRST"), (160, "SCHEDULE"))]
+    head = [word(last, 40, x, v) for x, v in ((50, "II."), (80, "CLASSIFICATION"), (160, "OF"), (180, "OFFENCES"), (230, "AGAINST"), (270, "OTHER"), (300, "LAWS"))]
+    names = [word(last, 60, x, v) for x, v in ((50, "Offence"), (321, "Cognizable"), (380, "or"), (401, "Bailable"), (440, "or"), (466, "By"), (480, "what"), (500, "court"))]
+    one = [word(last, 90, x, v) for x, v in ((50, "If"), (70, "punishable"), (321, "Cognizable."), (401, "Non-bailable."), (466, "Court"), (500, "of"))] + [word(last, 100, 50, "with"), word(last, 100, 70, F.concat(F.lit("death-"), n)), word(last, 100, 466, "Session.")]
+    two = [word(last, 120, 50, "Other"), word(last, 120, 80, "laws")]
+    counts = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    rows = counts.select(F.col("c_nationkey").alias("doc"), F.explode(F.array(*matter, *title, *head, *names, *one, *two)).alias("x"))
+    return _printed(t).unionByName(rows.select("doc", "x.page", "x.top", "x.w.x0", "x.w.x1", "x.w.size", "x.w.text"))
+
+
+_PARTS = f"""{_I}, docs as (select distinct c_nationkey doc from customer)
+select c_nationkey as doc, last_value(case when c_custkey % 4 = 0 and i % 20 > 0 then null else (c_custkey % 90 + 1) || '(' || (c_custkey % 5 + 1) || ')' end ignore nulls) over (partition by c_nationkey order by i) as section_ref,
+'Offence non-treatment' as offence_description, case when c_custkey % 2 = 0 then 'Cognizable' else 'Non-cognizable' end as cognizable, case when c_custkey % 3 = 0 then 'Bailable' else 'Non-bailable' end as bailable, 'Court of Session' as triable_by, 'I' as part from r
+union all select doc, '', 'If punishable with death-' || doc, 'Cognizable', 'Non-bailable', 'Court of Session', 'II' from docs union all select doc, '', 'Other laws', '', '', '', 'II' from docs"""
+
+
+@register(f"with {_PARTS}")
+def schedule_whole(t: Tables) -> DataFrame:
+    """Both parts of the schedule, found between other matter."""
+    lines = cut(layout.page_lines(_whole_schedule(t)))
+    one = layout.schedule_part1(lines).drop("entry", "punishment").withColumn("part", F.lit("I"))
+    two = layout.schedule_part2(lines).drop("entry").withColumns({"section_ref": F.lit(""), "part": F.lit("II")})
+    return one.unionByName(two)
+
+
 @register("select n_nationkey as k, 'OF ' || n_name || ', AND NON-' || n_regionkey || ' GOVERNMENT' as text from nation")
 def smallcaps(t: Tables) -> DataFrame:
     """Titles whose words have a large first letter."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import concordance
+from sparkloom.operators import concordance, overlap
 from sparkloom.operators.ranks import global_rank
 from sparkloom.plans.base import Tables, register
 
@@ -106,23 +106,8 @@ def source_overlap(t: Tables) -> DataFrame:
 
 @register("select item_id, count(*) as n_docs from benchmark b join documents d on contains(d.text, b.text) group by 1")
 def contamination_check(t: Tables) -> DataFrame:
-    """Items that stand whole in a text. The words of an item but its first and last stand whole in such a text, so runs
-    of up to eight of them are looked up by hash; ids alone meet, and each text is fetched once for each item found and
-    read. Items of one or two words have no such run: these few meet the texts themselves."""
-    w = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    items = t.benchmark.select("item_id", F.col("text").alias("item")).withColumn("w", w(F.col("item"))).withColumn("m", F.least(F.lit(8), F.size("w") - 2))
-    keyed = items.where("m > 0").select("item_id", "m", F.xxhash64(F.slice("w", F.lit(2), F.col("m"))).alias("k"))
-    texts = t.documents.select("doc_id", w(F.col("text")).alias("w"))
-    hits = None
-    for m in [r[0] for r in keyed.select("m").distinct().collect()]:  # at most eight lengths
-        runs = texts.where(F.size("w") >= m).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.slice("w", i, m))))).alias("k"))  # noqa: B023
-        part = runs.join(keyed.where(F.col("m") == m), "k").select("doc_id", "item_id")
-        hits = part if hits is None else hits.unionByName(part)
-    some = t.documents.select("text").join(items.where("m <= 0").select("item_id", "item"), F.contains("text", F.col("item"))).select("item_id")
-    if hits is not None:
-        met = hits.distinct().join(items.select("item_id", "item"), "item_id").join(t.documents.select("doc_id", "text"), "doc_id")
-        some = some.unionByName(met.where(F.contains("text", F.col("item"))).select("item_id"))
-    return some.groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    """In how many documents each benchmark item stands whole."""
+    return overlap.contained(t.benchmark, "item_id", "text", t.documents, "doc_id", "text").groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 @register("select 'both' as side, count(*) as n from (select c_nationkey from customer intersect select s_nationkey from supplier) union all select 'only_customers', count(*) from (select c_nationkey from customer except select s_nationkey from supplier) union all select 'either', count(*) from (select c_nationkey from customer union select s_nationkey from supplier)")

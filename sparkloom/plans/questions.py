@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import chunks, qa
+from sparkloom.operators.graph import cut
 from sparkloom.plans import code
 from sparkloom.plans.base import Tables, register
 from sparkloom.plans.chunks import _CASES, full_cases, named_sql
@@ -100,7 +101,7 @@ _OUT = "select instruction, output, source_chunk_id from"
 
 
 def families(t: Tables) -> list[DataFrame]:
-    s, m = code.sections(t), code.mapping(t)
+    s, m = cut(code.sections(t)), cut(code.mapping(t))  # read by eleven families
     titles = s.where("act = 'BNS'").select("section", "title")
     return [qa.section_text(s), qa.section_lookup(s), qa.punishment(s), qa.old_to_new(m), qa.new_to_old(m), qa.new_provision(m), qa.removed(m), qa.transition(m), qa.case_law(full_cases(t)), qa.offence_classification(code.schedule(t), titles), qa.scope(m)]
 
@@ -122,10 +123,14 @@ _register("qa_section_lookup", f"with {CODE} {_OUT} {SECTION_LOOKUP}", lambda t:
 _register("qa_punishment", f"with {CODE} {_OUT} {PUNISHMENT}", lambda t: qa.punishment(code.sections(t)))
 _register("qa_mapping", f"with {CODE} {_OUT} {OLD_TO_NEW} union all {_OUT} {NEW_TO_OLD}", lambda t: qa.old_to_new(code.mapping(t)).unionByName(qa.new_to_old(code.mapping(t))))
 _register("qa_new_and_removed", f"with {CODE} {_OUT} {NEW_PROVISION} union all {_OUT} {REMOVED}", lambda t: qa.new_provision(code.mapping(t)).unionByName(qa.removed(code.mapping(t))))
-_register("qa_transition", f"{_OUT} {TRANSITION}", lambda t: qa.transition(t.region))
+_DATES = "(select d, strftime(d, '%-d %B %Y') as day, case when d >= date '2024-07-01' then 'new' else 'old' end law, c.* from (select distinct (o_orderdate + interval '28' year)::date d from orders where o_orderdate is not null) cross join (values " + ", ".join(f"({_q(a)}, {_q(b)}, {_q(chunks.FULL[b])})" for a, b in qa.CODES) + ') c(old, new, "full"))'
+TRANSITION_DAYS = family_sql(_DATES, "transition", _DAY_KEY, _DAY_KEY, ["An offence was committed on {day}. Does the {old} or the {new} apply?", "For an incident on {day}, should a case be registered under the {old} or the {new}?", "Which applies to conduct on {day} - the {old} or the {new}?"], 2, _DAY_ANSWER, **_DAY)
+_register("qa_transition", f"{_OUT} {TRANSITION_DAYS}", lambda t: qa.transition_days(qa.days_of(t.orders.select((F.col("o_orderdate") + F.expr("interval 28 years")).alias("d")), "d")))
 _register("qa_case_law", f"with {CODE}, {_CASES} {_OUT} {CASE_LAW}", lambda t: qa.case_law(full_cases(t)))
 _register("qa_classification", f"with {CODE} {_OUT} {CLASSIFICATION}", lambda t: qa.offence_classification(code.schedule(t), code.sections(t).where("act = 'BNS'")))
-_register("qa_scope", f"{_OUT} {SCOPE}", lambda t: qa.scope(t.region))
+_SCOPED = {"sec": "section", "subject": _SUBJECT}
+SCOPE_SECTIONS = " union all ".join(f"{_OUT} " + family_sql("new_s", "scope", f"'scope{i}:bns_' || lower(section)", "'bns_' || lower(section)", [q], 1, say_sql(a + qa.DISCLAIMER, **_SCOPED), "act = 'BNS' and length(title) >= 6", **_SCOPED) for i, (q, a) in enumerate(qa.SCOPE_SECTIONS))
+_register("qa_scope", f"with {CODE} {SCOPE_SECTIONS}", lambda t: qa.scope_sections(code.sections(t).where("act = 'BNS'")))
 _register("qa_dataset", f"with {DATASET} {_OUT} qa", dataset)
 
 

@@ -32,7 +32,7 @@ _VERDICT = "case when len(w.want) > 0 and list_has_all(coalesce(g.got, []), w.wa
 
 
 @register(
-    f"""with {CODE}, {_PROFILE}, {_STATUTE}, {_SCHEDULE}, {_PARSED}, {_HITS}, docs as (select chunk_id from statute union all select chunk_id from sched),
+    f"""with {CODE}, {_PROFILE}, {_STATUTE}, {_SCHEDULE}, {_PARSED}, {_HITS},
 keyed as (select chunk_id, upper(regexp_replace(regexp_replace(chunk_id, '^schedule_', ''), '_', ' ')) ref from docs where regexp_matches(chunk_id, '(?i)^(schedule_)?(bns|bnss|bsa|ipc|crpc|iea)_\\d+[a-z]{{0,2}}$')), {_WANT},
 links2 as (select o ref, n other, rid from lk union all select n, o, rid from lk), oth as (select ref, other, row_number() over (partition by ref order by rid) - 1 j from links2), nm as (select qid, unnest(refs) ref, unnest(range(len(refs))) i from rq),
 parts as (select qid, chunk_id, 1 lv, i, 0 j from nm join keyed using (ref) union all select qid, k.chunk_id, 2, i, j from nm join oth using (ref) join keyed k on k.ref = oth.other union all select qid, chunk_id, 3, rank, 0 from hits where chunk_id in (select chunk_id from docs)),
@@ -200,7 +200,7 @@ def answer_probes(t: Tables) -> DataFrame:
     return metrics.probed(answering.engine_answers(t), probes, "qid", "answer").select("qid", "passed")
 
 
-@register(f"with {CODE}, {_SCORED}, s as (select coalesce(kind, 'all') k, count(*) n, round(100 * avg(f1), 3) f1 from scored group by rollup (kind)) select '{{' || string_agg('\"' || k || '\":{{\"n\":' || n || ',\"f1\":' || f1 || '}}', ',' order by k) || '}}' as document from s")
+@register(f"with {DATASET}, {_SCORED}, s as (select coalesce(kind, 'all') k, count(*) n, round(100 * avg(f1), 3) f1 from scored group by rollup (kind)) select '{{' || string_agg('\"' || k || '\":{{\"n\":' || n || ',\"f1\":' || f1 || '}}', ',' order by k) || '}}' as document from s")
 def results_document(t: Tables) -> DataFrame:
     """The summary of scores as one document, by kind."""
     scored = metrics.summarise(metrics.score(scoring._systems(t)), ["kind"])

@@ -12,22 +12,23 @@ from sparkloom.operators import metrics, qa
 from sparkloom.plans import code
 from sparkloom.plans.base import Tables, register
 from sparkloom.plans.code import CODE
-from sparkloom.plans.questions import NEW_TO_OLD, OLD_TO_NEW, SCOPE, say_sql
+from sparkloom.plans.questions import DATASET, dataset, say_sql
 from sparkloom.plans.texts import _METRIC
 
 _ALIASES = "bharatiya nagarik suraksha sanhita|code of criminal procedure|bharatiya sakshya adhiniyam|bharatiya nyaya sanhita|indian evidence act|indian penal code|evidence act|cr\\.p\\.c|bnss|crpc|bns|bsa|ipc|iea"
-_NUMS = r"\d+[A-Za-z]{0,2}(?:\s*(?:,|and|&)\s*\d+[A-Za-z]{0,2})*"
+_S, _D = r"[\s\x1c-\x1f\x{85}\p{Z}]", r"\p{Nd}"
+_NUMS = rf"{_D}+[A-Za-z]{{0,2}}(?:{_S}*(?:,|and|&){_S}*{_D}+[A-Za-z]{{0,2}})*"
 _CANON = """case lower({x}) when 'bharatiya nyaya sanhita' then 'BNS' when 'bharatiya nagarik suraksha sanhita' then 'BNSS' when 'bharatiya sakshya adhiniyam' then 'BSA' when 'indian penal code' then 'IPC' when 'code of criminal procedure' then 'CRPC' when 'cr.p.c' then 'CRPC' when 'indian evidence act' then 'IEA' when 'evidence act' then 'IEA' else upper({x}) end"""
-_PARTS = r"list_filter(list_transform(regexp_split_to_array({x}, '\s*(?:,|and|&)\s*'), lambda v: upper(trim(v))), lambda v: regexp_full_match(v, '\d+[A-Z]{{0,2}}') and regexp_extract(v, '^\d+')::double < 1000)"
+_PARTS = "list_filter(list_transform(regexp_split_to_array({{x}}, '{s}*(?:,|and|&){s}*'), lambda v: upper(regexp_replace(v, '^{s}+|{s}+$', '', 'g'))), lambda v: regexp_full_match(v, '{d}+[A-Z]{{{{0,2}}}}') and translate(regexp_extract(v, '^{d}+'), '०१२३४५६७८९', '0123456789')::double < 1000)".format(s=_S.replace("{", "{{").replace("}", "}}"), d=_D.replace("{", "{{").replace("}", "}}"))
 
 
 def _pairs_sql(t: str, pattern: str, act: int, nums: int) -> str:
     return f"flatten(list_transform(list_zip(regexp_extract_all({t}, '{pattern}', {act}), regexp_extract_all({t}, '{pattern}', {nums})), lambda z: list_transform({_PARTS.format(x='z[2]')}, lambda n: {_CANON.format(x='z[1]')} || ' ' || n)))"
 
 
-_FIRST = rf"(?i)({_ALIASES})\b[ ,]*(?:\d{{4}}[ ,]*)?(?:Sections?|ss?\.)?\s*({_NUMS})"
-_LAST = rf"(?i)Sections?\s*({_NUMS})(?:\s*\([0-9a-z]+\))*\s*(?:of\s+(?:the\s+)?)({_ALIASES})\b"
-_LAST_PLAIN = rf"(?i)Sections?\s*({_NUMS})\s*(?:of\s+(?:the\s+)?)({_ALIASES})\b"
+_FIRST = rf"(?i)({_ALIASES})\b[ ,]*(?:{_D}{{4}}[ ,]*)?(?:Sections?|ss?\.)?{_S}*({_NUMS})"
+_LAST = rf"(?i)Sections?{_S}*({_NUMS})(?:{_S}*\([0-9a-z]+\))*{_S}*(?:of{_S}+(?:the{_S}+)?)({_ALIASES})\b"
+_LAST_PLAIN = rf"(?i)Sections?{_S}*({_NUMS}){_S}*(?:of{_S}+(?:the{_S}+)?)({_ALIASES})\b"
 
 
 def refs_sql(t: str) -> str:
@@ -37,7 +38,7 @@ def refs_sql(t: str) -> str:
 def query_refs_sql(t: str) -> str:
     strict = f"list_sort(list_distinct(list_concat({_pairs_sql(t, _FIRST, 1, 2)}, {_pairs_sql(t, _LAST_PLAIN, 2, 1)})))"
     acts = rf"list_distinct(list_transform(regexp_extract_all({t}, '(?i)\b({_ALIASES})\b', 1), lambda y: {_CANON.format(x='y')}))"
-    bare = rf"flatten(list_transform(regexp_extract_all({t}, '(?i)\bSections?\s*({_NUMS})', 1), lambda w: {_PARTS.format(x='w')}))"
+    bare = rf"flatten(list_transform(regexp_extract_all({t}, '(?i)\bSections?{_S}*({_NUMS})', 1), lambda w: {_PARTS.format(x='w')}))"
     return f"case when len({strict}) = 0 and len({acts}) = 1 then list_sort(list_distinct(list_transform({bare}, lambda n: {acts}[1] || ' ' || n))) else {strict} end"
 
 
@@ -52,6 +53,8 @@ CITING = [
     "IPC Sections {a}, {b} and {a}A & {b}b; The Bharatiya Nyaya Sanhita, 2023 replaced it.",
     "Under the Indian Penal Code, 1860, what is provided by Section {a}?",
     "sections {a}, {b} and {a}a IPC. The code of criminal procedure, section {b}, IEA 12 AND 13",
+    "Section\u00a0{a}\u00a0of\u2009the\u00a0BNS, IPC\u2003{b}\u3000and\u2028{a}A; BSA\u00a0Section\u202f{b}",
+    "IPC \u0969\u0966\u0968, section {a}\u00a0of the IPC and BNS \u0968\u0966\u0968\u0969",
 ]
 
 
@@ -97,7 +100,7 @@ def damaged_rows(t: Tables) -> DataFrame:
     return make(DAMAGED, "clean", text.clean_text).unionByName(make(MARKUP, "strip", text.strip_html))
 
 
-_SAID = """said as (select qa_type kind, instruction q, output gold, (length(instruction) + length(output)) % 5 m from {f})""".format(f="(select * from " + OLD_TO_NEW + " union all select * from " + NEW_TO_OLD + " union all select * from " + SCOPE + ")")
+_SAID = "said as (select qa_type kind, instruction q, output gold, (length(instruction) + length(output)) % 5 m from qa)"
 _SYSTEMS = f"""{_SAID}, sys as (select *, case m when 0 then 'I do not know.' when 1 then replace(gold, 'Section 1', 'Section 2') when 2 then gold || ' See also IPC 302.' when 3 then '' else gold end pred, case when m = 1 then 'IPC 1' when m = 2 then gold when m = 3 then upper(gold) else split_part(gold, '. ', 1) end pred2 from said)"""
 _SCORED = f"""{_SYSTEMS}, w as (select *, {_METRIC.format(c='pred')} p, {_METRIC.format(c='gold')} g, {refs_sql('pred')} pr, {refs_sql('gold')} gr from sys),
 c as (select *, list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))) both_words, len(list_intersect(pr, gr)) hits from w),
@@ -106,8 +109,8 @@ case when len(pr) > 0 then hits / len(pr) when len(gr) = 0 then 1.0 else 0.0 end
 
 
 def _systems(t: Tables) -> DataFrame:
-    m = code.mapping(t)
-    rows = reduce(DataFrame.unionByName, (qa.old_to_new(m), qa.new_to_old(m), qa.scope(m))).select(F.col("qa_type").alias("kind"), F.col("instruction").alias("q"), F.col("output").alias("gold"))
+    """Answers of two systems to every question of all families."""
+    rows = dataset(t).select(F.col("qa_type").alias("kind"), F.col("instruction").alias("q"), F.col("output").alias("gold"))
     gold, k = F.col("gold"), (F.length("q") + F.length("gold")) % 5
     pred = F.when(k == 0, "I do not know.").when(k == 1, F.replace(gold, F.lit("Section 1"), F.lit("Section 2"))).when(k == 2, F.concat(gold, F.lit(" See also IPC 302."))).when(k == 3, "").otherwise(gold)
     other = F.when(k == 1, "IPC 1").when(k == 2, gold).when(k == 3, F.upper(gold)).otherwise(F.split_part(gold, F.lit(". "), F.lit(1)))
@@ -117,7 +120,7 @@ def _systems(t: Tables) -> DataFrame:
 _ROUND = ["em", "f1", "cite_p", "cite_r", "cite_all", "cite_exact"]
 
 
-@register(f"with {CODE}, {_SCORED} select kind, q, {', '.join(f'round({c}, 9) as {c}' for c in _ROUND)}, has_refs from scored")
+@register(f"with {DATASET}, {_SCORED} select kind, q, {', '.join(f'round({c}, 9) as {c}' for c in _ROUND)}, has_refs from scored")
 def citation_metrics(t: Tables) -> DataFrame:
     return metrics.score(_systems(t)).select("kind", "q", *(F.round(c, 9).alias(c) for c in _ROUND), "has_refs")
 
@@ -126,7 +129,7 @@ _AVG = "round(100 * avg({c}) filter (where has_refs), 6)"
 _P, _R = (f"(100 * avg({c}) filter (where has_refs))" for c in ("cite_p", "cite_r"))
 
 
-@register(f"with {CODE}, {_SCORED} select kind, count(*) as n, round(100 * avg(em), 6) as exact_match, round(100 * avg(f1), 6) as f1, round(case when {_P} + {_R} > 0 then 2 * {_P} * {_R} / ({_P} + {_R}) when {_P} + {_R} = 0 then 0.0 end, 6) as citation_f1, {_AVG.format(c='cite_all')} as all_citations_present, {_AVG.format(c='cite_exact')} as citation_exact, count_if(has_refs) as n_with_citations from scored group by rollup (kind)")
+@register(f"with {DATASET}, {_SCORED} select kind, count(*) as n, round(100 * avg(em), 6) as exact_match, round(100 * avg(f1), 6) as f1, round(case when {_P} + {_R} > 0 then 2 * {_P} * {_R} / ({_P} + {_R}) when {_P} + {_R} = 0 then 0.0 end, 6) as citation_f1, {_AVG.format(c='cite_all')} as all_citations_present, {_AVG.format(c='cite_exact')} as citation_exact, count_if(has_refs) as n_with_citations from scored group by rollup (kind)")
 def metric_summary(t: Tables) -> DataFrame:
     out = metrics.summarise(metrics.score(_systems(t)), ["kind"])
     return out.select("kind", "n", *(F.round(c, 6).alias(c) for c in ("exact_match", "f1", "citation_f1", "all_citations_present", "citation_exact")), "n_with_citations")
@@ -135,28 +138,33 @@ def metric_summary(t: Tables) -> DataFrame:
 _VERDICT = f"""v as (select kind, len(list_intersect({refs_sql('gold')}, {refs_sql('pred')})) = len({refs_sql('gold')}) a, len(list_intersect({refs_sql('gold')}, {refs_sql('pred2')})) = len({refs_sql('gold')}) b from sys where len({refs_sql('gold')}) > 0)"""
 
 
-@register(f"with {CODE}, {_SYSTEMS}, {_VERDICT} select kind, count(*) as n, count_if(a and b) as both, count_if(a and not b) as first_only, count_if(b and not a) as second_only, count_if(not a and not b) as neither, count_if(a or b) as at_least_one, count_if(a <> b) as disagree from v group by rollup (kind)")
+@register(f"with {DATASET}, {_SYSTEMS}, {_VERDICT} select kind, count(*) as n, count_if(a and b) as both, count_if(a and not b) as first_only, count_if(b and not a) as second_only, count_if(not a and not b) as neither, count_if(a or b) as at_least_one, count_if(a <> b) as disagree from v group by rollup (kind)")
 def verdict_by_kind(t: Tables) -> DataFrame:
     return metrics.agreement(metrics.verdicts(_systems(t), "gold", "pred", "pred2"), "kind")
 
 
-_CONDITIONS = "cond as (select kind, case m % 3 when 0 then 'none' when 1 then 'retrieved' else 'gold' end condition, f1 from scored)"
+_GAINED = f"""cond as (select kind, unnest(['none', 'retrieved', 'gold']) condition, unnest(['I do not know.', pred, pred2]) pred, gold from sys), cw as (select kind, condition, {_METRIC.format(c='pred')} p, {_METRIC.format(c='gold')} g from cond),
+cb as (select *, list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))) both_words from cw),
+cf as (select kind, condition, case when len(p) = 0 or len(g) = 0 then (len(p) = len(g))::int::double else 2.0 * coalesce(both_words, 0) / (len(p) + len(g)) end f1 from cb),
+x as (select kind, 100 * avg(f1) filter (where condition = 'none') as none, 100 * avg(f1) filter (where condition = 'retrieved') as retrieved, 100 * avg(f1) filter (where condition = 'gold') as gold from cf group by 1)"""
 
 
-@register(f"with {CODE}, {_SCORED}, {_CONDITIONS}, x as (select kind, 100 * avg(f1) filter (where condition = 'none') as none, 100 * avg(f1) filter (where condition = 'retrieved') as retrieved, 100 * avg(f1) filter (where condition = 'gold') as gold from cond group by 1) select kind, round(none, 6) as none, round(retrieved, 6) as retrieved, round(gold, 6) as gold, round(retrieved - none, 6) as gain, round(gold - retrieved, 6) as ceiling from x")
+@register(f"with {DATASET}, {_SYSTEMS}, {_GAINED} select kind, round(none, 6) as none, round(retrieved, 6) as retrieved, round(gold, 6) as gold, round(retrieved - none, 6) as gain, round(gold - retrieved, 6) as ceiling from x")
 def gain_and_ceiling(t: Tables) -> DataFrame:
-    scored = metrics.score(_systems(t)).withColumn("condition", F.when(F.col("m") % 3 == 0, "none").when(F.col("m") % 3 == 1, "retrieved").otherwise("gold"))
-    out = metrics.gains(scored.select("kind", "condition", "f1"), "kind", value="f1")
+    """Every question under all three conditions: what retrieval gains, and what it could gain at most."""
+    said = F.inline(F.array(*(F.struct(F.lit(c).alias("condition"), p.alias("pred")) for c, p in (("none", F.lit("I do not know.")), ("retrieved", F.col("pred")), ("gold", F.col("pred2"))))))
+    answered = _systems(t).select("kind", "q", "gold", F.col("pred"), F.col("pred2")).select("kind", "q", "gold", said)
+    out = metrics.gains(metrics.score(answered).select("kind", "condition", "f1"), "kind", value="f1")
     return out.select("kind", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-@register(f"with {CODE}, {_SCORED} select kind, q, round(f1, 9) as f1 from scored order by f1, q limit 5")
+@register(f"with {DATASET}, {_SCORED} select kind, q, round(f1, 9) as f1 from scored order by f1, q limit 5")
 def worst_rows(t: Tables) -> DataFrame:
     scored = metrics.score(_systems(t)).select("kind", "q", F.round("f1", 9).alias("f1"))
     return metrics.worst(scored, "f1", "q")
 
 
-@register(f"with {CODE}, {_SAID} select kind, count(*) as n, max(length(q)) as longest_source, count_if(length(q) > 60) as sources_over, max(length(gold)) as longest_target, count_if(length(gold) > 320) as targets_over from said group by 1")
+@register(f"with {DATASET}, {_SAID} select kind, count(*) as n, max(length(q)) as longest_source, count_if(length(q) > 60) as sources_over, max(length(gold)) as longest_target, count_if(length(gold) > 320) as targets_over from said group by 1")
 def length_report(t: Tables) -> DataFrame:
     """Rows over a limit on either side."""
     q, g = F.length("q"), F.length("gold")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import layout
+from sparkloom.operators import layout, nearest
 from sparkloom.plans.base import Tables, register
 from sparkloom.streaming import questions
 
@@ -90,3 +90,37 @@ def stream_windowed_counts(t: Tables) -> DataFrame:
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(t._folder + "/events.parquet*")
     return questions.run_once(t.spark, questions.windowed_counts(stream), ["start", "event_type"])
+
+
+_NEAR = """l as (select event_id l, user_id u, epoch_us(ts) p from events where event_type = 'purchase'), r as (select event_id r, user_id u, epoch_us(ts) p from events where event_type = 'view'),
+pairs as (select u, l, r, abs(l.p - r.p) d from l join r using (u) where abs(l.p - r.p) <= 10800000000)"""
+
+
+def _sides(t: Tables) -> list[DataFrame]:
+    rows = t.events.select("event_id", F.col("user_id").alias("u"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    return [rows.where(F.col("event_type") == kind).select("u", "at", F.col("event_id").alias(name)) for kind, name in (("purchase", "event_id"), ("view", "view_id"))]
+
+
+_BOUND = 10_800_000_000
+
+
+def _seconds(found: DataFrame) -> DataFrame:
+    return found.select("event_id", "view_id", F.round(F.col("distance") / 1_000_000, 3).alias("seconds"))
+
+
+@register(f"with {_NEAR} select l.l as event_id, b.r as view_id, round(b.d / 1000000.0, 3) as seconds from l left join (select l, arg_min(r, (d, r)) r, min(d) d from pairs group by 1) b using (l)")
+def nearest_within(t: Tables) -> DataFrame:
+    """The view nearest to each purchase of a user, before or after it, three hours away at most."""
+    return _seconds(nearest.within(*_sides(t), ["u"], "at", "event_id", "view_id", _BOUND))
+
+
+@register(
+    f"""with recursive {_NEAR}, n as (select *, row_number() over (partition by u order by d, l, r) i from pairs),
+s as (select distinct u, 0::bigint i, []::bigint[] ls, []::bigint[] rs, null::bigint l, null::bigint r, null::bigint d from pairs
+  union all select s.u, n.i, case when list_contains(ls, n.l) or list_contains(rs, n.r) then ls else list_append(ls, n.l) end, case when list_contains(ls, n.l) or list_contains(rs, n.r) then rs else list_append(rs, n.r) end,
+  case when not (list_contains(ls, n.l) or list_contains(rs, n.r)) then n.l end, n.r, n.d from s join n on n.u = s.u and n.i = s.i + 1)
+select l as event_id, r as view_id, round(d / 1000000.0, 3) as seconds from s where l is not null"""
+)
+def nearest_once(t: Tables) -> DataFrame:
+    """The same with every view used once, the closest pairs first."""
+    return _seconds(nearest.once(*_sides(t), ["u"], "at", "event_id", "view_id", _BOUND))

@@ -8,7 +8,7 @@ from functools import reduce
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ranks import global_rank
@@ -37,10 +37,33 @@ def not_yet_loaded(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known, ["path", "sha256"], "left_anti")
 
 
+def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """host, prefix, allow of the groups of robots files (host, body) that name the agent; an empty path is no rule. A group is
+    a run of agent lines and the rules up to the next one."""
+    line = F.regexp_replace(F.split("body", r"\r\n|\r|\n")[F.col("i")], r"#.*$", "")
+    lines = robots.withColumn("i", F.explode(F.sequence(F.lit(0), F.size(F.split("body", r"\r\n|\r|\n")) - 1))).select("host", "i", line.alias("line"))
+    field, value = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1))
+    known = lines.select("host", "i", field.alias("field"), value.alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("host").orderBy("i")
+    opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(order), F.lit("")) != "user-agent")
+    grouped = known.withColumn("g", F.sum(opens.cast("int")).over(order))
+    named = F.max((F.col("field") == "user-agent") & (F.lower("value") == agent.lower())).over(Window.partitionBy("host", "g"))
+    return grouped.withColumn("named", named).where("named and g > 0 and field <> 'user-agent' and value <> ''").select("host", F.regexp_replace("value", r"\*$", "").alias("prefix"), (F.col("field") == "allow").alias("allow")).distinct()
+
+
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url) without those that a rule (host, prefix) forbids."""
-    host, path = F.expr("try_parse_url(url, 'HOST')"), F.coalesce(F.expr("try_parse_url(url, 'PATH')"), F.lit("/"))
-    return urls.join(rules, (host == F.col("host")) & F.startswith(path, F.col("prefix")), "left_anti")
+    """urls (url) without those that their host's rules (host, prefix and, if there are any that allow, allow) forbid: the longest
+    prefix of the path decides, of equal ones the one that allows. A host without rules allows everything, and so does a
+    text that is no URL. A URL meets only rules of its host whose length some rule has, by equality of the prefix."""
+    rules = rules if "allow" in rules.columns else rules.withColumn("allow", F.lit(False))
+    best = rules.where("prefix <> ''").groupBy("host", "prefix").agg(F.max("allow").alias("allow"))
+    lengths = best.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    path, query = (F.expr(f"try_parse_url(url, '{part}')") for part in ("PATH", "QUERY"))
+    whole = F.concat(F.when(F.coalesce(path, F.lit("")) == "", "/").otherwise(path), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
+    asked = urls.select("url").distinct().select("url", F.expr("try_parse_url(url, 'HOST')").alias("host"), whole.alias("path")).join(lengths, "host")
+    tried = asked.select("url", "host", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"), "path").select("url", "host", F.substring(F.col("path"), F.lit(1), F.col("n")).alias("prefix"))
+    verdict = tried.join(best, ["host", "prefix"]).groupBy("url").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("allow"))
+    return urls.join(verdict.where("not allow").select("url"), "url", "left_anti")
 
 
 def write_jsonl(df: DataFrame, path: str, **options: str) -> None:
@@ -71,8 +94,14 @@ def prompts(df: DataFrame, number: str, text: str, n: int, batches: int, head: s
 
 
 def write_prompts(df: DataFrame, path: str) -> None:
-    """One text file line a prompt batch."""
-    df.select(F.regexp_replace("prompt", "\n", "\\\\n").alias("value")).write.text(path)
+    """A text file for each batch (batch, prompt): path/batch=0 and so on."""
+    df.select("batch", F.col("prompt").alias("value")).repartition("batch").write.partitionBy("batch").option("lineSep", "\u0000").text(path)
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """batch, prompt of the files of ``write_prompts``."""
+    files = spark.read.schema("value string, batch long").text(path, wholetext=True)
+    return files.select("batch", F.regexp_replace("value", "\u0000$", "").alias("prompt"))
 
 
 def to_fetch(urls: DataFrame, landed: DataFrame, force: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import answers, concordance, gate, graph, hard, layout, metrics, parsing, qa, ranks, retrieval
+from sparkloom.operators import answers, concordance, gate, graph, hard, layout, metrics, parsing, qa, ranks, retrieval, splits
 from sparkloom.sources import files
 from sparkloom.streaming import questions
 
@@ -35,9 +35,7 @@ def test_greedy_split(spark):
     groups = {f"g{i}": {k: int(n) for k, n in zip("abc", rng.integers(0, 6, 3), strict=True) if n} or {"a": 1} for i in range(200)}
     shares = {"train": 0.85, "val": 0.10, "test": 0.05}
     counts = spark.createDataFrame([(g, k, n) for g, kinds in groups.items() for k, n in kinds.items()], "grp string, qa_type string, n long")
-    assert {r.grp: r.split for r in graph.assigned(counts).collect()} == walk(groups, shares)
-    with pytest.raises(ValueError, match="too many"):
-        graph.assigned(counts, most=3)
+    assert {r.grp: r.split for r in splits.assigned(counts).collect()} == walk(groups, shares)
 
 
 def test_global_rank_and_samples(spark):
@@ -211,7 +209,8 @@ def test_sinks_and_manifests(spark, tmp_path):
     batches = files.prompts(spark.createDataFrame([(i, f"q{i}") for i in range(1, 6)], "i long, t string"), "i", "t", 5, 2, "Head")
     assert {r.batch: r.prompt for r in batches.collect()} == {0: "Head\n1. q1\n2. q2\n3. q3", 1: "Head\n4. q4\n5. q5"}
     files.write_prompts(batches, str(tmp_path / "t"))
-    assert spark.read.text(str(tmp_path / "t")).count() == 2
+    assert {r.batch: r.prompt for r in files.read_prompts(spark, str(tmp_path / "t")).collect()} == {0: "Head\n1. q1\n2. q2\n3. q3", 1: "Head\n4. q4\n5. q5"}
+    assert len(list((tmp_path / "t").glob("batch=*/*.txt"))) == 2
     assert files.empty_if_missing(spark, lambda: spark.read.json(str(tmp_path / "none")), "a int").count() == 0
     parts = [spark.createDataFrame([("p", "u1", day, 1, "x")], "path string, url string, retrieved string, bytes long, sha256 string") for day in ("2024-01-01", "2024-02-01")]
     assert files.merged_manifest(*parts).first().retrieved == "2024-02-01"
