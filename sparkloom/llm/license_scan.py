@@ -85,6 +85,30 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+#: Lengths of a notice that are searched for its best match at a time.
+TOGETHER = 8
+
+
+def best_matches(pattern: regex.Pattern, text: str, low: int, high: int, reach: int) -> Iterator[regex.Match]:
+    """Matches, none longer than reach, between low and high: the best of a stretch comes first, others may stand before and
+    after it. Matches that come near the end of a stretch are left to the next one, which begins before them."""
+    while low < high:
+        end = min(high, low + TOGETHER * reach)
+        rest, found = [(low, end)], []
+        while rest:
+            a, b = rest.pop()
+            if m := pattern.search(text, a, b):
+                found.append(m)
+                rest += [(a, m.start()), (m.end(), b)]
+        if end == high:
+            yield from found
+            return
+        found = [m for m in found if m.end() <= end - reach]
+        yield from found
+        low = max((m.end() for m in found), default=low)
+        low = max(low, end - 2 * reach)
+
+
 class Scanner:
     """Finds phrases and notices in one text."""
 
@@ -139,19 +163,18 @@ class Scanner:
         for k, areas in spans.items():
             label, notice, _, pattern = self.notices[k]
             for low, high in areas:
-                rest = [(low, high)]
-                while rest:  # the best match of an area comes first, others may stand before and after it
-                    low, high = rest.pop()
-                    if m := pattern.search(text, low, high):
-                        e = sum(m.fuzzy_counts)
-                        out.append((label, m.start(), m.end(), e, 1.0 - e / len(notice)))
-                        rest += [(low, m.start()), (m.end(), high)]
-        # where notices overlap by more than half, the one with the fewest edits explains the place
-        kept: list[tuple[str, int, int, int, float]] = []
+                for m in best_matches(pattern, text, low, high, len(notice) + self.notices[k][2]):
+                    e = sum(m.fuzzy_counts)
+                    out.append((label, m.start(), m.end(), e, 1.0 - e / len(notice)))
+        # where notices overlap by more than half, the one with the fewest edits explains the place; only spans that begin
+        # within the longest span's length can overlap
+        wide = max((x[2] - x[1] for x in out), default=0) + 1
+        kept: dict[int, list[tuple[str, int, int, int, float]]] = {}
         for x in sorted(out, key=lambda x: (x[3], x[1], -x[2], x[0])):
-            if not any(y[3] < x[3] and y[0] != x[0] and 2 * (min(x[2], y[2]) - max(x[1], y[1])) > x[2] - x[1] for y in kept):
-                kept.append(x)
-        return sorted(kept)
+            near = (y for i in range(x[1] // wide - 1, x[2] // wide + 1) for y in kept.get(i, ()))
+            if not any(y[3] < x[3] and y[0] != x[0] and 2 * (min(x[2], y[2]) - max(x[1], y[1])) > x[2] - x[1] for y in near):
+                kept.setdefault(x[1] // wide, []).append(x)
+        return sorted(x for some in kept.values() for x in some)
 
     def scan(self, text: str | None) -> tuple:
         words = self.normal(text)

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import map_columns, small_batches
@@ -237,32 +237,120 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end
 
 
+#: What begins a record; Spark's reader cuts files there.
+_MARK = b"WARC/1."
+_HEADS = "headers map<string,string>, block binary"
+
+
+def _claimed(data: bytes) -> tuple[dict[str, str], int, int] | None:
+    found = _record(data, 0)
+    return found if found and "WARC-Type" in found[0] else None
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """headers and block of every record of the files at path, as a stream: Spark cuts the files (gzip members inflated
     by its reader) at the mark that begins a record, and a task holds one record at a time. A mark inside a block does
-    not end it, as the block's length says; only where Spark splits a plain file just there is the rest passed over."""
-    pieces = spark.read.option("lineSep", "WARC/1.").text(path).select(F.col("value").cast("binary").alias("value"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[tuple]:
-            held = b""
-            for batch in batches:
-                for piece in batch.column(0).to_pylist():
-                    held = held + b"WARC/1." + piece if held else b"WARC/1." + piece
-                    found = _record(held, 0)
-                    if found and len(held) >= found[2]:
-                        yield found[0], held[found[1] : found[2]]
-                        held = b""
-                    elif not found or "WARC-Type" not in found[0]:
-                        held = b""  # no record begins here
-            if held and (found := _record(held, 0)) and "WARC-Type" in found[0]:
-                yield {**found[0], "WARC-Truncated": found[0].get("WARC-Truncated", "unspecified")}, held[found[1] :]
-
-        for headers, block in records():
-            yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], ["headers", "block"])
-
+    not end it, as the block's length says, also where Spark splits a plain file inside that block: a first pass
+    lists the marks and the lengths that stand behind them, and the marks of each file, read in order, tell how many
+    pieces at the start of a split still belong to a record that began before it. Such pieces and the beginning of their
+    record, one record a split at most, are put together by themselves. The table of such splits is broadcast: a row for
+    each split that begins inside a record with marks in its block. A record that its file cuts off is given with
+    WARC-Truncated; a mark inside a head makes no record of it."""
+    pieces = spark.read.option("lineSep", _MARK.decode()).text(path)
+    pieces = pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     small_batches(spark)
-    return pieces.mapInArrow(run, "headers map<string,string>, block binary")
+    again = F.broadcast(_continued(pieces))
+    cut = pieces.join(again, ["file", "start"], "left").select("value", "file", "start", F.coalesce("skip", F.lit(0)).alias("skip"))
+    read = cut.mapInArrow(_read, f"{_HEADS}, file string, start long, place int, part binary")
+    begun = F.max(F.when(F.col("place") < 0, F.col("start"))).over(Window.partitionBy("file").orderBy("start", F.expr("if(place < 0, 2147483647, place)")))
+    parts = read.where("part is not null").withColumn("record", F.when(F.col("place") < 0, F.col("start")).otherwise(begun))
+    joined = parts.groupBy("file", "record").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "part"))), lambda p: p["part"]).alias("parts"))  # one record
+    return read.where("part is null").select("headers", "block").unionByName(joined.select("parts").mapInArrow(_joined, _HEADS))
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+_FOUND = pa.schema([("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+
+
+def _continued(pieces: DataFrame) -> DataFrame:
+    """file, start, skip: how many pieces at the start of a split belong to the record before it."""
+    listed = pa.schema([("file", pa.string()), ("start", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("claim", pa.int64())])
+    counted = pa.schema([("file", pa.string()), ("start", pa.int64()), ("skip", pa.int32())])
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, place = None, 0
+        for batch in batches:
+            rows = []
+            for piece, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = place + 1 if (file, start) == at else 0
+                at = file, start
+                found = _claimed(_MARK + piece)
+                rows.append((file, start, place, len(piece) + len(_MARK), found[2] if found else None))
+            if rows:
+                yield _arrow(rows, listed)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left, begun, skip = None, 0, None, 0
+        for batch in batches:
+            rows = []
+            for file, start, _, size, claim in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, start) != at:
+                    if skip:
+                        rows.append((*at, skip))
+                    left, begun = (left, begun) if at and file == at[0] else (0, None)
+                    at, skip = (file, start), 0
+                if left > 0:
+                    skip += begun != start
+                    left -= size
+                elif claim is not None:
+                    left, begun = claim - size, start
+            if rows:
+                yield _arrow(rows, counted)
+        if skip:
+            yield _arrow([(*at, skip)], counted)
+
+    plain = pieces.where(~F.col("file").rlike(r"(?i)\.(gz|bz2|zst|xz)$"))
+    index = plain.mapInArrow(marks, "file string, start long, place long, size long, claim long")
+    return index.repartition("file").sortWithinPartitions("file", "start", "place").mapInArrow(chain, "file string, start long, skip int")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records, and the parts of those that go on in another split: place counts the pieces at the start of a split, the
+    beginning of a record at its end has place -1."""
+    schema = pa.schema([*_FOUND, ("file", pa.string()), ("start", pa.int64()), ("place", pa.int32()), ("part", pa.binary())])
+    held, at, place = b"", None, 0
+    for batch in batches:
+        for piece, file, start, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, start) != at:
+                if held and _claimed(held):
+                    yield _arrow([(None, None, *at, -1, held)], schema)
+                held, at, place = b"", (file, start), 0
+            if place < skip:
+                yield _arrow([(None, None, *at, place, _MARK + piece)], schema)
+                place += 1
+                continue
+            held += _MARK + piece
+            found = _claimed(held)
+            if found is None:
+                held = b""  # no record begins here
+            elif len(held) >= found[2]:
+                yield _arrow([(list(found[0].items()), held[found[1] : found[2]], *at, 0, None)], schema)
+                held = b""
+    if held and _claimed(held):
+        yield _arrow([(None, None, *at, -1, held)], schema)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for parts in batch.column(0).to_pylist():
+            data = b"".join(parts)
+            if found := _claimed(data):
+                headers, start, end = found
+                more = {} if len(data) >= end else {"WARC-Truncated": headers.get("WARC-Truncated", "unspecified")}
+                yield _arrow([(list((headers | more).items()), data[start:end])], _FOUND)
 
 
 def pages_to_responses(df: DataFrame, date: str = "2024-01-01T00:00:00Z", html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:

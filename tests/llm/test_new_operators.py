@@ -9,7 +9,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from sparkloom.llm import centroids, divergence, html_extract, queries, shards
+from sparkloom.llm import centroids, divergence, html_extract, license_scan, queries, shards, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard string, slot string, row string, h string, bucket int, term string"
 
@@ -222,3 +222,42 @@ def test_boxes_go_by_whole_names():
 
 def test_a_zero_width_blank_is_no_blank():
     assert html_extract.main_texts([html_extract.blocks_of("<article><p>foo&#8203;bar&nbsp; baz</p></article>")]) == ["foo\u200bbar baz"]
+
+
+def test_archives_are_whole_wherever_spark_splits_them(spark, tmp_path):
+    """Blocks that hold marks and whole records, cut at every few bytes; a cut file; a file of other matter."""
+    inner = warc.serialize({"WARC-Type": "response", "Content-Length": "9"}, b"WARC/1.0 ")
+    blocks = [b"a", b"", b"x" * 300, inner * 5, b"WARC/1.1\r\n" * 30, b"\xff\x00WARC/1.", inner + b"tail" * 40, b"last \r\n\r\n"] * 2
+    heads = [{"WARC-Type": "resource", "WARC-Record-ID": f"<urn:{i}>", "Content-Length": str(len(b))} for i, b in enumerate(blocks)]
+    data = b"".join(warc.serialize(h, b) for h, b in zip(heads, blocks, strict=True))
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc").write_bytes(b"no archive\r\n" * 40)
+    (tmp_path / "c.warc").write_bytes(data[: data.index(b"<urn:6>") + 60])
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    found = {}
+    try:
+        for size in (128 << 20, 701, 256, 97, 64):
+            spark.conf.set(keys[0], str(size))
+            spark.conf.set(keys[1], "1")
+            found[size] = Counter((tuple(sorted(r.headers.items())), bytes(r.block)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    whole = [(tuple(sorted(h.items())), b) for h, b in zip(heads, blocks, strict=True)]
+    cut = data[: data.index(b"<urn:6>") + 60].split(b"\r\n\r\n")
+    want = Counter(whole + whole[:6])
+    assert cut
+    for size, got in found.items():
+        rest = got - want
+        assert not want - got, size
+        assert sum(rest.values()) == 1 and "WARC-Truncated" in dict(next(iter(rest))[0]), size
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    scanner = license_scan.Scanner()
+    began = time.process_time()
+    spans = scanner.fuzzy(scanner.normal("all rights reserved. " * 100_000))
+    assert len(spans) == 100_000 and time.process_time() - began < 10
