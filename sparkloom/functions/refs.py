@@ -31,15 +31,15 @@ NEW_OF = {"IPC": "BNS", "CRPC": "BNSS", "IEA": "BSA"}
 FIRST_YEAR = 1000
 
 _NAMES = "|".join(name.replace(".", r"\.") for name in sorted(ACTS, key=len, reverse=True))
-#: White space and digits of every script: patterns set Java's U flag, which lacks the four separators.
-SPACE = r"[\s\x1c-\x1f]"
-_LIST = rf"\d+[A-Za-z]{{0,2}}(?:{SPACE}*(?:,|and|&){SPACE}*\d+[A-Za-z]{{0,2}})*"
+#: White space, digits and word ends of every script, named one by one: Java's U flag would slow the letters down.
+SPACE, DIGIT, START, END = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", r"[0-9\p{Nd}]", r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_LIST = rf"{DIGIT}+[A-Za-z]{{0,2}}(?:{SPACE}*(?:,|and|&){SPACE}*{DIGIT}+[A-Za-z]{{0,2}})*"
 #: Fixed formats: an act, perhaps its year, perhaps the word section, then numbers; or numbers "of" an act.
-ACT_FIRST = rf"(?iU)({_NAMES})\b[ ,]*(?:\d{{4}}[ ,]*)?(?:Sections?|ss?\.)?{SPACE}*({_LIST})"
-SECTION_FIRST = rf"(?iU)Sections?{SPACE}*({_LIST})(?:{SPACE}*\([0-9a-z]+\))*{SPACE}*of{SPACE}+(?:the{SPACE}+)?({_NAMES})\b"
-SECTION_FIRST_PLAIN = rf"(?iU)Sections?{SPACE}*({_LIST}){SPACE}*of{SPACE}+(?:the{SPACE}+)?({_NAMES})\b"
-ACT_ALONE = rf"(?iU)\b({_NAMES})\b"
-SECTION_ALONE = rf"(?iU)\bSections?{SPACE}*({_LIST})"
+ACT_FIRST = rf"(?i)({_NAMES}){END}[ ,]*(?:{DIGIT}{{4}}[ ,]*)?(?:Sections?|ss?\.)?{SPACE}*({_LIST})"
+SECTION_FIRST = rf"(?i)Sections?{SPACE}*({_LIST})(?:{SPACE}*\([0-9a-z]+\))*{SPACE}*of{SPACE}+(?:the{SPACE}+)?({_NAMES}){END}"
+SECTION_FIRST_PLAIN = rf"(?i)Sections?{SPACE}*({_LIST}){SPACE}*of{SPACE}+(?:the{SPACE}+)?({_NAMES}){END}"
+ACT_ALONE = rf"(?i){START}({_NAMES}){END}"
+SECTION_ALONE = rf"(?i){START}Sections?{SPACE}*({_LIST})"
 CHUNK = r"(?i)^(?:schedule_)?(bns|bnss|bsa|ipc|crpc|iea)_([0-9]+[a-z]{0,2})$"
 
 
@@ -58,9 +58,9 @@ def _digits() -> tuple[str, str]:
 
 def numbers(listed: Column) -> Column:
     """Section numbers of a list such as '415, 417 and 420A', as they are written; years are none."""
-    parts = F.transform(F.split(listed, rf"(?U){SPACE}*(?:,|and|&){SPACE}*"), lambda x: F.upper(F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")))
-    value = lambda x: F.translate(F.regexp_extract(x, r"(?U)^(\d+)", 1), *_digits()).cast("double")
-    return F.filter(parts, lambda x: x.rlike(r"(?U)^\d+[A-Z]{0,2}$") & (value(x) < FIRST_YEAR))
+    parts = F.transform(F.split(F.regexp_replace(listed, rf"{SPACE}*(?:,|and|&){SPACE}*", ","), ","), F.upper)
+    year = lambda x: F.translate(F.regexp_extract(x, rf"^({DIGIT}+)", 1), *_digits()).cast("double") >= FIRST_YEAR
+    return F.filter(parts, lambda x: x.rlike(rf"^{DIGIT}+[A-Z]{{0,2}}$") & ((F.length(x) < 4) | ~year(x)))
 
 
 def _cited(c: Column, pattern: str, act: int, listed: int) -> Column:
