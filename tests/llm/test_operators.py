@@ -828,24 +828,89 @@ def test_queries_with_sql(spark, sf, name):
     assert rows[0] == rows[1]
 
 
+def kept_by_rules(rows):
+    """doc_ids whose verdict is to keep, by the SQL of the whole cascade."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r.doc_id, r.text) for r in rows], columns=["doc_id", "text"]))
+    return {d for d, kept in con.execute(f"select doc_id, kept from ({queries.ORACLES['op7_quality_cascade']})").fetchall() if kept}
+
+
+def one_of_each_class(rows):
+    """doc_ids of the least of each class of near copies, and of all rows without words."""
+    root, _ = brute_classes([r.text for r in rows])
+    least = {}
+    for r, k in zip(rows, root, strict=True):
+        if gram_set(r.text):
+            least[k] = min(least.get(k, r.doc_id), r.doc_id)
+    return set(least.values()) | {r.doc_id for r in rows if not gram_set(r.text)}
+
+
+def leaking(rows, items):
+    """(doc_ids that hold an item within its radius, those among them at two thirds of the radius or less): least edits
+    over every stretch; texts that share no word run with a share of an item's words are passed over."""
+    ids, found, near = {}, set(), set()
+
+    def coded(t):
+        return np.array([ids.setdefault(w, len(ids)) for w in decontaminate.words_of(t)])
+
+    wanted = [(w, set(w.tolist()), decontaminate.radius(len(w))) for w in (coded(i.text) for i in items) if len(w)]
+    for r in rows:
+        area = coded(r.text)
+        have = set(area.tolist())
+        for w, kinds, most in wanted:
+            # an edit takes one word at most, so a match leaves all kinds but as many in the text
+            if len(kinds - have) <= most and (n := decontaminate.edit_match(w, area)[0]) <= most:
+                found.add(r.doc_id)
+                if 3 * n <= 2 * most:
+                    near.add(r.doc_id)
+    return found, near
+
+
 def test_pipeline(spark, sf):
+    """Every stage keeps the rows that a brute-force version keeps, unchanged but for the lines that line_dedup takes."""
+    from sentencepiece import SentencePieceProcessor
+
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     at = docs
-    sizes = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = at
+        before = at.collect()
         at = spark.createDataFrame(stage(spark, at, sf).collect(), docs.schema)
-        assert at.columns == docs.columns, name
-        sizes.append(at.count())
+        after, rows = at.collect(), {r.doc_id: r for r in before}
+        assert at.columns == docs.columns and len(rows) == len(before), name
+        assert len({r.doc_id for r in after}) == len(after), name
+        if name != "line_dedup":
+            assert all(rows[r.doc_id] == r for r in after), name
+        ids = {r.doc_id for r in after}
         if name == "quality_rules":
-            bad = {r.doc_id for r in before.collect() if (m := measures(r.text))[0] < 10 or 100 * m[4] > 20 * m[0]}
-            assert not bad & {r.doc_id for r in at.collect()}
+            assert ids == kept_by_rules(before) and len(ids) > 0.5 * len(before)
+            assert not ids & {r.doc_id for r in before if (m := measures(r.text))[0] < 10 or 100 * m[4] > 20 * m[0]}
         elif name == "line_dedup":
-            assert Counter((r.doc_id, r.text) for r in at.collect()) == Counter((d, t) for d, t, _ in brute_lines(before.collect(), line_templates.MIN_DOCS))
+            want = {d: t for d, t, _ in brute_lines(before, line_templates.MIN_DOCS)}
+            assert {r.doc_id: (r.text, r.n_chars, r.lang, r.source) for r in after} == {d: (t, len(t), rows[d].lang, rows[d].source) for d, t in want.items()}
         elif name == "near_duplicates":
-            assert at.count() == len(set(brute_classes([r.text for r in before.collect()])[0]))
-    assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+            assert ids == one_of_each_class(before)
+        else:
+            found, near = leaking(before, items)
+            gone = set(rows) - ids
+            assert gone <= found and near <= gone and len(gone) >= 0.97 * len(found)
+    last = corpus_pipeline.run(spark, sf)
+    peer = SentencePieceProcessor(model_file=PIECES)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in last.collect()) == Counter((r.doc_id, tuple(peer.encode(r.text))) for r in after)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stretches_are_encoded_as_whole_texts(spark, sf):
+    """The peer gets long texts in stretches; the ids are those of the whole text."""
+    from sentencepiece import SentencePieceProcessor
+
+    peer = SentencePieceProcessor(model_file=PIECES)
+    long = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") > 2000][:60]
+    assert len(long) > 20
+    got = sentencepiece_codec.encode_texts(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), PIECES).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: peer.encode(t) for i, t in enumerate(long)} and all(r.parity for r in got)
