@@ -65,6 +65,12 @@ def components(t: Tables) -> DataFrame:
     return _groups(t)
 
 
+@register(f"with recursive {_COMPONENTS} select * from g")
+def components_by_stars(t: Tables) -> DataFrame:
+    """The same by large and small stars, for graphs with hubs or long chains."""
+    return graph.star_components(t.edges.select(F.concat(F.lit("o"), "old").alias("a"), F.concat(F.lit("n"), "new").alias("b")), "a", "b")
+
+
 @register(f"with recursive {_COMPONENTS}, s as (select grp, count(*) n from g group by 1) select n as size, count(*) as groups from s group by 1")
 def group_sizes(t: Tables) -> DataFrame:
     return _groups(t).groupBy("grp").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
