@@ -821,7 +821,8 @@ def test_queries_with_sql(spark, sf, name):
 
     got = queries.QUERIES[name](spark, sf).toPandas()
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(queries.ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     rows = [sorted(tuple("~" if pd.isna(x) else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in f[sorted(f.columns)].itertuples(index=False)) for f in (got, want)]
