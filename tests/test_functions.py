@@ -1,5 +1,8 @@
 """Column functions and operators on literal rows."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +134,24 @@ def test_files(spark, tmp_path):
     assert files.not_yet_loaded(known, known).count() == 0
     urls = spark.createDataFrame([("http://a.b/x/1",), ("http://a.b/y",)], "url string")
     assert files.allowed(urls, spark.createDataFrame([("a.b", "/x")], "host string, prefix string")).count() == 1
+
+
+def test_overlap_of_long_texts_takes_no_pairs_of_words(spark):
+    """Sixty thousand words a side: a look at every pair of positions would take minutes."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), (i % 50_000).cast("string")))
+    start = time.monotonic()
+    got = spark.range(1).select(text.multiset_overlap(words, F.concat(words, words)).alias("n")).first().n
+    assert got == 60_000
+    assert time.monotonic() - start < 20
+
+
+@pytest.mark.parametrize("f", [lambda c: text.shorten(text.clean_text(c), 60), lambda c: text.token_f1(text.clean_text(c), text.clean_text(c))])
+def test_cleaning_stands_once_in_what_is_made_of_it(spark, f):
+    shown = spark.createDataFrame([("a  b",)], "t string").select(f(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("——") <= 2
+
+
+@pytest.mark.parametrize("given", ["a b", " a", "a ", "a  b", "a\tb", " a", "a ", "a\n\n b", "“a”", "a\x18b", "", "a ", "a\n"])
+def test_clean_texts_stay_and_others_are_cleaned(spark, given):
+    want = re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t\xa0]+", " ", given.translate({0x18: "˜", 0x201C: '"', 0x201D: '"'}))).strip()
+    assert one(spark, given, text.clean_text) == want
