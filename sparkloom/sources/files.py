@@ -40,8 +40,7 @@ def not_yet_loaded(files: DataFrame, known: DataFrame) -> DataFrame:
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     """host, prefix, allow of the groups of robots files (host, body) that name the agent; an empty path is no rule. A group is
     a run of agent lines and the rules up to the next one."""
-    line = F.regexp_replace(F.split("body", r"\r\n|\r|\n")[F.col("i")], r"#.*$", "")
-    lines = robots.withColumn("i", F.explode(F.sequence(F.lit(0), F.size(F.split("body", r"\r\n|\r|\n")) - 1))).select("host", "i", line.alias("line"))
+    lines = robots.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("i", "line")).withColumn("line", F.regexp_replace("line", r"#.*$", ""))
     field, value = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1))
     known = lines.select("host", "i", field.alias("field"), value.alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow"))
     order = Window.partitionBy("host").orderBy("i")

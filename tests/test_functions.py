@@ -160,3 +160,11 @@ def test_clean_texts_stay_and_others_are_cleaned(spark, given):
 def test_references_without_a_semicolon_stay(spark):
     got = one(spark, "<title>a &amp; b &amp</title><p>&copy; &copy &ampx; &#65; &#65 &amp;lt;</p>", lambda c: text.strip_html(c, closed=True))
     assert got == "a & b &amp© &copy &ampx; A &#65 &lt;"
+
+
+def test_long_robots_files_are_split_once(spark):
+    """Sixty thousand lines of one host: splitting the file again for each line would take hours."""
+    body = "User-agent: *\n" + "\n".join(f"Disallow: /{i}" for i in range(60_000))
+    start = time.monotonic()
+    assert files.robots_rules(spark.createDataFrame([("h", body)], "host string, body string")).count() == 60_000
+    assert time.monotonic() - start < 60
