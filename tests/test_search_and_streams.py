@@ -59,6 +59,21 @@ def test_bm25(spark, monkeypatch, k, hot, growth, share):
     assert {(r.qid, r.chunk_id): (r["rank"], round(r.score * 1e8)) for r in got} == plain_bm25(chunks, asked, k, share)
 
 
+def test_search_hands_on_k_rows_a_word(spark, monkeypatch):
+    """A question with words of many chunks hands on k whole scores a word and tile, not a row for each chunk that it meets."""
+    handed = {}
+    for name in ("_by_rare_words", "_by_tiles"):
+        make = getattr(lexical, name)
+        monkeypatch.setattr(lexical, name, lambda *a, make=make, name=name: handed.setdefault(name, make(*a)))
+    chunks = [(f"c{i:03d}", "all " * (i % 5 + 1) + ("some" if i < 100 else "") + (" much" if i % 7 == 0 else "")) for i in range(300)]
+    asked = [(1, "some"), (2, "all"), (3, "some all"), (4, "All of some much"), (5, "much all")]
+    found = lexical.index(spark.createDataFrame(chunks, "chunk_id string, text string"))
+    got = lexical.search(found, spark.createDataFrame(asked, "qid long, question string"), 2, 60).collect()
+    assert {(r.qid, r.chunk_id): (r["rank"], round(r.score * 1e8)) for r in got} == plain_bm25(chunks, asked, 2)
+    assert handed["_by_rare_words"].count() == 2 * 5  # some: 1, 3, 4; much: 4, 5
+    assert handed["_by_tiles"].count() == 2  # one set of frequent words: all
+
+
 def test_bm25_of_nothing(spark):
     none = spark.createDataFrame([], "chunk_id string, text string")
     asked = spark.createDataFrame([(1, "a word")], "qid long, question string")
