@@ -7,11 +7,13 @@ import re
 import shutil
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import refs
-from sparkloom.operators import answers, graph, layout, lexical, nearest, overlap, splits, stages
+from sparkloom.operators import answers, graph, layout, lexical, nearest, overlap, retrieval, splits, stages
 from sparkloom.sources import files
 from sparkloom.streaming import fetching, questions, replay
 
@@ -82,6 +84,32 @@ def test_bm25_of_nothing(spark):
     assert lexical.search(some, asked.limit(0), 3).count() == 0
 
 
+def test_contexts_are_written_for_the_chosen_chunks_alone(spark):
+    """Repeated chunks, more than a context takes; rows are shuffled once, and no text before its chunk is chosen."""
+    rows = [(q, p, p % 3, p, f"{10 * p + q}") for q in range(3) for p in range(7)] + [(1, 2, 0, 1, "9"), (1, 2, 2, 9, "07")]
+    df = spark.createDataFrame(rows, "qid long, pid int, priority int, seq int, text string")
+    made = retrieval.assemble(df, 2, 430, lambda t: F.concat(F.lit("text "), t))
+    got = {r.qid: (r.n, r.context) for r in made.collect()}
+    rule = "\n\n---\n\n"
+    assert got == {0: (2, f"text 0{rule}text 30"), 1: (2, f"text 1{rule}text 07"), 2: (2, f"text 2{rule}text 32")}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_similarities_are_held_in_parts(spark, monkeypatch):
+    """A batch of passages and a block of queries are never one matrix; ties go to the lesser id."""
+    monkeypatch.setattr(retrieval, "CELLS", 50, raising=False)
+    seen, own = [], np.round
+    monkeypatch.setattr(np, "round", lambda x, n: seen.append(np.size(x)) or own(x, n))
+    rng = np.random.default_rng(1)
+    q, p = rng.integers(0, 3, (23, 4)), rng.integers(0, 3, (31, 4))
+    work = retrieval._best([(i, v, i % 2) for i, v in enumerate(q)], 3, 10.0, spark)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(31)), pa.array(p.tolist()), pa.array([i % 3 for i in range(31)])], ["pid", "p", "key"])
+    got = [tuple(r.values()) for r in next(work(iter([batch]))).to_pylist()]
+    scores = q @ p.T + 10.0 * (np.arange(23)[:, None] % 2 == np.arange(31)[None, :] % 3)
+    assert got == [(i, int(j), line[j]) for i, line in enumerate(scores) for j in np.argsort(-line, kind="stable")[:3]]
+    assert max(seen) <= 50
+
+
 def test_contained(spark):
     rng = random.Random(2)
     words = ["ab", "abc", "b", "cab", "d", "e f", "g", "hh"]
