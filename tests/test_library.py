@@ -243,3 +243,33 @@ def test_small_functions(spark):
     assert concordance.ordered_distinct(edges, ["k"], "v", "o", "vs").first().vs == ["x", "y"]
     found = gate.many({"bad": ("FAIL", F.col("k") == "a"), "none": ("WARN", F.col("k").isNull())}, edges)
     assert {r.check: (r.level, r.n_bad) for r in found.collect()} == {"bad": ("FAIL", 3), "none": ("OK", 0)}
+
+
+def test_parts_of_a_query_share_what_they_read(spark, sf):
+    """The questions of all families, their ranks, the concordance and the cases are made once a query, not once a reader."""
+    from sparkloom.plans import chunks as plan_chunks
+    from sparkloom.plans import code as plan_code
+    from sparkloom.plans import hard as plan_hard
+    from sparkloom.plans.base import Tables
+
+    t = Tables(spark, sf)
+    for make in (plan_code.mapping, plan_chunks.full_cases, plan_hard._docs):
+        assert make(t) is make(t)
+    grounded = plan_hard._grounded(t)
+    made = t._made["grounded"]
+    assert plan_hard._grounded(t).count() == grounded.count() and t._made["grounded"] is made
+
+
+def test_grounding_meets_chunks_by_key(spark):
+    rows = spark.createDataFrame([("a", "bns_1", "section_text"), ("b", "bns_1", "section_text"), ("c", "bns_1", "offence_classification"), ("d", "bns_2", "offence_classification"), ("e", "case_7", "case_law"), ("f", None, "transition"), ("g", "scope_1", "scope"), ("h", "ipc_9", "removed")], "qid string, source_chunk_id string, qa_type string")
+    docs = spark.createDataFrame([("bns_1", "u"), ("schedule_bns_1", "u"), ("bns_2", "u"), ("case_001", "x/doc/7/"), ("transition_commencement", "u")], "chunk_id string, source_url string")
+    out = hard.grounding(rows, docs)
+    assert {r.qid: r.target for r in out.collect()} == {"a": "bns_1", "b": "bns_1", "c": "schedule_bns_1", "d": "bns_2", "e": "case_001", "f": "transition_commencement", "g": None, "h": None}
+    assert set(out.columns) == {"qid", "source_chunk_id", "qa_type", "target"}
+
+
+def test_clean_texts_of_several_lines_stay(spark):
+    rows = ["a b\nc", "a\n\nb", "a \nb", "a\n b", "\na", "a\n", "", "a  b\nc", "a\tb\nc", "a\r\nb", "café\nb", "“a”\nb"]
+    want = ["a b\nc", "a\nb", "a\nb", "a\nb", "a", "a", "", "a b\nc", "a b\nc", "a\nb", "café\nb", "\"a\"\nb"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert [r.x for r in df.orderBy("i").select(text.clean_text(F.col("t")).alias("x")).collect()] == want
