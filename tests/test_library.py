@@ -268,6 +268,16 @@ def test_grounding_meets_chunks_by_key(spark):
     assert set(out.columns) == {"qid", "source_chunk_id", "qa_type", "target"}
 
 
+def test_components_send_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    write = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 7], "a long, b long")
+    got = {r.node: r.grp for r in graph.components(edges, "a", "b").collect()}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+    assert got[7 * 2] == 7 + 1 and got[6] == 1
+
+
 def test_clean_texts_of_several_lines_stay(spark):
     rows = ["a b\nc", "a\n\nb", "a \nb", "a\n b", "\na", "a\n", "", "a  b\nc", "a\tb\nc", "a\r\nb", "café\nb", "“a”\nb"]
     want = ["a b\nc", "a\nb", "a\nb", "a\nb", "a", "a", "", "a b\nc", "a b\nc", "a\nb", "café\nb", "\"a\"\nb"]
