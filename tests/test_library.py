@@ -268,6 +268,19 @@ def test_grounding_meets_chunks_by_key(spark):
     assert set(out.columns) == {"qid", "source_chunk_id", "qa_type", "target"}
 
 
+def test_candidates_give_both_orders(spark, code):
+    mapping, *_ = code
+    docs = spark.createDataFrame([(c,) for c in ("ipc_302", "bns_103", "bns_303")], "chunk_id string")
+    asked = spark.createDataFrame([("q", "IPC 302?"), ("n", None)], "qid string, question string")
+    hits = spark.createDataFrame([("q", "bns_303", 0), ("q", "bns_999", 1)], "qid string, chunk_id string, rank int")
+    others = answers.counterparts(mapping)
+    found = answers.candidates(asked, docs, others, hits)
+    for order, links in (("o", others), ("plain", others.limit(0))):
+        want = answers.select_chunks(asked, docs, links, hits)
+        assert sorted(answers.first_of(found, order).collect()) == sorted(want.collect())
+    assert {r.chunk_id for r in answers.first_of(found, "plain").collect()} == {"ipc_302", "bns_303"}
+
+
 def test_components_send_no_table_to_the_driver(spark, monkeypatch):
     plans = []
     write = graph.cut
