@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import gate, graph
+from sparkloom.operators.graph import cut
 from sparkloom.plans import code, hard
 from sparkloom.plans.base import Tables, register
 from sparkloom.plans.chunks import CORPUS, corpus
@@ -66,7 +67,7 @@ def validate_corpus(t: Tables) -> DataFrame:
 
 @register(f"with {DATASET} " + _counts(("empty", "FAIL", "select count(*) from qa where trim(instruction) = '' or trim(output) = ''"), ("damaged", "FAIL", "select count(*) from qa where " + _DAMAGE.replace("(text", "(output")), ("repeated_question", "FAIL", "select count(*) from (select lower(instruction) from qa group by 1 having count(*) > 1)"), ("few_scope_examples", "WARN", "select case when count(*) < 5 then 1 else 0 end from qa where qa_type = 'scope'")))
 def validate_questions(t: Tables) -> DataFrame:
-    return gate.check_questions(dataset(t))
+    return gate.check_questions(cut(dataset(t).select("instruction", "output", "qa_type")))  # read by three checks
 
 
 @register(f"with {CODE}, bc as (select topic || (rid % 997 = 0)::int::varchar topic, case when rid % 41 = 0 then ' ' else court end court, case when rid % 43 = 0 then null else year end as year, case_name, holding_summary, source_url from cases) " + _counts(*((f"no_{c}", "WARN", f"select count(*) from bc where trim({c}) = ''") for c in ("case_name", "court", "holding_summary", "source_url")), ("no_year", "WARN", "select count(*) from bc where year is null"), ("thin_topics", "WARN", "select count(*) from (select topic from bc group by 1 having count(*) < 3)")))
@@ -90,7 +91,8 @@ sp as (select instruction, coalesce(grp, source_chunk_id) g, case when length(in
 def validate_splits(t: Tables) -> DataFrame:
     """Splits by the hash of the group, some rows put elsewhere."""
     found = hard.groups(t)
-    rows = dataset(t).join(found.withColumnRenamed("node", "source_chunk_id"), "source_chunk_id", "left").withColumn("grp", F.coalesce("grp", "source_chunk_id"))
+    rows = dataset(t).select("instruction", "source_chunk_id").join(found.withColumnRenamed("node", "source_chunk_id"), "source_chunk_id", "left").withColumn("grp", F.coalesce("grp", "source_chunk_id"))
     split = graph.hash_split(rows, "grp", "20240701").withColumn("split", F.when(F.length("instruction") % 97 == 0, "test").otherwise(F.col("split")))
+    split = cut(split.select("instruction", "grp", "split"))  # read by four checks
     h = F.md5(F.concat(F.lit("c"), F.concat_ws(":", "mapping_type", "old_act", "old_section")))
-    return gate.check_splits(split, hard.entries(t).orderBy(h, "instruction").limit(40), found)
+    return gate.check_splits(split, cut(hard.entries(t).orderBy(h, "instruction").limit(40)), found)
