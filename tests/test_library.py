@@ -296,3 +296,11 @@ def test_clean_texts_of_several_lines_stay(spark):
     want = ["a b\nc", "a\nb", "a\nb", "a\nb", "a", "a", "", "a b\nc", "a b\nc", "a\nb", "café\nb", "\"a\"\nb"]
     df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
     assert [r.x for r in df.orderBy("i").select(text.clean_text(F.col("t")).alias("x")).collect()] == want
+
+
+def test_verdicts_read_each_answer_once(spark):
+    df = spark.createDataFrame([("IPC 1", "IPC 1", "x"), ("IPC 1 and IPC 2", "IPC 1", "IPC 2, IPC 1"), ("none", "IPC 1", "IPC 1"), (None, "IPC 1", "IPC 1"), ("IPC 3", None, "")], "g string, a string, b string")
+    out = metrics.verdicts(df, "g", "a", "b")
+    assert [(r.g, r.verdict) for r in out.collect()] == [("IPC 1", "first only"), ("IPC 1 and IPC 2", "second only"), ("IPC 3", "neither")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(g") + plan.count("regexp_extract_all(coalesce(g") == 2, plan
