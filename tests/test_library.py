@@ -304,3 +304,14 @@ def test_verdicts_read_each_answer_once(spark):
     assert [(r.g, r.verdict) for r in out.collect()] == [("IPC 1", "first only"), ("IPC 1 and IPC 2", "second only"), ("IPC 3", "neither")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(g") + plan.count("regexp_extract_all(coalesce(g") == 2, plan
+
+
+def test_gates_and_contexts_read_written_rows(spark, sf):
+    """The checks read questions that are written once, and an index and its contexts the same chunks."""
+    from sparkloom.plans import answering, registry
+    from sparkloom.plans.base import Tables
+
+    plan = registry.QUERIES["validate_questions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan  # phrasings are chosen by it where questions are made
+    t = Tables(spark, sf)
+    assert answering._chunks(t) is answering._chunks(t)
