@@ -76,6 +76,34 @@ def test_search_hands_on_k_rows_a_word(spark, monkeypatch):
     assert handed["_by_tiles"].count() == 2  # one set of frequent words: all
 
 
+@pytest.mark.parametrize(("slice_", "right"), [(10_000, 10_000), (7, 3)])
+def test_long_chunks_are_not_copied_to_each_rare_word(spark, monkeypatch, slice_, right):
+    """Chunks of many rare words stay whole in their tile, questions come to them; slices of questions give the same hits."""
+    monkeypatch.setattr(lexical, "SLICE", slice_)
+    monkeypatch.setattr(lexical, "RIGHT", right)
+    monkeypatch.setattr(lexical, "LONG", 100)
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    rng = random.Random(5)
+    chunks = [(f"long{i}", "the law " + " ".join(f"w{j}" for j in range(i, 120, 2))) for i in range(4)] + [(f"c{i:03d}", "the law " + " ".join(f"w{rng.randrange(150)}" for _ in range(4))) for i in range(200)]
+    asked = [(i, f"the law w{rng.randrange(150)} w{rng.randrange(150)}") for i in range(40)] + [(90, "the law"), (91, "unknown"), (92, None), (93, " ".join(f"w{j}" for j in range(150)))]
+    found = lexical.index(spark.createDataFrame(chunks, "chunk_id string, text string"))
+    questions = spark.createDataFrame(asked, "qid long, question string")
+    got = lexical.search(found, questions, 3, 60, 2).collect()
+    assert {(r.qid, r.chunk_id): (r["rank"], round(r.score * 1e8)) for r in got} == plain_bm25(chunks, asked, 3)
+
+
+def test_words_handed_to_rare_words_grow_with_the_chunks(spark, monkeypatch):
+    """A chunk of many rare words is not written once for each of them."""
+    handed, make = [], lexical._by_rare_words
+    monkeypatch.setattr(lexical, "_by_rare_words", lambda *a: handed.append(a) or make(*a))
+    chunks = spark.createDataFrame([("long", " ".join(f"w{i}" for i in range(500))), ("short", "w1 w2")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(i, f"w{i}") for i in range(500)], "qid long, question string")
+    lexical.search(lexical.index(chunks), asked, 3)
+    words = lambda k: lambda left, right: pa.table({"qid": [0], "chunk_id": ["all"], "score": [sum(map(len, left.column("ws").to_pylist()))]})
+    monkeypatch.setattr(lexical, "_pairs", words)
+    assert sum(r.score for r in make(*handed[0]).collect()) <= 500 + 2 * 2  # 500 * 500 where a chunk goes to each of its words
+
+
 def test_bm25_of_nothing(spark):
     none = spark.createDataFrame([], "chunk_id string, text string")
     asked = spark.createDataFrame([(1, "a word")], "qid long, question string")
