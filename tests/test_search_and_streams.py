@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import refs
 from sparkloom.operators import answers, graph, layout, lexical, nearest, overlap, retrieval, splits, stages
+from sparkloom.plans import registry
 from sparkloom.sources import files
 from sparkloom.streaming import fetching, questions, replay
 
@@ -104,6 +105,15 @@ def test_words_handed_to_rare_words_grow_with_the_chunks(spark, monkeypatch):
     assert sum(r.score for r in make(*handed[0]).collect()) <= 500 + 2 * 2  # 500 * 500 where a chunk goes to each of its words
 
 
+def test_contexts_search_for_every_word(spark, sf, monkeypatch):
+    """No word is left out of the index of context_rows because many chunks have it."""
+    shares, make = [], lexical.index
+    monkeypatch.setattr(lexical, "index", lambda chunks, share=1.0: shares.append(share) or make(chunks, share))
+    rows = registry.QUERIES["context_rows"](spark, sf)
+    assert shares == [1.0] and rows.columns == ["qid", "context_type", "ids", "gold_in_context"]
+    assert "df <= 0.05" not in registry.ORACLES["context_rows"]
+
+
 def test_bm25_of_nothing(spark):
     none = spark.createDataFrame([], "chunk_id string, text string")
     asked = spark.createDataFrame([(1, "a word")], "qid long, question string")
